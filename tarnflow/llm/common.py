@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -23,12 +25,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_tarnflow_shipped", False):
         return
     package = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "tarnflow_code.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for source in sorted(package.rglob("*.py")):
-                z.write(source, str(source.relative_to(package.parent)))
-        context.addPyFile(path)
+    folder = tempfile.mkdtemp(prefix="tarnflow-code-")  # the driver serves it while the context lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "tarnflow_code.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(path)
     context._tarnflow_shipped = True
 
 
