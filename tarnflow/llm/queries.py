@@ -78,3 +78,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def _matches(rank: int, kind: str, pattern: str) -> str:
+    return f"SELECT doc_id, {rank} AS k, '{kind}' AS kind, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS x FROM d"
+
+
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+@query(
+    "op6_secret_scan",
+    f"""
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+    p AS ({_matches(0, "assign", _ASSIGN)} UNION ALL {_matches(1, "access", "AKIA[A-Z0-9]+")} UNION ALL {_matches(2, "hex", "[0-9a-f]+")}),
+    q AS (SELECT doc_id, k, kind, unnest(x) AS s, generate_subscripts(x, 1) AS i FROM p),
+    r AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(s) AS a FROM q),
+    f AS (SELECT doc_id, k, kind, CAST(a AS BIGINT) AS a, CAST(a + length(s) AS BIGINT) AS b FROM r WHERE i % 2 = 0 AND
+          CASE k WHEN 0 THEN length(regexp_extract(s, '{_ASSIGN}', 2)) >= 6 WHEN 1 THEN length(s) >= 20 ELSE length(s) >= 24 END),
+    g AS (SELECT doc_id, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2,
+          string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM f GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access,
+           CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.secret_scan import RULES, count_of, scan, written
+
+    found = scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [count_of(F.col("spans"), rule.kind).alias(f"n_{rule.kind}") for rule in RULES]
+    return found.select("doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
