@@ -109,3 +109,20 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [count_of(F.col("spans"), rule.kind).alias(f"n_{rule.kind}") for rule in RULES]
     return found.select("doc_id", *counts, F.sha2(written(F.col("spans")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query(
+    "op8_topk_search",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS w FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+    SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.topk_search import top_k
+
+    return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
