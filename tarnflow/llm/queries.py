@@ -126,3 +126,31 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm.topk_search import top_k
 
     return top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query(
+    "op5_chat_format",
+    """
+    WITH t AS (SELECT conv_id, list(struct_pack(turn := turn, role := coalesce(role, ''), txt := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    c AS (SELECT conv_id, list_transform(l, lambda x: strlen(x.role) || ':' || x.role || strlen(x.txt) || ':' || x.txt) AS k,
+                 list_transform(l, lambda x: '<|' || replace(x.role, '<|', '< |') || '|>' || chr(10) || replace(x.txt, '<|', '< |') || chr(10) || '<|end|>' || chr(10)) AS r FROM t),
+    w AS (SELECT conv_id, array_to_string(k, '') AS w, len(k) AS n, array_to_string(r, '') AS rendered FROM c),
+    p AS (SELECT DISTINCT array_to_string(k[1:i], '') AS w FROM (SELECT k, unnest(generate_series(1, len(k) - 1)) AS i FROM c)),
+    g AS (SELECT w, min(conv_id) AS conv_id, count(*) AS n_same FROM w GROUP BY w)
+    SELECT g.conv_id, CAST(n AS BIGINT) AS n_turns, CAST(n_same AS BIGINT) AS n_same, rendered
+    FROM g JOIN w ON w.conv_id = g.conv_id WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.w = g.w)
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.chat_format import format_chats
+
+    return format_chats(load(spark, sf_dir, "conversations"))
+
+
+@query("op4_best_fit_packing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.packing import estimated_tokens, pack
+
+    docs = load(spark, sf_dir, "documents")
+    return pack(docs, estimated_tokens(F.col("text")), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
