@@ -168,3 +168,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, load(spark, sf_dir, "labels"), ~held_out())
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query(
+    "op3_block_anchors",
+    """
+    WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d)),
+    r AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+    c AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM s JOIN r USING (g)),
+    x AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM d),
+    k AS (SELECT x.doc_id, count(*) AS n, count(c.p) AS gone, coalesce(string_agg(v, ' ' ORDER BY x.p) FILTER (c.p IS NULL), '') AS kept
+          FROM x LEFT JOIN c ON c.doc_id = x.doc_id AND c.p = x.p GROUP BY x.doc_id)
+    SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.block_anchors import remove_repeats
+
+    kept = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.struct(F.lit(-1).cast("long").alias("sign"), F.lit(0).cast("long").alias("sum")), lambda s, x: F.struct((-s["sign"]).alias("sign"), (s["sum"] + s["sign"] * x).alias("sum")), lambda s: s["sum"])
+    return kept.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
