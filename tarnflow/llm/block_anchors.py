@@ -20,47 +20,17 @@ harm. An empty table gives no rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import SOLID, Words, cut, mix, runs, ship, slices
+from tarnflow.llm.bitfilter import MOST_BITS, made
+from tarnflow.llm.common import SOLID, Words, cut, mix, prefix, ranges, runs, ship, slices
 
 WINDOW = 35
-#: Bits of the array for each block, and the most bits it may have (256 MB).
-BITS_PER_BLOCK, MOST_BITS = 24, 1 << 31
-_SLAB = 22  # log2 of the bits that one task makes
-
-
-class BitFilter:
-    """Two bit arrays over 64-bit hashes: blocks that occur, and blocks that occur twice or more."""
-
-    def __init__(self, log_bits: int, once: np.ndarray, twice: np.ndarray):
-        self.log_bits, self.once, self.twice = log_bits, once, twice
-
-    @staticmethod
-    def places(h: np.ndarray, log_bits: int) -> Iterator[np.ndarray]:
-        """Four bit numbers for each hash, all in the part that its leading bits choose."""
-        low = min(16, log_bits)
-        base = (h >> np.uint64(64 - (log_bits - low)) << np.uint64(low)) if log_bits > low else np.zeros(len(h), np.uint64)
-        mask = np.uint64((1 << low) - 1)
-        more = mix(h)
-        for part in (h, h >> np.uint64(16), more, more >> np.uint64(20)):
-            yield (base | (part & mask)).astype(np.int64)
-
-    def has(self, h: np.ndarray, array: np.ndarray) -> np.ndarray:
-        found = np.arange(len(h))
-        for k in range(4):
-            places = next(p for i, p in enumerate(self.places(h[found], self.log_bits)) if i == k)
-            found = found[(array[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1]
-        out = np.zeros(len(h), bool)
-        out[found] = True
-        return out
 
 
 def _blocks(docs: DataFrame, block: int) -> DataFrame:
@@ -77,33 +47,6 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
     return docs.select("text").mapInArrow(per_batch, "h long").groupBy("h").agg(F.count("*").alias("n"))
 
 
-def block_filter(docs: DataFrame, block: int, most_bits: int = MOST_BITS) -> BitFilter:
-    index = cut(_blocks(docs, block))
-    n = index.count()
-    log_bits = min(max(16, math.ceil(math.log2(max(1, n) * BITS_PER_BLOCK))), int(math.log2(most_bits)))
-    slab = min(_SLAB, log_bits)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        twice = pdf["n"].to_numpy() > 1
-        out = []
-        for some in (h, h[twice]):
-            flags = np.zeros(1 << slab, bool)
-            for places in BitFilter.places(some, log_bits):
-                flags[places & ((1 << slab) - 1)] = True
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pd.DataFrame({"slab": [int(h[0] >> np.uint64(64 - (log_bits - slab))) if log_bits > slab else 0], "once": [out[0]], "twice": [out[1]]})
-
-    number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.lit(0).cast("long")
-    made = index.groupBy(number.alias("slab")).applyInPandas(make, "slab long, once binary, twice binary")
-    once, twice = np.zeros((1 << log_bits) // 8, np.uint8), np.zeros((1 << log_bits) // 8, np.uint8)
-    width = (1 << slab) // 8
-    for row in made.toLocalIterator():
-        for array, data in ((once, row.once), (twice, row.twice)):
-            array[row.slab * width : (row.slab + 1) * width] = np.frombuffer(data, np.uint8)
-    return BitFilter(log_bits, once, twice)
-
-
 def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool) -> DataFrame:
     """Candidate windows by document: first start, pattern hash, number, and the windows' hashes."""
 
@@ -147,8 +90,6 @@ def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool)
 
 
 def _fold(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    from tarnflow.llm.common import prefix, ranges
-
     return mix(ranges(prefix(values), start, end) + (end - start).astype(np.uint64))
 
 
@@ -158,7 +99,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_bits: int = MOS
         raise ValueError("the window must be odd, from 3 to 123 words")
     block = (window + 1) // 2
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(block_filter(docs, block, most_bits))  # MOST_BITS at most
+    sent = spark.sparkContext.broadcast(made(cut(_blocks(docs, block)), most_bits))  # most_bits at most
     patterns = cut(_probed(docs, sent, window, block, True).groupBy("pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
     counted = patterns.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
     repeated = cut(counted.where(F.col("n") > 1).select("w"))

@@ -170,6 +170,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def covered(spans: str):
+    """The sum of the lengths of spans given as start, end, start, end ..."""
+    signs = F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+    return F.aggregate(signs, F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+@query("op2_bwt_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.bwt_merge import remove_repeats
+
+    kept = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_spans = (F.size("spans") / 2).cast("long")
+    return kept.select("doc_id", "n_bytes", covered("spans").alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op3_block_anchors",
     """
@@ -188,5 +203,4 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm.block_anchors import remove_repeats
 
     kept = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.aggregate("spans", F.struct(F.lit(-1).cast("long").alias("sign"), F.lit(0).cast("long").alias("sum")), lambda s, x: F.struct((-s["sign"]).alias("sign"), (s["sum"] + s["sign"] * x).alias("sum")), lambda s: s["sum"])
-    return kept.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
