@@ -204,3 +204,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeats(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnflow.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
