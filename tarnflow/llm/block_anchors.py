@@ -8,10 +8,10 @@ bound, which only says "maybe" or "no"; a fuller array lets more through and cha
 
 A run that hits away from its own blocks, or at a block that occurs twice, makes the windows around
 it candidates. Hits are extended to maximal repeats by comparing the candidate windows exactly
-(64-bit hashes of whole windows): windows that share their first hit travel together as one pattern,
-equal patterns are merged before any window is looked at, and only patterns that occur once are
-compared window by window. No pairs are formed; what a hot passage sends is one row per occurrence
-and one per distinct surrounding.
+(64-bit hashes of whole windows): consecutive windows whose hit of least hash is the same travel
+together as one pattern, equal patterns are merged before any window is looked at, and only patterns
+that occur once are compared window by window. No pairs are formed; what a hot passage sends is one
+row per occurrence and one per distinct surrounding.
 
 Words are runs of anything but space and 0x09 to 0x0D, unchanged. Null texts have no words. Repeated
 rows repeat each other's windows. Documents are told apart by key and text, so repeated keys do no
@@ -67,7 +67,7 @@ def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool)
             marked = np.cumsum(marked)
             s = words.window_starts(window)
             s = s[marked[s + window - block + 1] > marked[s]] if len(s) else s
-            first = at[np.searchsorted(at, s)] if len(s) else s
+            first = _chosen(at, some, s, window - block + 1, n)
             w = words.windows(s, window)
             fresh = np.ones(len(s), bool)
             fresh[1:] = (first[1:] != first[:-1]) | (np.diff(s) != 1)
@@ -89,6 +89,19 @@ def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool)
     return docs.select("doc_id", "th", "text").mapInArrow(per_batch, schema)
 
 
+def _chosen(at: np.ndarray, h: np.ndarray, s: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The hit of least hash among the ``width`` places from each start on, the leftmost on ties."""
+    if not len(s):
+        return s
+    least = np.full(n, np.iinfo(np.uint64).max)
+    least[at] = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    step = 1
+    while step * 2 <= width:
+        least = np.minimum(least[:-step], least[step:])
+        step *= 2
+    return (np.minimum(least[s], least[s + width - step]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _fold(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix(ranges(prefix(values), start, end) + (end - start).astype(np.uint64))
 
@@ -101,8 +114,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_bits: int = MOS
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(made(cut(_blocks(docs, block)), most_bits))  # most_bits at most
     patterns = cut(_probed(docs, sent, window, block, True).groupBy("pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
-    counted = patterns.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    repeated = cut(counted.where(F.col("n") > 1).select("w"))
+    counted = patterns.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    repeated = cut(counted.where((F.col("n") > 1) & (F.col("least") == 1)).select("w"))  # others need no lookup
     lone = patterns.where(F.col("n") == 1).select("pattern", F.posexplode("windows").alias("i", "w"))
     one = F.lit(1).cast("long")
     some = lone.join(repeated, "w").groupBy("pattern").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
