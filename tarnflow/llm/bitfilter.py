@@ -60,11 +60,11 @@ def made(index: DataFrame, most_bits: int = MOST_BITS) -> BitFilter:
             out.append(np.packbits(flags, bitorder="little").tobytes())
         return pd.DataFrame({"slab": [int(h[0] >> np.uint64(64 - (log_bits - slab))) if log_bits > slab else 0], "once": [out[0]], "twice": [out[1]]})
 
-    number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.lit(0).cast("long")
+    number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.col("h").bitwiseAND(F.lit(0).cast("long"))
     parts = index.groupBy(number.alias("slab")).applyInPandas(make, "slab long, once binary, twice binary")
     once, twice = np.zeros((1 << log_bits) // 8, np.uint8), np.zeros((1 << log_bits) // 8, np.uint8)
     width = (1 << slab) // 8
     for row in parts.toLocalIterator():
         for array, data in ((once, row.once), (twice, row.twice)):
-            array[row.slab * width : (row.slab + 1) * width] = np.frombuffer(data, np.uint8)
+            array[row.slab * width : (row.slab + 1) * width] |= np.frombuffer(data, np.uint8)
     return BitFilter(log_bits, once, twice)

@@ -169,12 +169,17 @@ def anchors(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarra
     return starts, (least[: n - length + 1][inside] & np.uint64(0xFFFFFFFF)).astype(np.int64), sums
 
 
+def _keys(sums: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of anchors; mixed again, as anchors are chosen for small hashes."""
+    return mix(mix(ranges(sums, anchor, anchor + gram)) ^ np.uint64(0x2545F4914F6CDD1D))
+
+
 def _counted(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
             _, anchor, sums = anchors(texts, length, gram)
             own = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])] if len(anchor) else anchor
-            yield pa.RecordBatch.from_arrays([pa.array(mix(ranges(sums, own, own + gram)).view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(_keys(sums, own, gram).view(np.int64))], names=["h"])
 
     return docs.select("text").mapInArrow(per_batch, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
@@ -190,7 +195,7 @@ def _fragments(docs: DataFrame, sent, length: int, gram: int, with_bytes: bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)
             a = np.flatnonzero(fresh)
             k = np.diff(np.append(a, len(anchor)))
-            key = mix(ranges(sums, anchor[a], anchor[a] + gram))
+            key = _keys(sums, anchor[a], gram)
             live = known.has(key, known.twice)
             a, k, key = a[live], k[live], key[live]
             begin = starts[a]
