@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import MOST_BITS, made
-from tarnflow.llm.common import SOLID, Words, cut, mix, prefix, ranges, runs, ship, slices
+from tarnflow.llm.common import SOLID, Words, cut, mix, prefix, ranges, runs, ship, slices, store
 
 WINDOW = 35
 
@@ -113,7 +113,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_bits: int = MOS
     block = (window + 1) // 2
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(made(cut(_blocks(docs, block)), most_bits))  # most_bits at most
-    patterns = cut(_probed(docs, sent, window, block, True).groupBy("pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
+    patterns = store(_probed(docs, sent, window, block, True).groupBy("pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
     counted = patterns.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
     repeated = cut(counted.where((F.col("n") > 1) & (F.col("least") == 1)).select("w"))  # others need no lookup
     lone = patterns.where(F.col("n") == 1).select("pattern", F.posexplode("windows").alias("i", "w"))

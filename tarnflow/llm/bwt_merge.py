@@ -5,8 +5,9 @@ A byte is removed if a ``length``-byte string covers it that also starts anywher
 Distribution. Every ``length``-byte window has an anchor: the GRAM bytes inside it with the smallest
 hash, leftmost on ties, so equal windows have equal anchors at equal places. Anchors are counted over
 the corpus; a bit array of those that occur twice (of a size that has a bound) picks the windows that
-can repeat at all. Consecutive windows of one anchor form a fragment; equal fragments are merged
-before anything else, and the distinct fragments of an anchor meet in one task.
+can repeat at all. Consecutive windows of one anchor form a fragment. Fragments are counted by hash;
+all windows of one that occurs twice repeat. Where an anchor has others, that occur once, one copy of
+each of its distinct fragments is sent (a second bit array picks it), and they meet in one task.
 
 Merging. The fragments of a task are dealt to shards. A shard's Burrows-Wheeler transform is over
 symbols of ``length / ROUNDS`` bytes taken at that stride from every offset, so that ROUNDS symbols
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import MOST_BITS, made
-from tarnflow.llm.common import Texts, byte_prefix, cut, mix, ranges, runs, ship, slices
+from tarnflow.llm.common import Texts, byte_prefix, cut, mix, ranges, runs, ship, slices, store
 
 LENGTH, GRAM, ROUNDS = 200, 32, 5
 #: Bytes of fragments merged at a time, bytes in a shard, and distinct fragments of an anchor at most.
@@ -184,8 +185,11 @@ def _counted(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("text").mapInArrow(per_batch, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
-def _fragments(docs: DataFrame, sent, length: int, gram: int, with_bytes: bool) -> DataFrame:
-    """doc_id, th, first (byte of the first window), windows, pattern, key and, if asked, the bytes."""
+def _fragments(docs: DataFrame, sent, length: int, gram: int, wanted=None) -> DataFrame:
+    """doc_id, th, first (byte of the first window), k (windows), pattern, key, copy (hash of the place).
+
+    With ``wanted``, an array of copies: key, pattern and bytes of those.
+    """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -201,19 +205,24 @@ def _fragments(docs: DataFrame, sent, length: int, gram: int, with_bytes: bool)
             begin = starts[a]
             stop = begin + k + length - 1
             rows = np.searchsorted(texts.offsets, begin, side="right") - 1
-            # the anchor's place is part of the name: equal bytes have it at the same place anyway
             pattern = mix(ranges(sums, begin, stop) + (stop - begin).astype(np.uint64))
-            take = pa.array(rows)
-            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(begin - texts.offsets[rows], pa.int64()), pa.array(k, pa.int32()), pa.array(pattern.view(np.int64)), pa.array(key.view(np.int64))]
-            names = ["doc_id", "th", "first", "k", "pattern", "key"]
-            if with_bytes:
+            first = begin - texts.offsets[rows]
+            th = texts.column("th").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            copy = mix(pattern ^ mix(th[rows] + first.astype(np.uint64)))
+            if wanted is not None:
+                chosen = wanted.value.has(copy, wanted.value.once)
                 raw = texts.bytes.tobytes()
-                arrays.append(pa.array([raw[x:y] for x, y in zip(begin.tolist(), stop.tolist(), strict=True)], pa.binary()))
-                names.append("bytes")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                data = [raw[x:y] for x, y in zip(begin[chosen].tolist(), stop[chosen].tolist(), strict=True)]
+                arrays = [pa.array(key[chosen].view(np.int64)), pa.array(pattern[chosen].view(np.int64)), pa.array(data, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "pattern", "bytes"])
+                continue
+            take = pa.array(rows)
+            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(first, pa.int64()), pa.array(k, pa.int32())]
+            arrays += [pa.array(x.view(np.int64)) for x in (pattern, key, copy)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "first", "k", "pattern", "key", "copy"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, th long, first long, k int, pattern long, key long" + ", bytes binary" * with_bytes
+    schema = "key long, pattern long, bytes binary" if wanted is not None else f"doc_id {kind}, th long, first long, k int, pattern long, key long, copy long"
     return docs.select("doc_id", "th", "text").mapInArrow(per_batch, schema)
 
 
@@ -223,7 +232,10 @@ def _flag_runs(flags: np.ndarray) -> list[int]:
 
 
 def _merged(cold: DataFrame, length: int, rounds: int) -> DataFrame:
-    """pattern, starts (start, end, ... of repeated windows) for lone fragments that share their anchor."""
+    """pattern, starts (start, end, ... of repeated windows) of fragments that occur once.
+
+    ``cold`` has, for each pattern, a row with its number (n) and one or more with its bytes.
+    """
 
     def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         flags = repeated_starts([r[2] for r in rows], length, rounds)
@@ -233,23 +245,32 @@ def _merged(cold: DataFrame, length: int, rounds: int) -> DataFrame:
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket: list[tuple[int, int, bytes]] = []
         size = 0
-        group: list[tuple[int, int, bytes]] = []
+        numbers: dict[int, int] = {}
+        group: dict[int, bytes] = {}
         last = None
+
+        def close() -> None:
+            nonlocal size
+            rows = [(p, numbers[p], x) for p, x in group.items() if p in numbers]
+            if len(rows) > 1:
+                bucket.extend(rows)
+                size += sum(len(r[2]) for r in rows)
+
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
                 part = batch.slice(low, 4096)
-                for key, *row in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                for key, pattern, n, data in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     if key != last:
-                        if len(group) > 1 and any(r[1] == 1 for r in group):
-                            bucket += group
-                            size += sum(len(r[2]) for r in group)
-                        group, last = [], key
+                        close()
+                        numbers, group, last = {}, {}, key
                         if size >= BUCKET_BYTES:
                             yield solve(bucket)
                             bucket, size = [], 0
-                    group.append(tuple(row))
-        if len(group) > 1:
-            bucket += group
+                    if data is None:
+                        numbers[pattern] = n
+                    else:
+                        group[pattern] = data
+        close()
         if bucket:
             yield solve(bucket)
 
@@ -283,17 +304,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, roun
         raise ValueError("the length must be a multiple of the rounds and at least twice the gram")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(made(cut(_counted(docs, length, gram)), most_bits))  # most_bits at most
-    whole = _fragments(docs, sent, length, gram, True)
-    patterns = cut(whole.groupBy("key", "pattern").agg(F.count("*").alias("n"), F.first("bytes").alias("bytes")))
-    crowded = cut(patterns.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"))
+    places = _fragments(docs, sent, length, gram)
+    patterns = store(places.groupBy("key", "pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy"), F.min("k").alias("k")))
+    mixed = cut(patterns.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where((F.col("c") > 1) & (F.col("least") == 1)).select("key", "c"))
+    needed = cut(patterns.join(mixed, "key").select("key", "pattern", "n", "copy", "c"))
+    wanted = spark.sparkContext.broadcast(made(cut(needed.select(F.col("copy").alias("h"), F.lit(1).cast("long").alias("n")).distinct()), most_bits))
+    copies = _fragments(docs, sent, length, gram, wanted)
+    crowded = mixed.where(F.col("c") > hot).select("key")
     n_hot = crowded.count()
-    marked = F.broadcast(crowded) if n_hot <= MOST_HOT else crowded
-    lone = _merged(patterns.join(marked, "key", "left_anti"), length, rounds)
+    numbers = needed.where(F.col("c") <= hot).select("key", "pattern", "n", F.lit(None).cast("binary").alias("bytes"))
+    if n_hot:
+        crowded = F.broadcast(crowded) if n_hot <= MOST_HOT else crowded
+        many = copies.join(crowded, "key", "left_semi").dropDuplicates(["pattern"]).join(needed.select("pattern", "n"), "pattern")
+        copies = copies.join(crowded, "key", "left_anti")
+    lone = _merged(numbers.unionByName(copies.withColumn("n", F.lit(None).cast("long"))), length, rounds)
     if n_hot:
-        lone = lone.unionByName(_counted_windows(patterns.join(marked, "key", "left_semi"), length))
-    every = patterns.where(F.col("n") > 1).select("pattern", F.array(F.lit(0), (F.octet_length("bytes") - (length - 1)).cast("int")).alias("starts"))
+        lone = lone.unionByName(_counted_windows(store(many.select("pattern", "n", "bytes")), length))
+    every = patterns.where(F.col("n") > 1).select("pattern", F.array(F.lit(0), "k").alias("starts"))
     starts = cut(lone.unionByName(every))
-    at = _fragments(docs, sent, length, gram, False).join(starts, "pattern")
+    at = places.select("doc_id", "th", "first", "pattern").join(starts, "pattern")
     return at.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "starts")).alias("found"))
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import made
-from tarnflow.llm.common import Texts, Words, cut, mix, ship, slices
+from tarnflow.llm.common import Texts, Words, cut, mix, ship, slices, store
 from tarnflow.llm.components import Forest, components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -330,8 +330,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     """doc_id, th (hash of the text), class_node (null: no words), class_id and n_links of each row."""
     ship(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    rows = cut(_rows(source.select("doc_id", "th", "text")))
-    nodes = cut(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
+    rows = store(_rows(source.select("doc_id", "th", "text")))
+    nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
     groups = cut(components(_candidate_edges(nodes, threshold, tolerance)))
     counts = cut(groups.groupBy("root").agg(F.count("*").alias("c")))
     tasks = _block_pairs(groups.join(counts, "root"), "root", "c", SET_BLOCK).join(nodes.select("node", "copies"), "node").join(_sets(source, groups), "node")
