@@ -246,16 +246,15 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
     the first to the last character of each hit run is cut. Texts without hits stay as they are.
     """
     names = docs.columns
-    marked = scan(docs.withColumn("__spans_of", F.lit(None).cast("string")).select([F.col(f"`{c}`") for c in names]), items, text=text, window=window)
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    place = plain[names.index(text)]
+    marked = scan(docs.toDF(*plain), items, text=place, window=window)
     kept = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)))
-    hidden = [c for c in names if c in ("n_words", "n_hit", "item_ids", "spans")]
-    if hidden:
-        raise ValueError(f"rename the columns {hidden} first")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in slices(batches, text):
+        for texts in slices(batches, place):
             words = Words(texts)
-            raw, spans = texts.column(text), texts.column("spans")
+            raw, spans = texts.column(place), texts.column("spans")
             out = []
             for row in range(texts.n):
                 flat = spans[row].as_py()
@@ -269,6 +268,6 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
                     at = int(words.end[first + y - 1])
                 parts.append(texts.bytes[at:stop].tobytes())
                 out.append(b"".join(parts).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text else texts.column(c) for c in names], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == place else texts.column(c) for c in plain], names=names)
 
-    return kept.select([F.col(f"`{c}`") for c in [*names, "spans"]]).mapInArrow(cut_out, docs.schema)
+    return kept.select(*plain, "spans").mapInArrow(cut_out, docs.schema)

@@ -153,13 +153,16 @@ def written(spans: Column) -> Column:
 
 def redact(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with each maximal stretch of spans replaced by ``[SECRET]``; other rows unchanged."""
-    scanned = scan(docs, ledger, rules, text)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    place = plain[names.index(text)]
+    scanned = scan(docs.toDF(*plain), ledger, rules, place)
 
     def step(state: Column, span: Column) -> Column:
-        gap = F.when(span["start"] >= state["at"], F.concat(F.substring(F.col(text), state["at"] + 1, span["start"] - state["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
+        gap = F.when(span["start"] >= state["at"], F.concat(F.substring(F.col(place), state["at"] + 1, span["start"] - state["at"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cut = F.aggregate("spans", first, step, lambda s: F.concat(s["out"], F.substring(F.col(text), s["at"] + 1, F.length(F.col(text)))))
-    clean = F.when(F.size("spans") > 0, cut).otherwise(F.col(text))
-    return scanned.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != "spans"])
+    cut = F.aggregate("spans", first, step, lambda s: F.concat(s["out"], F.substring(F.col(place), s["at"] + 1, F.length(F.col(place)))))
+    clean = F.when(F.size("spans") > 0, cut).otherwise(F.col(place))
+    return scanned.select(*[clean.alias(n) if c == place else F.col(c).alias(n) for c, n in zip(plain, names, strict=True)])

@@ -351,3 +351,19 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     df = docs.select([F.col(f"`{c}`") for c in names])
     return df.mapInArrow(per_batch, T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())]))
+
+
+def keep_below(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns."""
+    ship(docs.sparkSession)
+    at = docs.columns.index(text)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        automaton = model.automaton()
+        for batch in batches:
+            rows = np.array([model.features(v.as_py(), automaton) for v in batch.column(at)]).reshape(-1, FEATURES)
+            yield batch.filter(pa.array(model.score(rows) < limit))
+
+    return docs.mapInArrow(per_batch, docs.schema)
