@@ -53,9 +53,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` written to the shared checkpoint folder, without the lineage before."""
+#: Rows for which a task of a small table is worth its overhead.
+TASK_ROWS = 25_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of ``df`` written to the shared checkpoint folder, without the lineage before.
+
+    ``rows``, a bound on their number if it is known, keeps a small table in few partitions.
+    """
     checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // TASK_ROWS)))
     return df.checkpoint(eager=True)
 
 

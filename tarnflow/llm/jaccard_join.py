@@ -332,16 +332,17 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = store(_rows(source.select("doc_id", "th", "text")))
     nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
-    groups = cut(components(_candidate_edges(nodes, threshold, tolerance)))
-    counts = cut(groups.groupBy("root").agg(F.count("*").alias("c")))
+    n = nodes.count()
+    groups = cut(components(_candidate_edges(nodes, threshold, tolerance), n), n)
+    counts = cut(groups.groupBy("root").agg(F.count("*").alias("c")), n)
     tasks = _block_pairs(groups.join(counts, "root"), "root", "c", SET_BLOCK).join(nodes.select("node", "copies"), "node").join(_sets(source, groups), "node")
     links = cut(_links(tasks.select("root", "a", "b", "node", "second", "copies", "shingles"), threshold))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")), n)
     member = nodes.select("node", "copies", "least").join(linked, "node", "left").join(roots, "node", "left")
-    member = cut(member.select("node", "least", F.coalesce("root", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    ids = cut(member.groupBy("class_node").agg(F.min("least").alias("class_id")))
-    named = cut(member.join(ids, "class_node").select("node", "class_node", "class_id", "n_links"))
+    member = cut(member.select("node", "least", F.coalesce("root", "node").alias("class_node"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), n)
+    ids = cut(member.groupBy("class_node").agg(F.min("least").alias("class_id")), n)
+    named = cut(member.join(ids, "class_node").select("node", "class_node", "class_id", "n_links"), n)
     out = rows.select("doc_id", "th", "node").join(named, "node", "left")
     return out.select("doc_id", "th", "class_node", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
