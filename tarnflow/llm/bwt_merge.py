@@ -11,7 +11,7 @@ each of its distinct fragments is sent (a second bit array picks it), and they m
 
 Merging. The fragments of a task are dealt to shards. A shard's Burrows-Wheeler transform is over
 symbols of ``length / ROUNDS`` bytes taken at that stride from every offset, so that ROUNDS symbols
-are one window. Shard transforms are merged by interleave refinement (``merge``): starting from the
+are one window; symbols that occur once in the task end strings, as no window across them repeats. Shard transforms are merged by interleave refinement (``merge``): starting from the
 shards one after the other, each round reads the interleaved transforms in order and deals their
 entries to the buckets of their symbols, stably. After h rounds the interleave is sorted by the first
 h symbols, and an entry opens a new block where its symbol or its follower's block is new: blocks are
@@ -39,11 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import MOST_BITS, made
-from tarnflow.llm.common import Texts, byte_prefix, cut, mix, ranges, runs, ship, slices, store
+from tarnflow.llm.common import Texts, byte_prefix, cut, mix, powers_down, ranges, runs, ship, slices, store
 
 LENGTH, GRAM, ROUNDS = 200, 32, 5
 #: Bytes of fragments merged at a time, bytes in a shard, and distinct fragments of an anchor at most.
-BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 20, 1 << 18, 1024
+BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 20, 1 << 18, 1 << 14
+#: Text bytes of one step over a batch: its arrays stay in the processor's cache.
+STEP_BYTES = 1 << 18
 #: Hot anchors that are broadcast at most (8 MB); beyond, they are joined.
 MOST_HOT = 1_000_000
 
@@ -51,36 +53,55 @@ MOST_HOT = 1_000_000
 # ---------------------------------------------------------------- transforms
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """A stable argsort of small non-negative numbers, 16 bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    rest = values >> 16
+    while rest.any():
+        order = order[np.argsort((rest[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        rest = rest >> 16
+    return order
+
+
+def _dense(order: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal for equal columns, of rows that ``order`` sorts."""
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        sorted_ = c[order]
+        new[1:] |= sorted_[1:] != sorted_[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) + 1
+    return out
+
+
 class ShardBwt:
     """The transform of some strings: per suffix in order, the symbol before it and its place.
 
-    ``symbols`` are at every byte of the fragments; those ``stride`` apart make strings. 0 is the end.
+    ``symbols`` are numbers from 1; ``after`` gives the place of each one's follower, -1 at the end of
+    a string. The end of a string is a suffix too, and the symbol 0.
     """
 
-    def __init__(self, symbols: np.ndarray, offsets: np.ndarray, stride: int, rounds: int):
+    def __init__(self, symbols: np.ndarray, after: np.ndarray, rounds: int):
         n = len(symbols)
-        place = np.arange(n)
-        after = place + stride  # the suffix that follows; the end of a string is a suffix too
-        size = np.diff(offsets)
-        row = np.repeat(np.arange(len(size)), size)
-        begin, stop = offsets[:-1][row], offsets[1:][row]
-        inner = after < stop
-        # ranks by doubling the number of symbols, ends first; only as deep as the rounds ask
-        rank = symbols.copy()
+        rank = symbols
+        jump = after
         depth = 1
-        while depth < rounds:
-            step = min(depth, rounds - depth)
-            ahead = place + step * stride
-            second = np.zeros(n, np.int64)
-            ok = ahead < stop
-            second[ok] = rank[ahead[ok]]
-            _, rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + second, return_inverse=True)
-            rank = rank + 1
-            depth += step
-        order = np.argsort(rank, kind="stable")
-        ends = np.flatnonzero(~inner)  # each string's last symbol comes before its end
-        first = place - begin < stride
-        before = np.where(first, 0, symbols[np.maximum(place - stride, 0)])
+        while depth < rounds:  # ranks by doubling the number of symbols, ends first
+            if depth * 2 > rounds:  # a shorter jump reaches the last of them
+                jump = after.copy()
+                for _ in range(rounds - depth - 1):
+                    jump = np.where(jump >= 0, after[jump], -1)
+            second = np.where(jump >= 0, rank[jump], 0)
+            order = stable_order(second)
+            order = order[stable_order(rank[order])]
+            rank = _dense(order, rank, second)
+            jump = np.where(jump >= 0, jump[jump], -1)
+            depth = min(depth * 2, rounds)
+        order = stable_order(rank)
+        before = np.zeros(n, np.int64)
+        has = after >= 0
+        before[after[has]] = symbols[has]
+        ends = np.flatnonzero(~has)  # each string's last symbol comes before its end
         self.bwt = np.concatenate([symbols[ends], before[order]])
         self.place = np.concatenate([np.full(len(ends), -1), order])
         self.n_ends = len(ends)
@@ -97,7 +118,7 @@ def merge(shards: list[ShardBwt], rounds: int) -> tuple[np.ndarray, np.ndarray,
         symbol = np.empty(len(source), np.int64)
         for k, b in enumerate(bwt):
             symbol[source == k] = b
-        deal = np.argsort(symbol, kind="stable")
+        deal = stable_order(symbol)
         source, symbol, before = source[deal], symbol[deal], block[deal]
         new = np.ones(len(source), bool)
         new[1:] = (symbol[1:] != symbol[:-1]) | (before[1:] != before[:-1])
@@ -109,38 +130,65 @@ def merge(shards: list[ShardBwt], rounds: int) -> tuple[np.ndarray, np.ndarray,
     return source, within, block
 
 
+def _viable(h: np.ndarray, at: np.ndarray, stops: np.ndarray, stride: int, rounds: int) -> np.ndarray:
+    """Flags of the symbols that are part of a window all of whose symbols may occur twice.
+
+    Symbols are counted in a table by part of their hash; one alone in its cell occurs once.
+    """
+    bits = max(10, int(len(h) * 4).bit_length())
+    cell = (h >> np.uint64(64 - bits)).astype(np.int64)
+    twice = np.bincount(cell, minlength=1 << bits)[cell] > 1
+    n = len(h)
+    reach = (rounds - 1) * stride
+    if n <= reach:
+        return np.zeros(n, bool)
+    start = twice[: n - reach].copy()
+    for k in range(1, rounds):
+        start &= twice[k * stride : n - reach + k * stride]
+    start &= at[: n - reach] + reach < stops[: n - reach]
+    out = np.zeros(n, bool)
+    for k in range(rounds):
+        out[k * stride : n - reach + k * stride] |= start
+    return out
+
+
 def repeated_starts(fragments: list[bytes], length: int = LENGTH, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """Per fragment a flag for each start of a ``length``-byte string: does it start anywhere else here?"""
     stride = length // rounds
     sizes = np.array([len(f) for f in fragments])
-    data = np.frombuffer(b"".join(fragments), np.uint8)
-    sums = byte_prefix(data)
     at = np.concatenate([[0], np.cumsum(sizes)])
-    # symbols only where a whole gram fits
-    kept = np.maximum(sizes - stride + 1, 0)
-    offsets = np.concatenate([[0], np.cumsum(kept)])
-    row = np.repeat(np.arange(len(sizes)), kept)
-    byte = np.arange(len(row)) - offsets[row] + at[row]
-    _, symbols = np.unique(ranges(sums, byte, byte + stride), return_inverse=True)
-    symbols = symbols + 1
-    shards, bases, low = [], [], 0
-    while low < len(sizes):
-        high = low + 1
-        while high < len(sizes) and at[high + 1] - at[low] <= shard_bytes:
-            high += 1
-        a, b = offsets[low], offsets[high]
-        shards.append(ShardBwt(symbols[a:b], offsets[low : high + 1] - a, stride, rounds))
-        bases.append(a)
-        low = high
+    flags = np.zeros(at[-1] + 1, bool)
+    data = np.frombuffer(b"".join(fragments), np.uint8)
+    n = len(data) - stride + 1
+    if n > 0:
+        sums = byte_prefix(data)
+        h = mix((sums[stride:] - sums[:n]) * powers_down(n))
+        stops = np.repeat(at[1:] - stride + 1, sizes)[:n]  # no symbol goes across fragments
+        kept = np.flatnonzero(_viable(h, np.arange(n), stops, stride, rounds))
+        if len(kept):
+            _mark(flags, kept, h[kept], at, stride, rounds, shard_bytes)
+    return [flags[a : a + max(0, size - length + 1)] for a, size in zip(at.tolist(), sizes.tolist(), strict=False)]
+
+
+def _mark(flags: np.ndarray, kept: np.ndarray, h: np.ndarray, at: np.ndarray, stride: int, rounds: int, shard_bytes: int) -> None:
+    """Sets the flags of the places whose block after all rounds has two members or more."""
+    symbols = _dense(np.argsort(h, kind="stable"), h)
+    owner = np.searchsorted(at, kept, side="right") - 1
+    number = np.full(len(flags) + stride, -1)
+    number[kept] = np.arange(len(kept))
+    after = number[kept + stride]
+    after = np.where((after >= 0) & (owner[after] == owner), after, -1)
+    edges = [0]
+    while edges[-1] < len(kept):  # shards hold whole fragments
+        first = owner[edges[-1]]
+        last = max(int(np.searchsorted(at, at[first] + shard_bytes, side="right")) - 1, int(first) + 1)
+        edges.append(int(np.searchsorted(owner, last)))
+    shards = [ShardBwt(symbols[a:b], np.where(after[a:b] >= 0, after[a:b] - a, -1), rounds) for a, b in zip(edges, edges[1:], strict=False)]
     source, within, block = merge(shards, rounds)
-    _, inverse, count = np.unique(block, return_inverse=True, return_counts=True)
-    twice = count[inverse] > 1
-    flags = np.zeros(len(row), bool)
-    for k, (shard, base) in enumerate(zip(shards, bases, strict=True)):
-        mine = twice & (source == k)
-        place = shard.place[within[mine]]
-        flags[base + place[place >= 0]] = True
-    return [flags[offsets[i] : offsets[i] + max(0, sizes[i] - length + 1)] for i in range(len(sizes))]
+    twice = np.bincount(block)[block] > 1
+    for k, (shard, base) in enumerate(zip(shards, edges, strict=False)):
+        place = shard.place[within[twice & (source == k)]]
+        flags[kept[base + place[place >= 0]]] = True
 
 
 # ---------------------------------------------------------------- anchors and fragments
@@ -148,26 +196,27 @@ def repeated_starts(fragments: list[bytes], length: int = LENGTH, rounds: int =
 
 def anchors(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Window starts, the anchor of each, and the byte prefix sums of the texts."""
-    data = texts.bytes
-    sums = byte_prefix(data)
-    n = len(data)
+    sums = byte_prefix(texts.bytes)
+    n = len(texts.bytes)
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), sums
-    at = np.arange(n - gram + 1)
-    h = mix(ranges(sums, at, at + gram))
-    least = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    h = sums[gram:] - sums[:-gram]
+    h *= powers_down(len(h))
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h &= np.uint64(0xFFFFFFFF00000000)
+    h |= np.arange(len(h), dtype=np.uint64)
     width = length - gram + 1  # grams in a window
     step = 1
     while step * 2 <= width:
-        least = np.minimum(least[:-step], least[step:])
+        h = np.minimum(h[:-step], h[step:])
         step *= 2
     if step < width:
-        least = np.minimum(least[: n - length + 1], least[width - step : n - length + 1 + width - step])
-    starts = np.arange(n - length + 1)
-    row = np.searchsorted(texts.offsets, starts, side="right") - 1
-    inside = starts + length <= texts.offsets[1:][row]
-    starts = starts[inside]
-    return starts, (least[: n - length + 1][inside] & np.uint64(0xFFFFFFFF)).astype(np.int64), sums
+        h = np.minimum(h[: n - length + 1], h[width - step : n - length + 1 + width - step])
+    inside = np.zeros(n - length + 1, bool)
+    for a, b in zip(texts.offsets[:-1].tolist(), texts.offsets[1:].tolist(), strict=True):
+        inside[a : max(a, b - length + 1)] = True
+    starts = np.flatnonzero(inside)
+    return starts, (h[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), sums
 
 
 def _keys(sums: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
@@ -177,7 +226,7 @@ def _keys(sums: np.ndarray, anchor: np.ndarray, gram: int) -> np.ndarray:
 
 def _counted(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in slices(batches):
+        for texts in slices(batches, limit=STEP_BYTES):
             _, anchor, sums = anchors(texts, length, gram)
             own = anchor[np.concatenate([[True], anchor[1:] != anchor[:-1]])] if len(anchor) else anchor
             yield pa.RecordBatch.from_arrays([pa.array(_keys(sums, own, gram).view(np.int64))], names=["h"])
@@ -193,7 +242,7 @@ def _fragments(docs: DataFrame, sent, length: int, gram: int, wanted=None) -> Da
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for texts in slices(batches):
+        for texts in slices(batches, limit=STEP_BYTES):
             starts, anchor, sums = anchors(texts, length, gram)
             fresh = np.ones(len(anchor), bool)
             fresh[1:] = (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1)

@@ -156,6 +156,12 @@ def prefix(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def powers_down(n: int) -> np.ndarray:
+    """The first n inverse powers of the base."""
+    _Powers.need(n)
+    return _Powers.down[:n]
+
+
 def byte_prefix(data: np.ndarray) -> np.ndarray:
     return prefix(_BYTE_VALUES[data])
 
