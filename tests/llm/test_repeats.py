@@ -26,7 +26,12 @@ def test_merged_order_is_sorted_and_blocks_are_common_prefixes():
     offsets = np.array([0, 13, 13, 30, 47, 60])
     rounds = 4
     bounds = ((0, 2), (2, 5))
-    parts = [bwt_merge.ShardBwt(symbols[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], 1, rounds) for a, b in bounds]
+    after = np.arange(1, 61)
+    after[offsets[1:] - 1] = -1
+    parts = []
+    for a, b in bounds:
+        low, high = offsets[a], offsets[b]
+        parts.append(bwt_merge.ShardBwt(symbols[low:high], np.where(after[low:high] >= 0, after[low:high] - low, -1), rounds))
     source, within, block = bwt_merge.merge(parts, rounds)
     assert sorted(zip(source.tolist(), within.tolist(), strict=True)) == [(s, k) for s, p in enumerate(parts) for k in range(len(p.bwt))]
     seen = []
