@@ -20,8 +20,14 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held whole on both sides.
+BATCH_ROWS = 512
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, once per Spark context."""
+    """Makes this package importable on the executors, once per Spark context, and batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if getattr(context, "_tarnflow_shipped", False):
         return
