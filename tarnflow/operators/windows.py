@@ -14,7 +14,10 @@ def _by(*order):
 
 
 _KEY = "PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-_W = _by("o_orderdate", "o_orderkey")
+
+
+def _dated():
+    return _by("o_orderdate", "o_orderkey")
 
 
 @query(
@@ -25,7 +28,7 @@ _W = _by("o_orderdate", "o_orderkey")
 )
 def win_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = _by("o_orderpriority")
-    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(_W).alias("rn"), F.rank().over(p).alias("rk"), F.dense_rank().over(p).alias("dr"), F.ntile(3).over(_W).alias("nt"), F.round(F.percent_rank().over(p), 6).alias("pr"))
+    return table(spark, sf, "orders").select("o_orderkey", F.row_number().over(_dated()).alias("rn"), F.rank().over(p).alias("rk"), F.dense_rank().over(p).alias("dr"), F.ntile(3).over(_dated()).alias("nt"), F.round(F.percent_rank().over(p), 6).alias("pr"))
 
 
 @query(
@@ -35,19 +38,19 @@ def win_rank(spark: SparkSession, sf: str) -> DataFrame:
         last_value(o_orderkey) OVER ({_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_key FROM orders""",
 )
 def win_lag_lead(spark: SparkSession, sf: str) -> DataFrame:
-    whole = _W.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return table(spark, sf, "orders").select("o_orderkey", F.lag("o_totalprice").over(_W).alias("before"), F.lead("o_totalprice", 2).over(_W).alias("after2"), F.first("o_orderkey").over(_W).alias("first_key"), F.last("o_orderkey").over(whole).alias("last_key"))
+    whole = _dated().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return table(spark, sf, "orders").select("o_orderkey", F.lag("o_totalprice").over(_dated()).alias("before"), F.lead("o_totalprice", 2).over(_dated()).alias("after2"), F.first("o_orderkey").over(_dated()).alias("first_key"), F.last("o_orderkey").over(whole).alias("last_key"))
 
 
 @query("win_running_sum", f"SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) OVER ({_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DECIMAL(25,2)) AS running FROM orders")
 def win_running_sum(spark: SparkSession, sf: str) -> DataFrame:
-    w = _W.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _dated().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return table(spark, sf, "orders").select("o_orderkey", F.sum(F.col("o_totalprice").cast("decimal(15,2)")).over(w).cast("decimal(25,2)").alias("running"))
 
 
 @query("win_moving_avg", f"SELECT o_orderkey, round(avg(o_totalprice) OVER ({_KEY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders")
 def win_moving_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_W.rowsBetween(-2, 0)), 4).alias("moving"))
+    return table(spark, sf, "orders").select("o_orderkey", F.round(F.avg("o_totalprice").over(_dated().rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 @query("win_range_frame", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY user_id RANGE BETWEEN 5 PRECEDING AND CURRENT ROW) AS near FROM events")
