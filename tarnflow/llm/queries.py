@@ -176,7 +176,24 @@ def covered(spans: str):
     return F.aggregate(signs, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-@query("op2_bwt_repeats")
+@query(
+    "op2_bwt_repeats",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    s AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT doc_id, h, unnest(generate_series(0, CAST(len(h) // 2 - 200 AS BIGINT))) AS i FROM d)),
+    r AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+    m AS (SELECT doc_id, i FROM s JOIN r USING (g)),
+    o AS (SELECT doc_id, i, max(i + 200) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM m),
+    p AS (SELECT doc_id, i, sum(CASE WHEN top >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+    b AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS z FROM p GROUP BY doc_id, k),
+    e AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM b),
+    f AS (SELECT doc_id, count(*) AS n, sum(z - a) AS gone, max(z) AS last FROM b GROUP BY doc_id),
+    t AS (SELECT e.doc_id, string_agg(substr(h, CAST(2 * y + 1 AS BIGINT), CAST(2 * (a - y) AS BIGINT)), '' ORDER BY a) AS head FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+    SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+      sha256(unhex(coalesce(head, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+    FROM d LEFT JOIN f ON f.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+    """,
+)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm.bwt_merge import remove_repeats
 
@@ -206,7 +223,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", covered("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op10_jaccard_join")
+@query(
+    "op10_jaccard_join",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+    l AS (SELECT a, b FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 5 * c >= 4 * (p.n + q.n - c)),
+    k AS (SELECT a, b AS r FROM l UNION SELECT k.a, l.b FROM k JOIN l ON l.a = k.r)
+    SELECT d.doc_id, least(d.doc_id, coalesce(min(k.r), d.doc_id)) AS class_id, (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links FROM documents d LEFT JOIN k ON k.a = d.doc_id GROUP BY d.doc_id
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm.jaccard_join import near_duplicates
 
