@@ -137,7 +137,7 @@ sql_query(
 )
 sql_query(
     "tpcds_rollup_rank",
-    """SELECT r_name, n_name, total, rank() OVER (PARTITION BY lvl, CASE WHEN lvl = 0 THEN r_name END ORDER BY total DESC) AS rk
+    """SELECT r_name, n_name, total, CAST(rank() OVER (PARTITION BY lvl, CASE WHEN lvl = 0 THEN r_name END ORDER BY total DESC) AS INTEGER) AS rk
        FROM (SELECT r_name, n_name, round(sum(o_totalprice), 2) AS total, CAST(grouping(r_name) + grouping(n_name) AS BIGINT) AS lvl FROM orders JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)) t""",
 )

@@ -22,8 +22,8 @@ def _dated():
 
 @query(
     "win_rank",
-    f"""SELECT o_orderkey, row_number() OVER ({_KEY}) AS rn, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rk,
-        dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, ntile(3) OVER ({_KEY}) AS nt,
+    f"""SELECT o_orderkey, CAST(row_number() OVER ({_KEY}) AS INTEGER) AS rn, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER) AS rk,
+        CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER) AS dr, CAST(ntile(3) OVER ({_KEY}) AS INTEGER) AS nt,
         round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority), 6) AS pr FROM orders""",
 )
 def win_rank(spark: SparkSession, sf: str) -> DataFrame:
