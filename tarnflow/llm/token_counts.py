@@ -35,10 +35,23 @@ CHUNK_CHARS = 1 << 16
 #: Words that a worker remembers; the memory is emptied when it is full.
 MEMORY = 300_000
 #: Compiled states that a worker keeps between texts; beyond them compiling starts anew.
-STATES = 200_000
+STATES = 400_000
 _START = ("", (None,), (0,))
 
 
+class Node(dict):
+    """A state: character -> (next node, change in the number of tokens), compiled when first asked for."""
+
+    __slots__ = ("machine", "state")
+
+    def __init__(self, machine: Compiled, state: tuple):
+        self.machine, self.state = machine, state
+
+    def __missing__(self, char: str) -> tuple[Node, int]:
+        move = self[char] = self.machine.compile_move(self.state, char)
+        return move
+
+
 class Compiled:
     """The transducer of one vocabulary: ``pieces`` maps piece to score; higher scores merge first."""
 
@@ -47,18 +60,18 @@ class Compiled:
             raise ValueError("a piece has white space after another character; texts can't be cut at words")
         self.pieces = pieces
         self.dummy_prefix = dummy_prefix
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
-        self.longest = max(map(len, pieces), default=1)
+        self.chars = {c for p in pieces for c in p}
+        self.starts = {p[:k] for p in pieces for k in range(1, len(p))}  # of longer pieces
         self.memory: dict[str, int] = {}
+        self.after_space: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.forget()
 
     def forget(self) -> None:
         """Back to the start state alone."""
         self.pairs.clear()
-        self.states: list[tuple] = [_START]
-        self.numbers: dict[tuple, int] = {_START: 0}
-        self.moves: list[dict[str, tuple[int, int]]] = [{}]
+        self.start = Node(self, _START)
+        self.nodes: dict[tuple, Node] = {_START: self.start}
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Compiled:
@@ -98,45 +111,42 @@ class Compiled:
             self.pairs[key] = self.merged(key[0] + right) == [x for x in key if x]
         return self.pairs[key]
 
-    def compile_move(self, state: int, char: str) -> tuple[int, int]:
-        suffix, last, counts = self.states[state]
-        if char not in self.starts:  # no piece has it: bytes of its own, and nothing merges across it
-            move = (0, len(char.encode()))
-            self.moves[state][char] = move
-            return move
+    def compile_move(self, state: tuple, char: str) -> tuple[Node, int]:
+        suffix, last, counts = state
+        if char not in self.chars:  # no piece has it: bytes of its own, and nothing merges across it
+            return self.start, len(char.encode())
         grown = suffix + char
         # last[d] is the last token d characters back (index 0: here), counts[d] its count against here
-        found = None
         for d in range(len(grown), 0, -1):
             token = grown[-d:]
-            known = token in self.pieces or d == 1
-            if known and self.agree(last[d - 1], token):
-                found = (d, token)
+            if (token in self.pieces or d == 1) and self.agree(last[d - 1], token):
                 break
-        if found is None:
+        else:
             raise AssertionError(f"no token ends {grown!r}")
-        d, token = found
-        cost = 1 if token in self.pieces else len(token.encode())
-        delta = counts[d - 1] + cost
+        whole = token in self.pieces
+        delta = counts[d - 1] + (1 if whole else len(token.encode()))
         keep = len(grown)
         while keep and grown[-keep:] not in self.starts:
             keep -= 1
-        new = (grown[len(grown) - keep :], (token if token in self.pieces else None, *last[:keep]), (0, *(c - delta for c in counts[:keep])))
-        if new not in self.numbers:
-            self.numbers[new] = len(self.states)
-            self.states.append(new)
-            self.moves.append({})
-        self.moves[state][char] = move = (self.numbers[new], delta)
-        return move
+        kept = grown[len(grown) - keep :]
+        open_ = [kept[-d:] in self.starts for d in range(1, keep + 1)]  # the rest can't be returned to
+        new = (
+            kept,
+            (token if whole else None, *(t if o else "" for t, o in zip(last, open_, strict=False))),
+            (0, *(c - delta if o else 0 for c, o in zip(counts, open_, strict=False))),
+        )
+        if new not in self.nodes:
+            self.nodes[new] = Node(self, new)
+        return self.nodes[new], delta
 
     # ------------------------------------------------------------ running
 
-    def run(self, state: int, text: str) -> tuple[int, int]:
+    def run(self, node: Node, text: str) -> tuple[Node, int]:
         total = 0
         for char in text:
-            state, delta = self.moves[state].get(char) or self.compile_move(state, char)
+            node, delta = node[char]
             total += delta
-        return state, total
+        return node, total
 
     def word(self, text: str) -> int:
         """Tokens of a stretch that starts at a cut."""
@@ -144,7 +154,7 @@ class Compiled:
         if got is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            got = self.memory[text] = self.run(0, text)[1]
+            got = self.memory[text] = self.run(self.start, text)[1]
         return got
 
     def chunk(self, text: str) -> ChunkMap:
@@ -152,27 +162,40 @@ class Compiled:
         words = _CUT.split(text)
         if len(words) == 1:
             return ChunkMap(self, text, None)
-        middle = words[1:-1]
-        memory = self.memory
-        try:
-            total = sum([memory[w] for w in middle])
-        except KeyError:
-            total = sum(map(self.word, middle))
-        return ChunkMap(self, words[0], total, words[-1])
+        return ChunkMap(self, words[0], sum(map(self.word, words[1:-1])), words[-1])
 
     def count(self, text: str) -> int:
         """Tokens of a text as the library gives them, without added tokens."""
         if not text:
             return 0
-        if len(self.states) > STATES:
+        if len(self.nodes) > STATES:
             self.forget()
+        if self.dummy_prefix and len(text) <= CHUNK_CHARS and text[0] != " " and "  " not in text and SPACE not in text:
+            return self.plain(text)
         text = text.replace(" ", SPACE)
         if self.dummy_prefix:
             text = SPACE + text
         maps = [self.chunk(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
         while len(maps) > 1:  # a balanced scan
             maps = [maps[i].compose(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0].apply(0)[1]
+        return maps[0].apply(self.start)[1]
+
+    def plain(self, text: str) -> int:
+        """The same for one chunk whose spaces stand alone: each is a cut, the prefix too."""
+        memory = self.after_space
+        start, total = self.start[SPACE], 0
+        for word in text.split(" "):
+            n = memory.get(word)
+            if n is None:
+                node, n = start
+                for char in word:
+                    node, delta = node[char]
+                    n += delta
+                if len(memory) >= MEMORY:
+                    memory.clear()
+                memory[word] = n
+            total += n
+        return total
 
 
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -187,13 +210,12 @@ class ChunkMap:
     def __init__(self, machine: Compiled, head: str, total: int | None, tail: str = ""):
         self.machine, self.head, self.total, self.tail = machine, head, total, tail
 
-    def apply(self, state: int) -> tuple[int, int]:
-        machine = self.machine
-        end, n = machine.run(state, self.head) if state else (None, machine.word(self.head)) if self.total is not None else machine.run(0, self.head)
+    def apply(self, node: Node) -> tuple[Node, int]:
+        node, n = self.machine.run(node, self.head)
         if self.total is None:
-            return end, n
-        end, m = machine.run(0, self.tail)
-        return end, n + self.total + m
+            return node, n
+        node, m = self.machine.run(self.machine.start, self.tail)
+        return node, n + self.total + m
 
     def compose(self, later: ChunkMap) -> ChunkMap:
         """This map, then ``later``. A cut between the two shows only where the chunks meet."""
