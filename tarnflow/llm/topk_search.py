@@ -29,8 +29,11 @@ from pyspark.sql.window import Window
 
 from tarnflow.llm.common import ship
 
-#: Rows in a block of candidates, blocks in a shard, and queries in a block.
-BLOCK_ROWS, SHARD_BLOCKS, QUERY_ROWS = 256, 32, 512
+#: Rows in a block of candidates, and queries in a block.
+BLOCK_ROWS, QUERY_ROWS = 256, 512
+#: Rows of a shard: few while there are fewer shards than SHARDS, so that all cores have some; then
+#: more, as every block of queries is sent to every shard.
+LEAST_SHARD, MOST_SHARD, SHARDS = 8_192, 65_536, 512
 SCALE = 256
 #: Stands for no score; scores are above it, and it can be negated.
 _NONE = -(2**63) + 1
@@ -144,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, row_id: str = "vec_i
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(row_id).cast("long").alias("id"), quantised(F.col(vector)).alias("v"), is_query.alias("q")).where("v IS NOT NULL AND id IS NOT NULL")
     total = rows.count()
-    shards = max(1, math.ceil(total / (block_rows * SHARD_BLOCKS)))
+    shards = max(1, min(math.ceil(total / LEAST_SHARD), max(SHARDS, math.ceil(total / MOST_SHARD))))
     query_blocks = max(1, math.ceil(rows.where("q").count() / QUERY_ROWS))
     packed = _packed(rows.select("id", "v"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)), "shard")
     asked = _packed(rows.where("q").select("id", "v"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)), "block")
