@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnflow.plans.dialect import rewrite
+from tarnflow.sources.schemas import read_parquet
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -31,7 +32,7 @@ def check_select(sql: str) -> str:
 def publish(spark: SparkSession, folder: str, names: list[str] | None = None) -> None:
     """Temporary views of the tables of a folder."""
     for name in names or TABLES:
-        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+        read_parquet(spark, f"{folder}/{name}.parquet").createOrReplaceTempView(name)
 
 
 def mentioned(sql: str, names: list[str] = TABLES) -> list[str]:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tarnflow.sources.schemas import read_parquet
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,4 +28,4 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a table folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return read_parquet(spark, f"{folder}/{name}.parquet")

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from tarnflow.sources import schemas
 from tarnflow.sources.catalog import TYPES, Catalog, NotFound, like, sql_type, validate_name
 from tarnflow.sources.partitioned import date_predicates, double_predicates, hash_predicates, long_predicates, parse_date, partition_options, read_by, split_predicates
 from tarnflow.sources.reader import read_table, rows_until
@@ -146,3 +147,16 @@ def test_streams(spark, sf, tmp_path):
     late = tumbling_counts(stream()).writeStream.outputMode("complete").format("memory").queryName("late").trigger(availableNow=True).start()
     assert late.awaitTermination(120)
     assert spark.table("late").agg(F.sum("n")).first()[0] == n
+
+
+def test_schemas_are_remembered_for_a_while(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    schemas.forget(path)
+    spark.range(3).write.parquet(path)
+    assert schemas.read_parquet(spark, path, lambda: 0.0).count() == 3
+    spark.range(5).selectExpr("id", "id AS more").write.mode("overwrite").parquet(path)
+    assert schemas.read_parquet(spark, path, lambda: 1.0).columns == ["id"]
+    assert schemas.read_parquet(spark, path, lambda: 1.0).count() == 5
+    assert schemas.read_parquet(spark, path, lambda: 100.0).columns == ["id", "more"]
+    schemas.forget()
+    assert not schemas._known
