@@ -44,6 +44,8 @@ from tarnflow.llm.common import Texts, byte_prefix, cut, mix, powers_down, range
 LENGTH, GRAM, ROUNDS = 200, 32, 5
 #: Bytes of fragments merged at a time, bytes in a shard, and distinct fragments of an anchor at most.
 BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 20, 1 << 18, 1 << 14
+#: log2 of the cells in which a task counts symbols; fewer cells than symbols only prune less.
+MOST_CELLS = 22
 #: Text bytes of one step over a batch: its arrays stay in the processor's cache.
 STEP_BYTES = 1 << 18
 #: Hot anchors that are broadcast at most (8 MB); beyond, they are joined.
@@ -135,7 +137,7 @@ def _viable(h: np.ndarray, at: np.ndarray, stops: np.ndarray, stride: int, round
 
     Symbols are counted in a table by part of their hash; one alone in its cell occurs once.
     """
-    bits = max(10, int(len(h) * 4).bit_length())
+    bits = min(max(10, int(len(h) * 4).bit_length()), MOST_CELLS)
     cell = (h >> np.uint64(64 - bits)).astype(np.int64)
     twice = np.bincount(cell, minlength=1 << bits)[cell] > 1
     n = len(h)

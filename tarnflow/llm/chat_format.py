@@ -6,7 +6,8 @@ proper prefix of another is dropped by an anti-join, and of conversations with e
 with the smallest id stays. The remaining, maximal conversations are rendered.
 
 Both sides of the anti-join hold each hash once, so a first turn or a conversation that a great many
-logs share doesn't gather anywhere. Hashes are SHA-256, chained turn by turn, with lengths written
+logs share doesn't gather anywhere. The turns of one conversation meet in one task, as they are one
+rendered row. Hashes are SHA-256, chained turn by turn, with lengths written
 before the parts, so unlike turns can't run together.
 
 Turns are ordered by turn, role and text, nulls first, and numbered anew, so gaps and repeated turn

@@ -243,8 +243,3 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-
-
-def long_texts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only these columns; the text as it is, with nulls empty."""
-    return df.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) if c == "text" else F.col(c) for c in columns])

@@ -13,7 +13,8 @@ Nothing is broadcast.
 
 Vectors that are null, or hold null or non-finite components, take no part. Vectors of unlike lengths
 are as if filled with zeros. A query never finds its own row; repeated ids count as different rows
-unless they are the query's id. Scores are exact 64-bit integers. Extra columns are ignored.
+unless they are the query's id. Scores are exact integers, held at the ends of 64 bits. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1) < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
     exact = a.astype(object) @ b.astype(object).T
-    return exact.astype(np.int64)  # raises beyond 64 bits
+    return np.clip(exact, _NONE + 1, 2**63 - 1).astype(np.int64)
 
 
 class Shard:

@@ -48,3 +48,9 @@ def test_bounds_hold():
     bounds = shard.bounds(queries)
     for b, block in enumerate(shard.rows):
         assert ((queries @ block.T).max(1) <= bounds[:, b]).all()
+
+
+def test_enormous_components_stay_in_64_bits(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(df, df["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == [(1, 2**63 - 1), (2, -(2**63) + 2)]
