@@ -9,7 +9,7 @@ from tarnflow.plans.evidence import inspect
 from tarnflow.plans.frontend import TABLES, run_sql
 from tarnflow.registry import query, table
 from tarnflow.session import metadata_session
-from tarnflow.sources.catalog import CATALOG, SQL_INFO, TYPES, Catalog, query_schema
+from tarnflow.sources.catalog import CATALOG, SQL_INFO, TYPE_COLUMNS, TYPES, Catalog, query_schema
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -26,7 +26,7 @@ _info("info_schemas", f"SELECT '{CATALOG}' AS catalog_name, 'main' AS db_schema_
 _info("info_table_types", "SELECT 'TABLE' AS table_type", lambda c: c.info_table_types())
 _info("info_tables", _values([(CATALOG, "main", t, "TABLE") for t in TABLES], "catalog_name, db_schema_name, table_name, table_type"), lambda c: c.info_tables())
 _info("info_tables_like", _values([(CATALOG, "main", t, "TABLE") for t in ("part",)], "catalog_name, db_schema_name, table_name, table_type"), lambda c: c.info_tables(table_pattern="P_RT"))
-_info("info_types", _values(TYPES, "type_name, data_type, column_size, literal_quote"), lambda c: c.info_types())
+_info("info_types", _values(TYPES, ", ".join(c.split()[0] for c in TYPE_COLUMNS.split(", "))), lambda c: c.info_types())
 _info("info_sql", _values(SQL_INFO, "info_name, value"), lambda c: c.info_sql())
 _info("info_columns", _values([("r_regionkey", "int", 1), ("r_name", "string", 2)], "column_name, data_type, ordinal"), lambda c: c.info_columns("main", "region"))
 _info("info_ddl", """SELECT 'region' AS table_name, 'CREATE TABLE main.region("r_regionkey" INTEGER, "r_name" VARCHAR)' AS ddl""", lambda c: c.info_ddl("main", "region"))

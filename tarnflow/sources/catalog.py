@@ -16,37 +16,42 @@ CATALOG = "spark_catalog"
 TABLE_TYPE = "TABLE"
 _NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9_]*")
 
-# SQL type name, JDBC type code, precision, literal quote.
+# SQL type name, JDBC type code, precision, literal quote, creation parameters,
+# case sensitivity, searchability (0: not at all, 3: in every predicate), largest scale, radix.
 TYPES = [
-    ("ARRAY", 2003, None, None),
-    ("BIGINT", -5, 19, None),
-    ("BINARY", -2, None, "'"),
-    ("BOOLEAN", 16, 1, None),
-    ("DATE", 91, 10, "'"),
-    ("DECIMAL", 3, 38, None),
-    ("DOUBLE", 8, 15, None),
-    ("INTEGER", 4, 10, None),
-    ("REAL", 7, 7, None),
-    ("SMALLINT", 5, 5, None),
-    ("STRUCT", 2002, None, None),
-    ("TIME", 92, 15, "'"),
-    ("TIMESTAMP", 93, 29, "'"),
-    ("TINYINT", -6, 3, None),
-    ("VARCHAR", 12, None, "'"),
+    ("ARRAY", 2003, None, None, None, False, 0, 0, None),
+    ("BIGINT", -5, 19, None, None, False, 3, 0, 10),
+    ("BINARY", -2, 2147483647, None, "length", False, 3, 0, None),
+    ("BOOLEAN", 16, 1, None, None, False, 3, 0, 2),
+    ("DATE", 91, 10, "'", None, False, 3, 0, None),
+    ("DECIMAL", 3, 38, None, "precision, scale", False, 3, 38, 10),
+    ("DOUBLE", 8, 15, None, None, False, 3, 0, 10),
+    ("INTEGER", 4, 10, None, None, False, 3, 0, 10),
+    ("REAL", 7, 7, None, None, False, 3, 0, 10),
+    ("SMALLINT", 5, 5, None, None, False, 3, 0, 10),
+    ("STRUCT", 2002, None, None, None, False, 0, 0, None),
+    ("TIME", 92, 15, "'", None, False, 3, 6, None),
+    ("TIMESTAMP", 93, 26, "'", None, False, 3, 6, None),
+    ("TINYINT", -6, 3, None, None, False, 3, 0, 10),
+    ("VARCHAR", 12, 2147483647, "'", "length", True, 3, 0, None),
 ]
+TYPE_COLUMNS = "type_name string, data_type int, column_size int, literal_quote string, create_params string, case_sensitive boolean, searchable int, maximum_scale int, num_prec_radix int"
 
 # What the engine says about itself.
 SQL_INFO = [
     ("server_name", "tarnflow"),
     ("read_only", "true"),
+    ("sql", "true"),
+    ("substrait", "false"),
     ("transactions", "none"),
+    ("ddl_catalog", "false"),
+    ("ddl_schema", "true"),
+    ("ddl_table", "true"),
+    ("identifier_case", "lowercase"),
+    ("quoted_identifier_case", "unknown"),
+    ("all_tables_selectable", "true"),
     ("null_ordering", "sorted at end"),
-    ("identifier_case", "insensitive"),
-    ("identifier_quote", "`"),
     ("max_columns_in_table", "1000"),
-    ("supported_group_by", "beyond select"),
-    ("outer_joins", "full"),
-    ("subqueries", "scalar, correlated, in, exists"),
 ]
 
 
@@ -168,7 +173,7 @@ class Catalog:
 
     def info_types(self, code: int | None = None) -> DataFrame:
         rows = [t for t in TYPES if code is None or t[1] == code]
-        return self._rows(rows, "type_name string, data_type int, column_size int, literal_quote string")
+        return self._rows(sorted(rows, key=lambda t: (t[1], t[0])), TYPE_COLUMNS)
 
     def info_sql(self) -> DataFrame:
         return self._rows(SQL_INFO, "info_name string, value string")

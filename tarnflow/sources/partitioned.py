@@ -16,15 +16,29 @@ from pyspark.sql import functions as F
 SIZE = 6
 
 # The accepted date and time forms, tried in this order.
-FORMATS = ["%Y-%m-%d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S.%f", "%Y-%m-%dT%H:%M:%S.%f", "%m/%d/%Y", "%m/%d/%Y %H:%M:%S", "%d-%m-%Y", "%d-%m-%Y %H:%M:%S", "%Y/%m/%d", "%Y/%m/%d %H:%M:%S", "%Y%m%d"]
+FORMATS = [
+    "%Y-%m-%d %H:%M:%S",
+    "%Y/%m/%d %H:%M:%S",
+    "%m/%d/%Y %H:%M:%S",
+    "%d/%m/%Y %H:%M:%S",
+    "%Y-%m-%dT%H:%M:%S.%f%z",
+    "%Y.%m.%d %H:%M:%S",
+    "%Y%m%d %H:%M:%S",
+    "%Y-%m-%d",
+    "%Y/%m/%d",
+    "%m/%d/%Y",
+    "%d/%m/%Y",
+    "%Y%m%d",
+]
 
 
 def parse_date(text: str) -> dt.datetime:
     for form in FORMATS:
         try:
-            return dt.datetime.strptime(text.strip(), form)
+            found = dt.datetime.strptime(text.strip(), form)
         except ValueError:
             continue
+        return found.astimezone(dt.UTC).replace(tzinfo=None) if found.tzinfo else found
     raise ValueError(f"not a date: {text!r}")
 
 

@@ -79,8 +79,9 @@ def test_partition_options():
     assert len(partition_options({"partition.byColumn": "x"})) == 6
     with pytest.raises(ValueError):
         long_predicates("x", 3, 2)
-    assert parse_date("2001-02-03T04:05:06") == dt.datetime(2001, 2, 3, 4, 5, 6)
-    for text in ("2001-02-03", "02/03/2001", "03-02-2001", "2001/02/03", "20010203"):
+    assert parse_date("2001-02-03T04:05:06.000+0100") == dt.datetime(2001, 2, 3, 3, 5, 6)
+    assert parse_date("25/12/2001 01:02:03") == dt.datetime(2001, 12, 25, 1, 2, 3)
+    for text in ("2001-02-03", "02/03/2001", "2001/02/3", "2001.02.03 00:00:00", "20010203"):
         assert parse_date(text) == dt.datetime(2001, 2, 3)
     with pytest.raises(ValueError):
         parse_date("soon")
