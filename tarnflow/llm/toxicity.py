@@ -50,7 +50,8 @@ SAYING = set("said says wrote called quote quoted quotes slur word term sagte sc
 ADDRESS = set("you your yours ur u du dein deine dich dir ihr tu toi ton ta tes vous votre tú ti usted ustedes vosotros eres are".split())
 QUOTES = "\"“”„«»‹›"
 
-_TOKEN = re.compile(rf"[{QUOTES}]|[^\W_]+(?:['’][^\W_]+)*")
+#: Quote marks, and words; a sign inside a word may stand for a letter.
+_TOKEN = re.compile(rf"[{QUOTES}]|[^\W_]+(?:['’*@$#+][^\W_]+)*")
 FEATURES = 7
 
 

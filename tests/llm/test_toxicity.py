@@ -83,6 +83,8 @@ def test_misspelled_and_quoted_terms(fitted):
 
     plain = "the water walks under the green tree "
     assert value(plain + "you wortless idoit " + plain) > value(plain) + 0.3
+    assert value(plain + "sc*mbag idi0t " + plain) > value(plain) + 0.3
+    assert tx.tokens_of("Wow*** st*pid, it's $5 \"a\"") == ["wow", "st*pid", "it's", "5", '"', "a", '"']
     abuse, quotation = value(plain + "you idiot " + plain), value(plain + 'they said "idiot" ' + plain)
     assert abuse > quotation
 
