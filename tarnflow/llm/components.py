@@ -35,22 +35,3 @@ def components(edges: DataFrame, nodes: int) -> DataFrame:
     hubs = stars.select(F.col("root").alias("node")).unionByName(loops).distinct()
     alone = hubs.join(stars.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
     return stars.unionByName(alone)
-
-
-class Forest:
-    """Union-find over small numbers, for what one task sees."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        x, y = self.find(x), self.find(y)
-        if x != y:
-            self.parent[max(x, y)] = min(x, y)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import made
 from tarnflow.llm.common import Texts, Words, cut, mix, ship, slices, store
-from tarnflow.llm.components import Forest, components
+from tarnflow.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
@@ -256,11 +256,17 @@ def _candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Da
 
 
 def _spanning(names: list[bytes], i: np.ndarray, j: np.ndarray) -> list[tuple[bytes, bytes]]:
-    forest = Forest(len(names))
-    touched = np.unique(np.concatenate([i, j])).tolist()
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
-        forest.join(x, y)
-    return [(names[x], names[forest.find(x)]) for x in touched if forest.find(x) != x]
+    """Edges from each name to the first of its component among the pairs (i, j)."""
+    label = np.arange(len(names))
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, i, label[j])
+        np.minimum.at(lower, j, label[i])
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    return [(names[x], names[label[x]]) for x in np.flatnonzero(label != np.arange(len(names))).tolist()]
 
 
 def _sets(source: DataFrame, groups: DataFrame) -> DataFrame:
