@@ -43,7 +43,7 @@ from tarnflow.llm.common import Texts, byte_prefix, cut, mix, powers_down, range
 
 LENGTH, GRAM, ROUNDS = 200, 32, 5
 #: Bytes of fragments merged at a time, bytes in a shard, and distinct fragments of an anchor at most.
-BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 20, 1 << 18, 1 << 14
+BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 19, 1 << 17, 1 << 14
 #: log2 of the cells in which a task counts symbols; fewer cells than symbols only prune less.
 MOST_CELLS = 22
 #: Text bytes of one step over a batch: its arrays stay in the processor's cache.

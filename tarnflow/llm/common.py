@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a numpy loop works on; a longer single text is a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held whole on both sides.
