@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
 from tarnflow.llm.common import checkpoint_dir, load, ship
-from tarnflow.llm.queries import held_out
+from tarnflow.llm.queries import held_out, tokenizer_path
 
 #: A document goes if its toxicity is at least this, or if more of its words are benchmark passages.
 TOXIC_FROM, MOST_COVERED = 0.7, 0.5
@@ -55,7 +55,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per bin: its pieces, tokens used and fill."""
-    packed = packing.pack(docs, packing.estimated_tokens(F.col("text")), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    sized = packing.counted(docs, tokenizer_path(), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    packed = packing.pack(sized, F.col("n_tokens"), cluster=F.col("cluster"))
     return packing.bins(packed)
 
 

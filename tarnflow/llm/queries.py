@@ -150,10 +150,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarnflow.llm.packing import estimated_tokens, pack
+    from tarnflow.llm.packing import counted, pack
 
-    docs = load(spark, sf_dir, "documents")
-    return pack(docs, estimated_tokens(F.col("text")), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = counted(load(spark, sf_dir, "documents"), tokenizer_path(), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    return pack(docs, F.col("n_tokens"), cluster=F.col("cluster"))
 
 
 def held_out(key: str = "doc_id"):

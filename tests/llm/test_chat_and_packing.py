@@ -99,3 +99,24 @@ def test_packing_places_every_token_once(awkward):
 
 def test_packing_nothing(no_docs):
     assert packing.bins(packing.pack(no_docs, F.lit(3), F.lit(None).cast("string"))).count() == 0
+
+
+def test_packing_queries_count_real_tokens(spark, tmp_path, awkward):
+    import sentencepiece
+
+    import corpus_pipeline as cp
+    from tarnflow.llm import queries
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    awkward.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for r in awkward.collect():
+        expected[r.doc_id] = expected.get(r.doc_id, 0) + len(library.encode(r.text or ""))
+    assert any(n > packing.CAPACITY for n in expected.values())
+    got = {}
+    for r in queries.op4(spark, str(tmp_path)).collect():
+        assert r.start + r.n_tokens <= packing.CAPACITY
+        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
+    assert got == expected
+    bins = cp.pack_sequences(spark, awkward, str(tmp_path)).collect()
+    assert sum(b.used for b in bins) == sum(expected.values()) and all(b.used <= packing.CAPACITY for b in bins)
