@@ -55,7 +55,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per bin: its pieces, tokens used and fill."""
-    sized = packing.counted(docs, tokenizer_path(), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    sized = packing.counted(docs, tokenizer_path())
     packed = packing.pack(sized, F.col("n_tokens"), cluster=F.col("cluster"))
     return packing.bins(packed)
 

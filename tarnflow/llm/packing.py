@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import cut, ship
+from tarnflow.llm.jaccard_join import classes
 from tarnflow.llm.token_counts import count_tokens
 
 CAPACITY = 4096
@@ -44,11 +45,19 @@ def estimated_tokens(text: Column) -> Column:
     return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(4)).cast("long")
 
 
-def counted(docs: DataFrame, model_path: str, cluster: Column, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source, cluster and n_tokens, the tokens of the whole text; counted once, as ``pack`` reads its rows twice."""
+def counted(docs: DataFrame, model_path: str, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """key, source, n_tokens and cluster of each row, found once, as ``pack`` reads its rows twice.
+
+    n_tokens are the tokens of the whole text. A cluster is a near-duplicate class of ``jaccard_join``;
+    texts without words, which have none, are one cluster if they are the same.
+    """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(key), F.col(source), F.col(text).alias("text"), cluster.alias("cluster"))
-    return cut(count_tokens(rows, model_path))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(key), F.col(source), F.col(text).alias("text"), F.xxhash64(whole).alias("th"), F.sha2(whole, 256).alias("exact"))
+    sized = cut(count_tokens(rows, model_path))
+    found = classes(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).where("class_node IS NOT NULL")
+    near = cut(found.groupBy("th").agg(F.first("class_node").alias("class_node")))
+    return cut(sized.join(near, "th", "left").select(key, source, "n_tokens", F.coalesce(F.hex("class_node"), "exact").alias("cluster")))
 
 
 def best_fit(items: Iterable[tuple[int, int, int | None]], capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[tuple[int, int]]:

@@ -152,7 +152,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnflow.llm.packing import counted, pack
 
-    docs = counted(load(spark, sf_dir, "documents"), tokenizer_path(), cluster=F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = counted(load(spark, sf_dir, "documents"), tokenizer_path())
     return pack(docs, F.col("n_tokens"), cluster=F.col("cluster"))
 
 

@@ -120,3 +120,27 @@ def test_packing_queries_count_real_tokens(spark, tmp_path, awkward):
     assert got == expected
     bins = cp.pack_sequences(spark, awkward, str(tmp_path)).collect()
     assert sum(b.used for b in bins) == sum(expected.values()) and all(b.used <= packing.CAPACITY for b in bins)
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    import corpus_pipeline as cp
+    from tarnflow.llm import queries
+
+    rng = random.Random(8)
+    rows, family = [], {}
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for copy in range(4):
+            rows.append((4 * k + copy, " ".join([*words, f"end{copy}"]), f"s{4 * k + copy}"))
+            family[4 * k + copy] = k
+    rows += [(100, "?!", "a"), (101, "?!", "b"), (102, None, "c"), (103, "", "d"), (104, "!!", "e")]
+    family |= {100: "mark", 101: "mark", 102: "none", 103: "none", 104: "other"}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    of_bin = {}
+    for r in queries.op4(spark, str(tmp_path)).collect():
+        of_bin.setdefault(r.bin, []).append(family[r.doc_id])
+    of_pipeline = {b.bin: [family[p.key] for p in b.pieces] for b in cp.pack_sequences(spark, docs, str(tmp_path)).collect()}
+    for bins in (of_bin, of_pipeline):
+        assert sum(map(len, bins.values())) == len(rows)
+        assert all(len(set(x)) == len(x) for x in bins.values())
