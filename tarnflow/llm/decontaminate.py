@@ -12,7 +12,9 @@ Words are looked up by hash first, so only runs of words that some item has are
 automaton itself compares the words, not hashes.
 
 Nulls and texts without words: no words, no hits. Items without words are never hit. Repeated rows
-are judged each; repeated items are all reported. Columns named as the results are replaced.
+are judged each; repeated items are all reported. An item with a null id is hit as any other: its words
+count in n_hit and spans, it isn't named in item_ids, and n_items counts all such items as one more.
+Columns named as the results are replaced.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from tarnflow.llm.common import Texts, Words, ship, slices
 WINDOW = 10
 #: Words of test items in one automaton; the bound on what is sent to a worker at once.
 BLOCK_WORDS = 200_000
+#: Stands for a null id in an automaton; no string of Spark's holds a lone surrogate.
+NO_ID = "\ud800"
 
 
 class SuffixAutomaton:
@@ -140,27 +144,27 @@ def words_of(texts: Texts) -> list[list[bytes]]:
 def automata(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
     """Automata over the items, each of ``block_words`` words at most (or of one item)."""
     block, size = SuffixAutomaton(window), 0
-    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL AND i IS NOT NULL")
+    rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         [words] = words_of(Texts(pa.RecordBatch.from_arrays([pa.array([row.t], pa.string())], names=["t"]), "t"))
         if size and size + len(words) > block_words:
             yield block.finish()
             block, size = SuffixAutomaton(window), 0
-        block.add(row.i, words)
+        block.add(NO_ID if row.i is None else row.i, words)
         size += len(words)
     yield block.finish()
 
 
 def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids (sorted array of strings) and spans.
+    """``docs`` with n_words, n_hit, item_ids (sorted array of strings), n_items and spans.
 
     ``spans`` holds start, end, start, end ... in words: the maximal runs of hit words.
     """
     ship(docs.sparkSession)
-    added = ["n_words", "n_hit", "item_ids", "spans"]
+    added = ["n_words", "n_hit", "item_ids", "n_items", "spans"]
     rest = [c for c in docs.columns if c not in added]
     df = docs.select([F.col(f"`{c}`") for c in rest])
-    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("n_items", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))])
     for k, automaton in enumerate(automata(items, window=window, block_words=block_words)):
         sent = df.sparkSession.sparkContext.broadcast(automaton)
         df = df.mapInArrow(_pass(sent, text, rest, again=k > 0), schema)
@@ -173,7 +177,7 @@ def _pass(sent, text: str, rest: list[str], again: bool):
         probe = [b" ".join(automaton.vocabulary())]
         known = np.unique(Words(Texts(pa.RecordBatch.from_arrays([pa.array(probe, pa.binary())], names=["t"]), "t")).hash)
         for texts in slices(batches, text):
-            n_hit, items, spans = [], [], []
+            n_hit, items, n_items, spans = [], [], [], []
             words = Words(texts)
             if len(known):
                 at = np.minimum(np.searchsorted(known, words.hash), len(known) - 1)
@@ -194,20 +198,22 @@ def _pass(sent, text: str, rest: list[str], again: bool):
                     hits.setdefault(row, []).append((base + x, base + y))
                     owners.setdefault(row, set()).update(found)
             if again:
-                old_items, old_spans = texts.column("item_ids"), texts.column("spans")
+                old_items, old_n, old_spans = texts.column("item_ids"), texts.column("n_items"), texts.column("spans")
             for row in range(texts.n):
                 pairs, found = hits.get(row, []), owners.get(row, set())
                 if again:
                     flat = old_spans[row].as_py()
                     pairs = pairs + list(zip(flat[::2], flat[1::2], strict=True))
-                    found = found | set(old_items[row].as_py())
+                    old = old_items[row].as_py()
+                    found = found | set(old) | ({NO_ID} if old_n[row].as_py() > len(old) else set())
                 union = merged(pairs)
                 n_hit.append(sum(y - x for x, y in union))
-                items.append(sorted(found))
+                n_items.append(len(found))
+                items.append(sorted(found - {NO_ID}))
                 spans.append([v for pair in union for v in pair])
             arrays = [texts.column(c) for c in rest]
-            arrays += [pa.array(np.diff(words.offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n_words", "n_hit", "item_ids", "spans"])
+            arrays += [pa.array(np.diff(words.offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(n_items, pa.int64()), pa.array(spans, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n_words", "n_hit", "item_ids", "n_items", "spans"])
 
     return run
 

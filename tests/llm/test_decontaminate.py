@@ -94,3 +94,25 @@ def test_empty_tables(spark, awkward, no_docs):
     assert dc.scan(awkward, nothing).where("n_hit > 0").count() == 0
     assert dc.scan(no_docs, nothing).count() == 0
     assert dc.clean(awkward, nothing).count() == awkward.count()
+
+
+@pytest.mark.parametrize("block", [200_000, 5])
+def test_items_without_an_id_are_hit(spark, block):
+    docs = spark.createDataFrame([(1, "keep one two three here"), (2, "four five six"), (3, "nothing")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "two three"), (7, "two three"), (None, "four five six")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r.item_ids), r.n_items) for r in dc.scan(docs, items, block_words=block).collect()}
+    assert got == {1: (3, ["7"], 2), 2: (3, [], 1), 3: (0, [], 0)}
+    assert sorted(map(tuple, dc.clean(docs, items, max_coverage=0.8).collect())) == [(1, "keep  here"), (3, "nothing")]
+
+
+def test_the_query_and_its_oracle_agree_on_items_without_an_id(spark, tmp_path):
+    import duckdb
+
+    from tarnflow.llm import queries
+
+    spark.createDataFrame([(1, "keep one two three here"), (2, "four five six")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "one two three"), (None, "four five six"), (7, "two three")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, queries.op9(spark, str(tmp_path)).collect())) == sorted(duck.execute(queries.ORACLES["op9_decontaminate"]).fetchall())
