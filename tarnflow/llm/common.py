@@ -14,7 +14,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of a numpy loop works on; a longer single text is a step of its own.
@@ -89,6 +89,11 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_name(text: str) -> Column:
+    """128 bits that tell texts apart; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 class Texts:
     """Some rows of an Arrow batch: their texts as one byte array with row offsets."""
 
@@ -128,6 +133,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = end
 
 
+def together(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Runs of batches of ``limit`` bytes or a little more as one batch each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 # ---------------------------------------------------------------- hashing
 
 #: An odd multiplier, 5 modulo 8, so that its powers repeat as late as they can.

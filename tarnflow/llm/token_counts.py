@@ -10,46 +10,57 @@ The step uses a property of byte-pair merges: a row of tokens is the tokenisatio
 only if every pair of neighbours is, taken alone, the tokenisation of its two tokens' text. So the
 last token of a prefix is the one piece that ends it and gets on with the last token before it.
 
-Text is cut before each mark of white space that follows another character: no piece goes across
-such a place (checked on compiling), so the state after it is the same whatever came before. The map
-of a chunk of text, from state to state and count, is then the part before its first such place, a
-number, and the state after its last; ``compose`` is associative, and a long text's chunk maps are
-joined in a balanced tree.
-
-Nulls count as empty; an empty text has no tokens. Repeated rows are counted each. Other columns are
-not read.
+A cut is a mark of white space that follows another character: no piece goes across it (checked on
+compiling), so the state after it is the same whatever came before. Words between cuts are counted
+once per distinct word of a batch and summed by index.
+
+Longer texts are chunks of CHUNK_CHARS characters. The map of a chunk (``ChunkMap``) leads from each
+entry state to (exit state, tokens). Its entry states are those that the LOOK_BACK characters before
+the chunk can lead to: one if they have a cut, else those of a run from each of the last places where
+a token could start. Maps compose associatively; a chunk's map is made without the chunks before it.
+A text of more than ``long_bytes`` bytes is dealt to tasks chunk by chunk, and its maps are composed
+in a scan of three rounds of SCAN maps each (SCAN ** 3 chunks are above the longest text that Spark
+holds). If a composed map lacks the start state, as no run from those places led to the true entry
+state, the text is counted again from left to right. Both ways give the library's number.
+
+Nulls count as empty; an empty text has no tokens. Repeated rows are counted each; a long text that
+many rows hold is counted once. Other columns are kept as they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.llm.common import ship, slices, together
+
 SPACE = "▁"
 #: Characters of one chunk; longer texts become several chunk maps.
 CHUNK_CHARS = 1 << 16
+#: Characters before a chunk from which its entry states follow.
+LOOK_BACK = 64
+#: UTF-8 bytes beyond which the chunks of a text are dealt to tasks, and maps composed by one of them.
+LONG_BYTES, SCAN = 1 << 22, 64
+#: Bytes of texts whose words are split at a time.
+STEP_BYTES = 1 << 23
+#: Characters of a word, and different characters, up to which words go through the matrix of moves.
+MATRIX_CHARS, COLUMNS = 32, 192
 #: Words that a worker remembers; the memory is emptied when it is full.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Compiled states that a worker keeps between texts; beyond them compiling starts anew.
-STATES = 400_000
+STATES = 200_000
 _START = ("", (None,), (0,))
-
-
-class Node(dict):
-    """A state: character -> (next node, change in the number of tokens), compiled when first asked for."""
-
-    __slots__ = ("machine", "state")
-
-    def __init__(self, machine: Compiled, state: tuple):
-        self.machine, self.state = machine, state
-
-    def __missing__(self, char: str) -> tuple[Node, int]:
-        move = self[char] = self.machine.compile_move(self.state, char)
-        return move
+_NEVER = float("-inf")
+#: A move holds the next state, and the change of the count, which is above -_OFFSET, in its last bits.
+_BITS = 10
+_MASK, _OFFSET = (1 << _BITS) - 1, 1 << _BITS - 1
 
 
 class Compiled:
@@ -62,16 +73,36 @@ class Compiled:
         self.dummy_prefix = dummy_prefix
         self.chars = {c for p in pieces for c in p}
         self.starts = {p[:k] for p in pieces for k in range(1, len(p))}  # of longer pieces
+        self.longest = max(map(len, pieces), default=1)
+        if self.longest > _OFFSET // 2:
+            raise ValueError("a piece is too long")
+        self.same = {p: p for p in pieces}  # one string object for each piece
+        self.columns = np.zeros(0x110000, np.uint8)  # of characters, as they are met; 0: none
+        self.characters = [""]
         self.memory: dict[str, int] = {}
-        self.after_space: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.forget()
 
     def forget(self) -> None:
-        """Back to the start state alone."""
+        """Back to the start state alone, which is number 0."""
         self.pairs.clear()
-        self.start = Node(self, _START)
-        self.nodes: dict[tuple, Node] = {_START: self.start}
+        self.states: list[tuple] = [_START]
+        self.numbers: dict[tuple, int] = {_START: 0}
+        #: a move is the next state with the change of the count: by state and character, and as a matrix
+        #: by column of a character and state, 0 where not yet compiled; pages never written take no memory
+        self.moves: dict[int, int] = {}
+        self.table = np.zeros((COLUMNS, STATES + STATES // 4), np.int32)
+
+    def forget_if_full(self) -> None:
+        if len(self.states) > STATES:
+            self.forget()
+
+    def number(self, state: tuple) -> int:
+        found = self.numbers.get(state)
+        if found is None:
+            found = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return found
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Compiled:
@@ -92,16 +123,17 @@ class Compiled:
 
     def merged(self, text: str) -> list[str]:
         """The tokenisation by its definition: the best-scored adjacent pair merges, leftmost on ties."""
+        score = self.pieces.get
         parts = list(text)
-        while len(parts) > 1:
-            best, where = None, -1
-            for i in range(len(parts) - 1):
-                score = self.pieces.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, where = score, i
-            if best is None:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        scores = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) != _NEVER:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score(parts[i - 1] + parts[i], _NEVER)
+            if i < len(scores):
+                scores[i] = score(parts[i] + parts[i + 1], _NEVER)
         return parts
 
     def agree(self, left: str | None, right: str) -> bool:
@@ -111,42 +143,60 @@ class Compiled:
             self.pairs[key] = self.merged(key[0] + right) == [x for x in key if x]
         return self.pairs[key]
 
-    def compile_move(self, state: tuple, char: str) -> tuple[Node, int]:
+    def compile_move(self, number: int, char: str) -> int:
+        """The move from a state at a character."""
+        to, delta = self._move(self.states[number], char)
+        found = self.moves[number << 21 | ord(char)] = self.number(to) << _BITS | delta + _OFFSET
+        return found
+
+    def _fill(self, numbers: np.ndarray, columns: np.ndarray) -> None:
+        """Compiles those moves of the matrix that are missing."""
+        for key in np.unique(numbers.astype(np.int64) * COLUMNS + columns).tolist():
+            number, column = divmod(key, COLUMNS)
+            to, delta = self._move(self.states[number], self.characters[column])
+            to = self.number(to)
+            if to >= self.table.shape[1]:
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
+            self.table[column, number] = to << _BITS | delta + _OFFSET
+
+    def _move(self, state: tuple, char: str) -> tuple[tuple, int]:
         suffix, last, counts = state
         if char not in self.chars:  # no piece has it: bytes of its own, and nothing merges across it
-            return self.start, len(char.encode())
+            return _START, len(char.encode())
         grown = suffix + char
+        same, starts = self.same, self.starts
         # last[d] is the last token d characters back (index 0: here), counts[d] its count against here
         for d in range(len(grown), 0, -1):
-            token = grown[-d:]
-            if (token in self.pieces or d == 1) and self.agree(last[d - 1], token):
+            token = same.get(grown[-d:]) or (grown[-d:] if d == 1 else None)
+            if token is not None and self.agree(last[d - 1], token):
                 break
         else:
             raise AssertionError(f"no token ends {grown!r}")
-        whole = token in self.pieces
+        whole = token in same
         delta = counts[d - 1] + (1 if whole else len(token.encode()))
         keep = len(grown)
-        while keep and grown[-keep:] not in self.starts:
+        while keep and grown[-keep:] not in starts:
             keep -= 1
         kept = grown[len(grown) - keep :]
-        open_ = [kept[-d:] in self.starts for d in range(1, keep + 1)]  # the rest can't be returned to
-        new = (
-            kept,
-            (token if whole else None, *(t if o else "" for t, o in zip(last, open_, strict=False))),
-            (0, *(c - delta if o else 0 for c, o in zip(counts, open_, strict=False))),
-        )
-        if new not in self.nodes:
-            self.nodes[new] = Node(self, new)
-        return self.nodes[new], delta
+        new_last, new_counts = [token if whole else None], [0]
+        for d in range(1, keep + 1):  # places that can't be returned to are all alike
+            open_ = kept[-d:] in starts
+            new_last.append(last[d - 1] if open_ else "")
+            new_counts.append(counts[d - 1] - delta if open_ else 0)
+        return (kept, tuple(new_last), tuple(new_counts)), delta
 
     # ------------------------------------------------------------ running
 
-    def run(self, node: Node, text: str) -> tuple[Node, int]:
-        total = 0
+    def run(self, number: int, text: str) -> tuple[int, int]:
+        """(state, tokens) after a text, from a state."""
+        moves, total = self.moves, 0
         for char in text:
-            node, delta = node[char]
-            total += delta
-        return node, total
+            move = moves.get(number << 21 | ord(char))
+            if move is None:
+                move = self.compile_move(number, char)
+            number = move >> _BITS
+            total += move & _MASK
+        return number, total - _OFFSET * len(text)
 
     def word(self, text: str) -> int:
         """Tokens of a stretch that starts at a cut."""
@@ -154,87 +204,189 @@ class Compiled:
         if got is None:
             if len(self.memory) >= MEMORY:
                 self.memory.clear()
-            got = self.memory[text] = self.run(self.start, text)[1]
+            got = self.memory[text] = self.run(0, text)[1]
         return got
 
-    def chunk(self, text: str) -> ChunkMap:
-        """The map of a chunk of escaped text."""
-        words = _CUT.split(text)
-        if len(words) == 1:
-            return ChunkMap(self, text, None)
-        return ChunkMap(self, words[0], sum(map(self.word, words[1:-1])), words[-1])
+    def entries(self, before: str, whole: bool) -> set[int]:
+        """States that a text may be in after ``before``, its last characters or (``whole``) all of them."""
+        cut = max((m.start() for m in _CUT.finditer(before)), default=None)
+        if cut is not None:
+            return {self.run(0, before[cut:])[0]}
+        if whole:
+            return {self.run(0, before)[0]}
+        return {self.run(0, before[k:])[0] for k in range(self.longest + 1)}
+
+    def chunk(self, text: str, entries: set[int]) -> ChunkMap:
+        """The map of a chunk of escaped text, over ``entries``."""
+        head, *words = _CUT.split(text)
+        live: dict[int, list[list]] = {e: [[self.states[e], 0]] for e in entries}
+        for k in range(0, len(head), LOOK_BACK):  # states that have met go on as one
+            met: dict[int, list[list]] = {}
+            for number, origins in live.items():
+                to, n = self.run(number, head[k : k + LOOK_BACK])
+                for origin in origins:
+                    origin[1] += n
+                met.setdefault(to, []).extend(origins)
+            live = met
+        if not words:
+            return ChunkMap({state: (self.states[number], n) for number, origins in live.items() for state, n in origins})
+        last, rest = self.run(0, words[-1])
+        rest += sum(map(self.word, words[:-1]))
+        return ChunkMap({state: (self.states[last], n + rest) for origins in live.values() for state, n in origins})
+
+    def escaped(self, text: str) -> str:
+        return SPACE * self.dummy_prefix + text.replace(" ", SPACE)
+
+    def chunks(self, text: str) -> Iterator[tuple[str, bool, str]]:
+        """(characters before, whether those are all, characters) of each chunk of a text as it is given."""
+        text = self.escaped(text)
+        for k in range(0, len(text), CHUNK_CHARS):
+            yield text[max(0, k - LOOK_BACK) : k], k <= LOOK_BACK, text[k : k + CHUNK_CHARS]
 
     def count(self, text: str) -> int:
         """Tokens of a text as the library gives them, without added tokens."""
         if not text:
             return 0
-        if len(self.nodes) > STATES:
-            self.forget()
-        if self.dummy_prefix and len(text) <= CHUNK_CHARS and text[0] != " " and "  " not in text and SPACE not in text:
-            return self.plain(text)
-        text = text.replace(" ", SPACE)
-        if self.dummy_prefix:
-            text = SPACE + text
-        maps = [self.chunk(text[i : i + CHUNK_CHARS]) for i in range(0, len(text), CHUNK_CHARS)]
-        while len(maps) > 1:  # a balanced scan
-            maps = [maps[i].compose(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        return maps[0].apply(self.start)[1]
-
-    def plain(self, text: str) -> int:
-        """The same for one chunk whose spaces stand alone: each is a cut, the prefix too."""
-        memory = self.after_space
-        start, total = self.start[SPACE], 0
-        for word in text.split(" "):
-            n = memory.get(word)
-            if n is None:
-                node, n = start
-                for char in word:
-                    node, delta = node[char]
-                    n += delta
-                if len(memory) >= MEMORY:
-                    memory.clear()
-                memory[word] = n
+        self.forget_if_full()
+        if len(text) <= CHUNK_CHARS:
+            return sum(map(self.word, _CUT.split(self.escaped(text))))
+        found = scanned([self.chunk(part, self.entries(before, whole)) for before, whole, part in self.chunks(text)]).moves.get(_START)
+        return found[1] if found else self.run(0, self.escaped(text))[1]
+
+    def words(self, words: pa.Array) -> np.ndarray:
+        """Tokens of each of some distinct words that stand after one space: all go on a character at a time."""
+        out = np.zeros(len(words), np.int64)
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
+        by_size = np.argsort(-size, kind="stable")
+        by_size = by_size[np.searchsorted(-size[by_size], -MATRIX_CHARS) :]
+        size = size[by_size]
+        some = np.array(words.take(pa.array(by_size)).to_pylist(), f"U{MATRIX_CHARS}").view(np.uint32).reshape(-1, MATRIX_CHARS)
+        columns = self.columns[some]
+        if not columns[size[:, None] > np.arange(MATRIX_CHARS)].all():
+            self._meet(some)
+            columns = self.columns[some]
+        start, first = self.run(0, SPACE)
+        state, total, bare = np.full(len(size), start), np.full(len(size), first), np.zeros(len(size), bool)
+        for k in range(size[0] if len(size) else 0):
+            live = np.searchsorted(-size, -k)  # those that are longer
+            at, column = state[:live], columns[:live, k]
+            move = self.table[column, at]
+            missing = (move == 0) & (column > 0)
+            if missing.any():
+                self._fill(at[missing], column[missing])
+                move = self.table[column, at]
+            state[:live] = np.where(column > 0, move >> _BITS, 0)
+            total[:live] += (move & _MASK) - _OFFSET
+            bare[:live] |= column == 0
+        out[by_size] = total
+        rest = np.ones(len(words), bool)  # too long, or a character without a column
+        rest[by_size[~bare]] = False
+        for i in np.flatnonzero(rest).tolist():
+            out[i] = first + self.run(start, words[i].as_py())[1]
+        return out
+
+    def _meet(self, characters: np.ndarray) -> None:
+        """Gives columns to new characters while there are any."""
+        for code in np.unique(characters).tolist():
+            if code and not self.columns[code] and len(self.characters) < COLUMNS:
+                self.columns[code] = len(self.characters)
+                self.characters.append(chr(code))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; nulls count as empty."""
+        texts = texts.fill_null("")
+        plain = self.plain(texts)
+        out = np.zeros(len(texts), np.int64)
+        if plain.any():
+            self.forget_if_full()
+            words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+            flat = words.flatten().dictionary_encode()
+            each = self.words(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
+            out[plain] = np.add.reduceat(each, words.offsets.to_numpy()[:-1] - words.offsets[0].as_py())
+        for i in np.flatnonzero(~plain).tolist():
+            out[i] = self.count(texts[i].as_py())
+        return out
+
+    def plain(self, texts: pa.Array) -> np.ndarray:
+        """Texts of one chunk whose spaces stand alone, so that each is a cut, the prefix too."""
+        if not self.dummy_prefix:
+            return np.zeros(len(texts), bool)
+        odd = pc.or_(pc.match_substring(texts, "  "), pc.or_(pc.match_substring(texts, SPACE), pc.starts_with(texts, " ")))
+        odd = pc.or_(odd, pc.greater(pc.binary_length(texts), CHUNK_CHARS))
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0))
+        return ~odd.to_numpy(zero_copy_only=False)
+
+    def parts(self, text: str, capacity: int) -> list[tuple[int, int, int]]:
+        """(start, end, tokens) of parts of a text, in characters, each of ``capacity`` tokens at most.
+
+        Parts end at spaces, which are in no part if the vocabulary adds one before a text; so each
+        part taken alone has the tokens that it has in the text. Only a word of more tokens than
+        ``capacity`` is divided, and its parts have the tokens that they have alone.
+        """
+        if not text:
+            return [(0, 0, 0)]
+        self.forget_if_full()
+        shift = int(self.dummy_prefix)
+        escaped = self.escaped(text)
+        cuts = [m.start() for m in _CUT.finditer(escaped)]
+        at = [0, *(c for c in cuts if text[c - shift] == " " and c < len(escaped) - 1), len(escaped)]
+        out: list[tuple[int, int, int]] = []
+        first, total = 0, 0  # of the part that is open, in the escaped text
+        for a, b in zip(at, at[1:], strict=False):
+            n = sum(map(self.word, _CUT.split(escaped[a:b])))
+            if total + n > capacity:
+                if a > first:
+                    out.append((first, a - shift, total))
+                first, total = a, 0
+            if n > capacity:
+                *done, (a, b, n) = self._divided(text[a:b - shift] if shift else escaped[a:b], capacity)
+                out += [(first + x, first + y, k) for x, y, k in done]
+                first, total = first + a, 0
             total += n
-        return total
+        out.append((first, len(text), total))
+        return out
+
+    def _divided(self, word: str, capacity: int) -> list[tuple[int, int, int]]:
+        """The same for one word: the longest prefix that fits, again and again."""
+        out, at = [], 0
+        while at < len(word):
+            number, n = self.run(0, SPACE * self.dummy_prefix)
+            best = (at + 1, None)
+            for k in range(at, len(word)):
+                number, delta = self.run(number, SPACE if word[k] == " " else word[k])
+                n += delta
+                if n <= capacity:
+                    best = (k + 1, n)
+                elif n > capacity + 2 * self.longest:
+                    break
+            if best[1] is None:
+                raise ValueError("a character has more tokens than the capacity")
+            out.append((at, *best))
+            at = best[0]
+        return out
 
 
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
 class ChunkMap:
-    """State -> (state, tokens) of a chunk: a head run from the entry state and, if the chunk has a cut
-    (``total`` is not None), tokens between its cuts and a tail run from the start state."""
-
-    __slots__ = ("machine", "head", "total", "tail")
+    """Entry state -> (exit state, tokens) of a chunk."""
 
-    def __init__(self, machine: Compiled, head: str, total: int | None, tail: str = ""):
-        self.machine, self.head, self.total, self.tail = machine, head, total, tail
+    __slots__ = ("moves",)
 
-    def apply(self, node: Node) -> tuple[Node, int]:
-        node, n = self.machine.run(node, self.head)
-        if self.total is None:
-            return node, n
-        node, m = self.machine.run(self.machine.start, self.tail)
-        return node, n + self.total + m
+    def __init__(self, moves: dict[tuple, tuple[tuple, int]]):
+        self.moves = moves
 
     def compose(self, later: ChunkMap) -> ChunkMap:
-        """This map, then ``later``. A cut between the two shows only where the chunks meet."""
-        ours = self.tail if self.total is not None else self.head
-        theirs = later.head
-        if ours and theirs and ours[-1] != SPACE and theirs[0] == SPACE:  # the cut is at the seam
-            if self.total is None:
-                head, total = ours, 0
-            else:
-                head, total = self.head, self.total + self.machine.word(ours)
-            if later.total is None:
-                return ChunkMap(self.machine, head, total, theirs)
-            return ChunkMap(self.machine, head, total + self.machine.word(theirs) + later.total, later.tail)
-        joined = ours + theirs
-        if self.total is None:
-            return ChunkMap(self.machine, joined, later.total, later.tail)
-        if later.total is None:
-            return ChunkMap(self.machine, self.head, self.total, joined)
-        return ChunkMap(self.machine, self.head, self.total + self.machine.word(joined) + later.total, later.tail)
+        """This map, then ``later``, for the entry states whose exit ``later`` knows."""
+        return ChunkMap({e: (later.moves[x][0], n + later.moves[x][1]) for e, (x, n) in self.moves.items() if x in later.moves})
+
+
+def scanned(maps: list[ChunkMap]) -> ChunkMap:
+    """All of them in a row, composed as a balanced tree."""
+    while len(maps) > 1:
+        maps = [maps[i].compose(maps[i + 1]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 _MACHINES: dict[str, Compiled] = {}
@@ -251,19 +403,69 @@ def counter(path: str) -> Callable[[str | None], int]:
     return lambda text: machine(path).count(text or "")
 
 
-def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
+def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens", long_bytes: int = LONG_BYTES) -> DataFrame:
     """``docs`` without its text, with the number of tokens of each whole text as column ``out``.
 
-    ``model_path`` must be readable on every executor. A column of the name ``out`` is replaced.
+    ``model_path`` must be readable on every executor. A column of the name ``out`` is replaced. Texts
+    of more than ``long_bytes`` bytes are counted chunk by chunk, by many tasks.
     """
+    ship(docs.sparkSession)
     rest = [c for c in docs.columns if c not in (text, out)]
+    plain = [f"c{i}" for i in range(len(rest))]  # whatever the columns are called
+    rows = docs.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(p) for c, p in zip(rest, plain, strict=True)])
+    is_long = F.coalesce(F.octet_length("text"), F.lit(0)) > long_bytes
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = machine(model_path)
+        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES):
+            counts = tokens.counts(texts.column("text"))
+            yield pa.RecordBatch.from_arrays([*(texts.column(p) for p in plain), pa.array(counts, pa.int64())], names=[*plain, "n"])
+
+    def recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [tokens.count(v.as_py() or "") for v in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], names=[*rest, out])
+            known = batch.column(batch.num_columns - 1).to_pylist()
+            counts = [machine(model_path).count(t.as_py()) if n is None else n for t, n in zip(batch.column(0), known, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:-1], pa.array(counts, pa.int64())], names=[*plain, "n"])
+
+    schema = rows.drop("text").schema.add("n", "long")
+    named = rows.where(is_long).withColumn("th", F.sha2("text", 256))
+    found = _long_counts(named.groupBy("th").agg(F.first("text").alias("text")), model_path)
+    joined = named.join(found, "th", "left").select("text", *plain, "n")
+    counted = rows.where(~is_long).mapInArrow(per_batch, schema).unionByName(joined.mapInArrow(recounted, schema))
+    return counted.select(*[F.col(p).alias(c) for p, c in zip(plain, rest, strict=True)], F.col("n").alias(out))
+
+
+def _long_counts(texts: DataFrame, model_path: str) -> DataFrame:
+    """th, n of texts (th, text): chunks dealt to tasks, their maps composed in rounds of SCAN; n is null
+    where the composed map doesn't know the start state."""
 
-    picked = docs.select(F.col(f"`{text}`"), *[F.col(f"`{c}`") for c in rest])
-    schema = picked.drop(text).schema.add(out, "long")
-    return picked.mapInArrow(per_batch, schema)
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for th, text in zip(batch.column(0), batch.column(1), strict=True):
+                for k, (before, whole, part) in enumerate(machine(model_path).chunks(text.as_py())):
+                    yield pa.RecordBatch.from_pydict({"th": [th], "k": [k], "before": [before], "whole": [whole], "part": [part]})
+
+    def map_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = machine(model_path)
+        for batch in batches:
+            maps = []
+            for before, whole, part in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
+                tokens.forget_if_full()
+                maps.append(pickle.dumps(tokens.chunk(part, tokens.entries(before, whole)).moves))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(maps, pa.binary())], names=["th", "k", "map"])
+
+    def compose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        whole = scanned([ChunkMap(pickle.loads(m)) for m in table["map"].to_pylist()])
+        return pa.table({"th": table["th"][:1], "k": [table["k"][0].as_py() // SCAN], "map": pa.array([pickle.dumps(whole.moves)], pa.binary())})
+
+    def tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [pickle.loads(m).get(_START) for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f and f[1] for f in found], pa.int64())], names=["th", "n"])
+
+    chunks = texts.mapInArrow(divide, "th string, k long, before string, whole boolean, part string").repartition("th", "k")
+    maps = chunks.mapInArrow(map_of, "th string, k long, map binary")
+    for _ in range(3):
+        maps = maps.groupBy("th", F.floor(F.col("k") / SCAN).alias("group")).applyInArrow(compose, "th string, k long, map binary")
+    return maps.select("th", "map").mapInArrow(tokens_of, "th string, n long")

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tarnflow.llm import token_counts as tc
@@ -41,6 +42,69 @@ def test_forgetting_states_changes_nothing(compiled, library, monkeypatch):
     monkeypatch.setattr(tc, "MEMORY", 3)
     for text in texts(200, 9):
         assert compiled.count(text) == len(library.encode(text))
+    some = texts(500, 10)
+    small = tc.Compiled.from_sentencepiece(tokenizer_path())
+    for k in range(0, 500, 50):
+        assert small.counts(pa.array(some[k : k + 50])).tolist() == [len(library.encode(t)) for t in some[k : k + 50]]
+
+
+@pytest.mark.parametrize("columns", [3, 192])
+def test_batches_equal_the_library(library, monkeypatch, columns):
+    monkeypatch.setattr(tc, "COLUMNS", columns)
+    some = [None, "", *texts(2000, 6), "x" * 70_000, "plain words and words " * 50]
+    assert tc.Compiled.from_sentencepiece(tokenizer_path()).counts(pa.array(some)).tolist() == [len(library.encode(t or "")) for t in some]
+
+
+def without_spaces():
+    rng = random.Random(12)
+    yield from ("a" * 20_000, "ab" * 9000, "-" * 15_001, "=" * 999 + "a" + "=" * 2000, " " * 9000 + "x", "thethe" * 3000, "漢" * 3000)
+    yield "".join(rng.choice("=-ab") for _ in range(20_000))
+    yield "".join(rng.choice("abcdefgh") for _ in range(20_000))
+
+
+def test_maps_of_chunks_without_a_cut(compiled, library, monkeypatch):
+    monkeypatch.setattr(tc, "CHUNK_CHARS", 500)
+    for text in without_spaces():
+        maps = [compiled.chunk(part, compiled.entries(before, whole)) for before, whole, part in compiled.chunks(text)]
+        state, total = tc._START, 0
+        for m in maps:  # the map of each chunk knows the state that the text is in
+            state, n = m.moves[state]
+            total += n
+        assert total == len(library.encode(text)) == tc.scanned(maps).moves[tc._START][1] == compiled.count(text)
+
+
+def test_an_unknown_entry_state_counts_again(compiled, library, monkeypatch):
+    monkeypatch.setattr(tc, "CHUNK_CHARS", 50)
+    monkeypatch.setattr(tc.Compiled, "entries", lambda self, before, whole: {0})
+    for text in texts(100, 13):
+        assert compiled.count(text) == len(library.encode(text))
+
+
+def test_long_texts_are_dealt_chunk_by_chunk(spark, library, monkeypatch):
+    long = "ab" * 150_000 + "=" * 99_999  # of several chunks
+    rows = [(k, t) for k, t in enumerate([*without_spaces(), *texts(40, 14), None, "", "words " * 40_000, long])]
+    df = spark.createDataFrame([*rows, *rows[:3]], "key long, text string").repartition(3)
+    got = sorted(map(tuple, tc.count_tokens(df, tokenizer_path(), long_bytes=30, out="text2").collect()))
+    assert got == sorted((k, len(library.encode(t or ""))) for k, t in [*rows, *rows[:3]])
+
+
+@pytest.mark.parametrize("capacity", [4, 5, 20])
+def test_parts_rebuild_the_text(compiled, library, capacity):
+    for text in [*texts(600, capacity), "a" * 500, "ab cd " * 40, "", " "]:
+        at, rebuilt = 0, ""
+        for start, end, n in compiled.parts(text, capacity):
+            assert n <= capacity and n == len(library.encode(text[start:end])) and text[at:start] in ("", " ")
+            rebuilt += text[at:end]
+            at = end
+        assert rebuilt == text
+
+
+def test_the_query_over_documents(spark, sf, library):
+    from tarnflow.llm.queries import QUERIES
+
+    want = {r.doc_id: (len((r.text or "").encode()), len(library.encode(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in QUERIES["op7_token_counts"](spark, sf).collect()}
+    assert got == want
 
 
 def test_operator_on_awkward_rows(awkward, no_docs, library):
