@@ -1,4 +1,10 @@
-"""A bit array over hashes, made by tasks part by part, of a size that has a bound."""
+"""A bit array over hashes, made by tasks part by part, of a size that has a bound.
+
+A build takes an index of any size: tasks read their rows as a stream and hold the parts of the array
+that they make, PARTS_BYTES at most each. Above ``most_bits / LEAST_EACH`` hashes an array would let
+nearly all through, so none is made and every hash passes; what is exact comes after the filter
+either way, and no result changes.
+"""
 
 from __future__ import annotations
 
@@ -6,22 +12,27 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import mix
 
-#: Bits for each hash, and the most bits an array may have (256 MB).
-BITS_EACH, MOST_BITS = 24, 1 << 31
-_SLAB = 22  # log2 of the bits that one task makes
+#: Bits for each hash, the fewest that are of use, and the most bits an array may have (256 MB).
+BITS_EACH, LEAST_EACH, MOST_BITS = 16, 2, 1 << 31
+_SLAB = 22  # log2 of the bits in one part
+#: Bytes of the parts that one task makes, about.
+PARTS_BYTES = 1 << 23
 
 
 class BitFilter:
-    """Two bit arrays over 64-bit hashes: blocks that occur, and blocks that occur twice or more."""
+    """Bit arrays over 64-bit hashes: ``once`` for those that occur, ``twice`` for those that do so again.
+
+    Without arrays (``log_bits`` 0) every hash passes.
+    """
 
-    def __init__(self, log_bits: int, once: np.ndarray, twice: np.ndarray):
-        self.log_bits, self.once, self.twice = log_bits, once, twice
+    def __init__(self, log_bits: int, **arrays: np.ndarray):
+        self.log_bits, self.arrays = log_bits, arrays
 
     @staticmethod
     def places(h: np.ndarray, log_bits: int) -> Iterator[np.ndarray]:
@@ -33,7 +44,11 @@ class BitFilter:
         for part in (h, h >> np.uint64(16), more, more >> np.uint64(20)):
             yield (base | (part & mask)).astype(np.int64)
 
-    def has(self, h: np.ndarray, array: np.ndarray) -> np.ndarray:
+    def has(self, h: np.ndarray, name: str) -> np.ndarray:
+        """Flags of the hashes that may be in the array ``name``; no hash of it is missed."""
+        if not self.log_bits:
+            return np.ones(len(h), bool)
+        array = self.arrays[name]
         found = np.arange(len(h))
         for k in range(4):
             places = next(p for i, p in enumerate(self.places(h[found], self.log_bits)) if i == k)
@@ -43,28 +58,35 @@ class BitFilter:
         return out
 
 
-def made(index: DataFrame, most_bits: int = MOST_BITS) -> BitFilter:
+def made(index: DataFrame, most_bits: int = MOST_BITS, arrays: tuple[str, ...] = ("once", "twice")) -> BitFilter:
     """The filter of an index of distinct hashes (h) with counts (n), which should be checkpointed."""
     n = index.count()
+    if n > most_bits // LEAST_EACH:
+        return BitFilter(0)
     log_bits = min(max(16, math.ceil(math.log2(max(1, n) * BITS_EACH))), int(math.log2(most_bits)))
     slab = min(_SLAB, log_bits)
-
-    def make(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        twice = pdf["n"].to_numpy() > 1
-        out = []
-        for some in (h, h[twice]):
-            flags = np.zeros(1 << slab, bool)
-            for places in BitFilter.places(some, log_bits):
-                flags[places & ((1 << slab) - 1)] = True
-            out.append(np.packbits(flags, bitorder="little").tobytes())
-        return pd.DataFrame({"slab": [int(h[0] >> np.uint64(64 - (log_bits - slab))) if log_bits > slab else 0], "once": [out[0]], "twice": [out[1]]})
-
-    number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.col("h").bitwiseAND(F.lit(0).cast("long"))
-    parts = index.groupBy(number.alias("slab")).applyInPandas(make, "slab long, once binary, twice binary")
-    once, twice = np.zeros((1 << log_bits) // 8, np.uint8), np.zeros((1 << log_bits) // 8, np.uint8)
     width = (1 << slab) // 8
-    for row in parts.toLocalIterator():
-        for array, data in ((once, row.once), (twice, row.twice)):
-            array[row.slab * width : (row.slab + 1) * width] |= np.frombuffer(data, np.uint8)
-    return BitFilter(log_bits, once, twice)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            h = batch.column(0).to_numpy().view(np.uint64)
+            for name in arrays:
+                some = h if name == "once" else h[batch.column(1).to_numpy() > 1]
+                number = some >> np.uint64(64 - (log_bits - slab)) if log_bits > slab else np.zeros(len(some), np.uint64)
+                for part in np.unique(number).tolist():
+                    bits = parts.setdefault((name, part), np.zeros(width, np.uint8))
+                    for places in BitFilter.places(some[number == part], log_bits):
+                        places &= (1 << slab) - 1
+                        np.bitwise_or.at(bits, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
+        for (name, part), bits in parts.items():
+            yield pa.RecordBatch.from_pydict({"name": [name], "slab": [part], "bits": [bits.tobytes()]})
+
+    slabs = 1 << log_bits - slab
+    tasks = max(1, slabs * width * len(arrays) // PARTS_BYTES)
+    number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.lit(0)
+    dealt = index.select("h", "n").repartition(tasks, number) if tasks > 1 else index.select("h", "n")
+    found = {name: np.zeros((1 << log_bits) // 8, np.uint8) for name in arrays}
+    for row in dealt.mapInArrow(make, "name string, slab long, bits binary").toLocalIterator():
+        found[row.name][row.slab * width : (row.slab + 1) * width] |= np.frombuffer(row.bits, np.uint8)
+    return BitFilter(log_bits, **found)

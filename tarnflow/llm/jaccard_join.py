@@ -1,7 +1,8 @@
 """Near-duplicate classes: n-gram Jaccard join with Bayesian pruning of candidates.
 
-A document's set is its runs of five words (A to Z lowered; fewer words: all of them as one). Equal
-sets are one node from then on, with a number of copies, so copies cost nothing and lose no link.
+A document's set is its runs of five words (A to Z lowered; fewer words: all of them as one). Texts of
+the same words in the same order are one node from then on, with a number of copies, so copies cost
+nothing and lose no link.
 
 1. Each node gets PERMUTATIONS MinHash values. Nodes that agree in all ROWS values of one of the BANDS
    bands are candidates; a pair at the threshold is missed with a chance of 3 in a million.
@@ -12,12 +13,20 @@ sets are one node from then on, with a number of copies, so copies cost nothing
 3. The rest is verified exactly: in each connected candidate group all pairs' set intersections are
    counted, and a link is a similarity of ``threshold`` or more.
 
-Buckets and groups of any size are dealt to tasks as pairs of blocks of bounded size. Tasks return a
+Buckets and groups of any size are dealt to tasks as pairs of blocks. A block of signatures has BLOCK
+members (2.5 MB) on average; a block of sets has SET_BLOCK members and SET_BYTES bytes of sets on
+average, or one set that is larger. A group of n members is thus sent n / BLOCK times over, which is
+less work than its n * n / 2 comparisons, all of which the number of links asks for. Tasks return a
 row per member (its links) and spanning edges. Classes are the connected components of the links.
 
+Names of nodes and of texts have 128 bits: among n unlike texts two share a name with a chance of
+n * n / 2**129. Shingles have 64 bits, and are compared only within a pair.
+
 Null and empty texts, and texts without words, have no set: they are a class of their own each, with
 no links. Repeated rows are copies of each other. The class id is the least doc_id of the class
-(null ids come last). Extra columns are ignored.
+(null ids come last). Texts of any length are read whole; a task holds one text's words at least. An
+empty table gives no rows. Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -27,63 +36,78 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import made
-from tarnflow.llm.common import Texts, Words, cut, mix, ship, slices, store
+from tarnflow.llm.common import Texts, Words, cut, mix, prefix, ranges, ship, slices, store, text_name
 from tarnflow.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 5, 32, 1e-6
 PERMUTATIONS = BANDS * ROWS
-#: Members of a block of signatures, and of a block of sets.
-BLOCK, SET_BLOCK = 1024, 512
+#: Members of a block of signatures; members and bytes of a block of sets.
+BLOCK, SET_BLOCK, SET_BYTES = 8192, 512, 1 << 25
+#: Bits of a MinHash value that are kept: unlike values agree in them with a chance of 1 in 65,536.
+KEPT = np.uint16
 
 _SEEDS = mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES = (_SEEDS[:PERMUTATIONS] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = (_SEEDS[PERMUTATIONS:] >> np.uint64(32)).astype(np.uint32)
 
 
-def shingle_sets(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, ascending within each row, and row offsets."""
-    words = Words(texts)
-    count = np.diff(words.offsets)
-    starts = words.window_starts(size)
-    h, row = words.windows(starts, size), words.row[starts] if len(starts) else starts
-    few = np.flatnonzero((count > 0) & (count < size))
-    if len(few):
-        short = [words.windows(words.offsets[few[count[few] == k]], k) for k in range(1, size)]
-        h = np.concatenate([h, *short])
-        row = np.concatenate([row, *[few[count[few] == k] for k in range(1, size)]])
-    order = np.lexsort((h, row))
-    h, row = h[order], row[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[fresh], row[fresh]
-    return h, np.searchsorted(row, np.arange(texts.n + 1))
-
-
-def _nodes_of(h: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
-    """A 128-bit name of each row's set; None for no set."""
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    out: list[bytes | None] = [None] * (len(offsets) - 1)
-    if len(full):
-        sums = np.stack([np.add.reduceat(mix(h ^ np.uint64(c)), offsets[full]) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)], 1)
-        for i, pair in zip(full.tolist(), sums, strict=True):
-            out[i] = pair.tobytes()
-    return out
-
-
-def _signatures(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """MinHash values of the rows that have a set."""
-    full = np.flatnonzero(np.diff(offsets) > 0)
-    x = (h >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((PERMUTATIONS, len(full)), np.uint32)
-    if len(full):
-        for k in range(PERMUTATIONS):
-            out[k] = np.minimum.reduceat((x ^ _FLIP[k]) * _TIMES[k], offsets[full])
-    return np.ascontiguousarray(out.T)
+class Shingles:
+    """The shingles of some texts: hashes in order of the rows, ``offsets`` of the rows, and row names."""
+
+    def __init__(self, texts: Texts, size: int = SHINGLE):
+        self.words = words = Words(texts)
+        count = np.diff(words.offsets)
+        starts = words.window_starts(size)
+        self.hash = words.windows(starts, size)
+        few = np.flatnonzero((count > 0) & (count < size))
+        if len(few):  # all of their words are one shingle
+            short = np.concatenate([words.windows(words.offsets[few[count[few] == k]], k) for k in range(1, size)])
+            row = np.concatenate([few[count[few] == k] for k in range(1, size)])
+            order = np.argsort(row)
+            place = np.searchsorted(starts, words.offsets[row[order]])
+            self.hash = np.insert(self.hash, place, short[order])
+        self.offsets = np.concatenate([[0], np.cumsum(np.where(count < size, count > 0, count - size + 1))])
+        self.full = np.flatnonzero(count > 0)
+
+    def names(self) -> list[bytes | None]:
+        """A 128-bit name of the words of each row in order; None for no words."""
+        out: list[bytes | None] = [None] * (len(self.offsets) - 1)
+        if len(self.full):
+            at, end = self.words.offsets[:-1][self.full], self.words.offsets[1:][self.full]
+            size = (end - at).astype(np.uint64)
+            other = prefix(mix(self.words.hash ^ np.uint64(0x5851F42D4C957F2D)))
+            pair = np.stack([mix(ranges(prefix(self.words.hash), at, end) + size), mix(ranges(other, at, end) ^ size)], 1)
+            for i, name in zip(self.full.tolist(), pair, strict=True):
+                out[i] = name.tobytes()
+        return out
+
+    def signatures(self) -> np.ndarray:
+        """MinHash values of the rows that have words."""
+        x = (self.hash >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((PERMUTATIONS, len(self.full)), np.uint32)
+        if len(self.full):
+            y, at = np.empty_like(x), self.offsets[:-1][self.full]
+            for k in range(PERMUTATIONS):
+                np.bitwise_xor(x, _FLIP[k], out=y)
+                np.multiply(y, _TIMES[k], out=y)
+                np.minimum.reduceat(y, at, out=out[k])
+        return np.ascontiguousarray(_spread(out).astype(KEPT).T)
+
+    def set_of(self, row: int) -> np.ndarray:
+        """The distinct shingles of a row, ascending."""
+        return np.unique(self.hash[self.offsets[row] : self.offsets[row + 1]])
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit words that brings high bits down, as minima have few high bits set."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
+    return x ^ (x >> np.uint32(16))
 
 
 def least_agreements(threshold: float, tolerance: float, step: int = STEP, most: int = PERMUTATIONS) -> list[tuple[int, int]]:
@@ -103,16 +127,41 @@ def least_agreements(threshold: float, tolerance: float, step: int = STEP, most:
     return out
 
 
-def surviving_pairs(left: np.ndarray, right: np.ndarray | None, limits: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs that no step drops: within ``left`` (i < j), or between the two."""
-    found_i, found_j = [], []
+class Forest:
+    """Groups of the numbers below n that pairs connect; the group's label is its least number."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def connect(self, i: np.ndarray, j: np.ndarray) -> None:
+        while len(i):
+            a, b = self.label[i], self.label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(self.label, np.maximum(a, b), np.minimum(a, b))
+            while (self.label != (lower := self.label[self.label])).any():
+                self.label = lower
+
+    def edges(self, names: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """An edge from each name to that of its label, but for labels themselves."""
+        return [(names[x], names[self.label[x]]) for x in np.flatnonzero(self.label != np.arange(len(names))).tolist()]
+
+
+def surviving(left: np.ndarray, right: np.ndarray | None, limits: list[tuple[int, int]]) -> Forest:
+    """What the pairs that no step drops connect: pairs within ``left``, or between the two.
+
+    ``right`` is numbered after ``left``. Pairs that are connected already are not looked at, so a
+    bucket of like members costs little more than its size.
+    """
+    other, base = (left, 0) if right is None else (right, len(left))
+    forest = Forest(base + len(other))
     for low in range(0, len(left), 64):
         some = left[low : low + 64]
-        other = left if right is None else right
+        row = low + np.arange(len(some))
+        apart = forest.label[row][:, None] != forest.label[base:][None, :]
         if right is None:
-            i, j = np.nonzero(np.arange(len(left))[None, :] > low + np.arange(len(some))[:, None])
-        else:
-            i, j = np.indices((len(some), len(right))).reshape(2, -1)
+            apart &= np.arange(len(left))[None, :] > row[:, None]
+        i, j = np.nonzero(apart)
         agree = np.zeros(len(i), np.int16)
         at = 0
         for n, least in limits:
@@ -121,9 +170,8 @@ def surviving_pairs(left: np.ndarray, right: np.ndarray | None, limits: list[tup
             i, j, agree, at = i[keep], j[keep], agree[keep], n
             if not len(i):
                 break
-        found_i.append(i + low)
-        found_j.append(j)
-    return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        forest.connect(i + low, j + base)
+    return forest
 
 
 def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarray:
@@ -152,17 +200,18 @@ def intersections(sets: list[np.ndarray], split: int | None = None) -> np.ndarra
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, node (null: no set), sig."""
+    """doc_id, th, node (null: no set), sig, size (shingles)."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for texts in slices(batches):
-            h, offsets = shingle_sets(texts)
-            nodes = _nodes_of(h, offsets)
-            sig = iter(_signatures(h, offsets))
+            found = Shingles(texts)
+            nodes = found.names()
+            sig = iter(found.signatures())
             sigs = [None if node is None else next(sig).tobytes() for node in nodes]
-            yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("th"), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "node", "sig"])
+            sizes = np.diff(found.offsets)
+            yield pa.RecordBatch.from_arrays([texts.column("doc_id"), texts.column("th"), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "th", "node", "sig", "size"])
 
-    return docs.mapInArrow(per_batch, f"doc_id {dict(docs.dtypes)['doc_id']}, th long, node binary, sig binary")
+    return docs.mapInArrow(per_batch, f"doc_id {dict(docs.dtypes)['doc_id']}, th binary, node binary, sig binary, size long")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -173,7 +222,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), KEPT).reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.broadcast_to(salt, sig.shape[:2])
             for k in range(ROWS):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
@@ -192,16 +241,16 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     return bands.join(once, "bucket")
 
 
-def _block_pairs(members: DataFrame, group: str, size: str, block: int) -> DataFrame:
+def _block_pairs(members: DataFrame, group: str, blocks: Column) -> DataFrame:
     """A row per member and task: tasks are the pairs a <= b of a group's blocks; side 0 is block a."""
-    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(block)), n).cast("int")
+    n = F.greatest(F.ceil(blocks), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(7)), n).cast("int")
     rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     return rows.select(group, "node", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
 
 
 def _by_task(rows: DataFrame, keys: list[str], solve: Callable, schema: str) -> DataFrame:
-    """Runs ``solve(columns)`` on the rows of each task; many small tasks share a partition."""
+    """Runs ``solve(keys, rows)`` on the rows of each task; many small tasks share a partition."""
     n_keys = len(keys)
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "node")
 
@@ -215,14 +264,14 @@ def _by_task(rows: DataFrame, keys: list[str], solve: Callable, schema: str) ->
                 for row in zip(*[c.to_pylist() for c in part.columns], strict=True):
                     if row[:n_keys] != last:
                         if group:
-                            out += solve(group)
+                            out += solve(last, group)
                         group, last = [], row[:n_keys]
                         if len(out) > 10_000:
                             yield _batch(out, schema)
                             out = []
                     group.append(row[n_keys:])
         if group:
-            out += solve(group)
+            out += solve(last, group)
         if out:
             yield _batch(out, schema)
 
@@ -239,36 +288,20 @@ def _candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Da
     """u, v: spanning edges of the groups of pairs that pruning leaves."""
     limits = least_agreements(threshold, tolerance)
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solve(task: tuple, rows: list[tuple]) -> list[tuple]:
         first = [r for r in rows if not r[1]]
         second = [r for r in rows if r[1]]
-        matrix = [np.frombuffer(b"".join(r[2] for r in part), np.uint32).reshape(len(part), PERMUTATIONS) for part in (first, second)]
-        if not first:
+        within = task[1] == task[2]  # of one block; of two, one may have no members
+        if not first or not (within or second):
             return []
-        same_block = not second
-        i, j = surviving_pairs(matrix[0], None if same_block else matrix[1], limits)
-        names = [r[0] for r in first] + [r[0] for r in second]
-        return _spanning(names, i, j if same_block else j + len(first))
+        matrix = [np.frombuffer(b"".join(r[2] for r in part), KEPT).reshape(len(part), PERMUTATIONS) for part in (first, second)]
+        return surviving(matrix[0], None if within else matrix[1], limits).edges([r[0] for r in first + second])
 
-    tasks = _block_pairs(_buckets(nodes), "bucket", "c", BLOCK)
+    tasks = _block_pairs(_buckets(nodes), "bucket", F.col("c") / F.lit(BLOCK))
     rows = tasks.join(nodes.select("node", "sig"), "node").select("bucket", "a", "b", "node", "second", "sig")
     return _by_task(rows, ["bucket", "a", "b"], solve, "u binary, v binary").distinct()
 
 
-def _spanning(names: list[bytes], i: np.ndarray, j: np.ndarray) -> list[tuple[bytes, bytes]]:
-    """Edges from each name to the first of its component among the pairs (i, j)."""
-    label = np.arange(len(names))
-    while True:
-        lower = label.copy()
-        np.minimum.at(lower, i, label[j])
-        np.minimum.at(lower, j, label[i])
-        lower = lower[lower]
-        if (lower == label).all():
-            break
-        label = lower
-    return [(names[x], names[label[x]]) for x in np.flatnonzero(label != np.arange(len(names))).tolist()]
-
-
 def _sets(source: DataFrame, groups: DataFrame) -> DataFrame:
     """node, shingles (bytes) of the nodes in candidate groups.
 
@@ -282,17 +315,17 @@ def _sets(source: DataFrame, groups: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names)], names=["h"])
 
     names = groups.select("node").mapInArrow(first_half, "h long").distinct().withColumn("n", F.lit(1).cast("long"))
-    sent = source.sparkSession.sparkContext.broadcast(made(cut(names)))  # MOST_BITS at most
+    sent = source.sparkSession.sparkContext.broadcast(made(cut(names), arrays=("once",)))  # MOST_BITS at most
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for texts in slices(batches):
-            h, offsets = shingle_sets(texts)
-            nodes = _nodes_of(h, offsets)
-            some = [i for i, node in enumerate(nodes) if node is not None]
-            heads = np.frombuffer(b"".join(nodes[i] for i in some), np.uint64)[::2] if some else np.zeros(0, np.uint64)
-            some = [i for i, there in zip(some, known.has(heads, known.once), strict=True) if there]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([h[offsets[i] : offsets[i + 1]].tobytes() for i in some], pa.binary())], names=["node", "shingles"])
+            found = Shingles(texts)
+            nodes = found.names()
+            some = found.full
+            heads = np.frombuffer(b"".join(nodes[i] for i in some.tolist()), np.uint64)[::2]
+            some = some[known.has(heads, "once")].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([found.set_of(i).tobytes() for i in some], pa.binary())], names=["node", "shingles"])
 
     return source.select("text").mapInArrow(per_batch, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -300,16 +333,17 @@ def _sets(source: DataFrame, groups: DataFrame) -> DataFrame:
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
     """node, links (documents), other (a node of its class): exact links inside candidate groups."""
 
-    def solve(rows: list[tuple]) -> list[tuple]:
+    def solve(task: tuple, rows: list[tuple]) -> list[tuple]:
         first = [r for r in rows if not r[1]]
         second = [r for r in rows if r[1]]
-        if not first or len(rows) < 2:
+        within = task[1] == task[2]
+        if not first or len(rows) < 2 or not (within or second):
             return []
         both = first + second
         sets = [np.frombuffer(r[3], np.uint64) for r in both]
         copies = np.array([r[2] for r in both])
         size = np.array([len(s) for s in sets])
-        if second:
+        if not within:
             k = len(first)
             shared = intersections(sets, k)
             union = size[:k, None] + size[None, k:] - shared
@@ -317,7 +351,7 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
             shared = intersections(sets)
             union = size[:, None] + size[None, :] - shared
         linked = shared >= threshold * union - 1e-9
-        if second:
+        if not within:
             counts = np.concatenate([linked @ copies[k:], linked.T @ copies[:k]])
             i, j = np.nonzero(linked)
             j = j + k
@@ -326,7 +360,9 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
             counts = linked @ copies
             i, j = np.nonzero(np.triu(linked, 1))
         names = [r[0] for r in both]
-        root = dict(_spanning(names, i, j))
+        forest = Forest(len(names))
+        forest.connect(i, j)
+        root = dict(forest.edges(names))
         return [(names[x], int(counts[x]), root.get(names[x], names[x])) for x in np.flatnonzero(counts).tolist()]
 
     return _by_task(sets, ["root", "a", "b"], solve, "node binary, links long, other binary")
@@ -335,13 +371,14 @@ def _links(sets: DataFrame, threshold: float) -> DataFrame:
 def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, th (hash of the text), class_node (null: no words), class_id and n_links of each row."""
     ship(docs.sparkSession)
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", text_name("text"))
     rows = store(_rows(source.select("doc_id", "th", "text")))
-    nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig")))
+    nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("size").alias("size")))
     n = nodes.count()
     groups = cut(components(_candidate_edges(nodes, threshold, tolerance), n), n)
-    counts = cut(groups.groupBy("root").agg(F.count("*").alias("c")), n)
-    tasks = _block_pairs(groups.join(counts, "root"), "root", "c", SET_BLOCK).join(nodes.select("node", "copies"), "node").join(_sets(source, groups), "node")
+    sized = groups.join(nodes.select("node", "size"), "node")
+    counts = cut(sized.groupBy("root").agg(F.greatest(F.count("*") / F.lit(SET_BLOCK), F.sum("size") * 8 / F.lit(SET_BYTES)).alias("blocks")), n)
+    tasks = _block_pairs(groups.join(counts, "root"), "root", F.col("blocks")).join(nodes.select("node", "copies"), "node").join(_sets(source, groups), "node")
     links = cut(_links(tasks.select("root", "a", "b", "node", "second", "copies", "shingles"), threshold))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")), n)
@@ -360,11 +397,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tolerance: fl
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row of each class, that of the least doc_id; rows without words all stay."""
-    found = classes(docs, threshold, tolerance)
-    best = found.where("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b"))
-    chosen = best.select(F.col("b.doc_id").alias("__d"), F.col("b.th").alias("__h"))
-    rows = docs.withColumn("__th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["__d"]) & (rows["__th"] == chosen["__h"]), "left_semi").dropDuplicates(["doc_id", "__th"])
-    bare = found.where("class_node IS NULL").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")).distinct()
-    empty = rows.join(bare, rows["doc_id"].eqNullSafe(bare["__d"]) & (rows["__th"] == bare["__h"]), "left_semi")
-    return kept.unionByName(empty).select(docs.columns)
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    key, text = plain[names.index("doc_id")], plain[names.index("text")]
+    found = classes(docs.select("doc_id", "text"), threshold, tolerance).where("class_node IS NOT NULL")
+    best = found.groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("b"))
+    chosen = best.select(_row_name(F.col("b.doc_id"), F.col("b.th")).alias("row"))
+    rows = docs.toDF(*plain)
+    worded = F.coalesce(F.col(text).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]"), F.lit(False))
+    # repeated rows become one before they are dealt, so none is hot, and the join needs no other deal
+    once = rows.where(worded).withColumn("row", _row_name(F.col(key), text_name(text))).dropDuplicates(["row"])
+    kept = once.join(chosen, "row", "left_semi").select(plain).unionByName(rows.where(~worded))
+    return kept.select(*[F.col(p).alias(n) for p, n in zip(plain, names, strict=True)])
+
+
+def _row_name(key: Column, th: Column) -> Column:
+    """128 bits for a key, or none, with the name of a text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("-")), F.lit("|"), F.hex(th)).cast("binary")))

@@ -53,10 +53,11 @@ def near_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize(("block", "set_block"), [(1024, 512), (7, 5)])
-def test_classes_and_links_equal_brute_force(spark, monkeypatch, block, set_block):
+@pytest.mark.parametrize(("block", "set_block", "set_bytes"), [(1024, 512, 1 << 25), (7, 5, 1 << 25), (8192, 512, 3000)])
+def test_classes_and_links_equal_brute_force(spark, monkeypatch, block, set_block, set_bytes):
     monkeypatch.setattr(jj, "BLOCK", block)
     monkeypatch.setattr(jj, "SET_BLOCK", set_block)
+    monkeypatch.setattr(jj, "SET_BYTES", set_bytes)
     rows = near_rows(block)
     df = spark.createDataFrame(rows, DOCS).withColumn("node", F.lit(1)).repartition(3)
     got = jj.near_duplicates(df).collect()
@@ -86,9 +87,25 @@ def test_limits_keep_pairs_at_the_threshold():
     n = 4000
     left = rng.integers(0, 2**32, (1, jj.PERMUTATIONS), dtype=np.uint32)
     right = np.where(rng.random((n, jj.PERMUTATIONS)) < 0.8, left, left + 1)
-    assert len(jj.surviving_pairs(left, right.astype(np.uint32), limits)[0]) == n
+    assert (jj.surviving(left, right.astype(np.uint32), limits).label == 0).all()
     far = np.where(rng.random((n, jj.PERMUTATIONS)) < 0.3, left, left + 1)
-    assert len(jj.surviving_pairs(left, far.astype(np.uint32), limits)[0]) == 0
+    assert (jj.surviving(left, far.astype(np.uint32), limits).label == np.arange(n + 1)).all()
+
+
+@pytest.mark.parametrize("split", [None, 90])
+def test_pruning_connects_as_all_pairs_do(split):
+    rng = np.random.default_rng(3)
+    limits = jj.least_agreements(0.8, 1e-6)
+    base = rng.integers(0, 2**16, (12, jj.PERMUTATIONS), dtype=np.uint16)
+    rows = np.where(rng.random((200, jj.PERMUTATIONS)) < rng.choice([0.5, 0.8, 0.95], (200, 1)), base[rng.integers(0, 12, 200)], 0)
+    want = jj.Forest(200)
+    for i in range(200):
+        for j in range(i):
+            if split is None or (j < split <= i):
+                if all((rows[i, :n] == rows[j, :n]).sum() >= least for n, least in limits):
+                    want.connect(np.array([j]), np.array([i]))
+    got = jj.surviving(rows if split is None else rows[:split], None if split is None else rows[split:], limits)
+    assert (got.label == want.label).all() and len(set(want.label.tolist())) < 200
 
 
 def test_intersections():
@@ -176,6 +193,18 @@ def test_stages(spark, folder):
     bins = cp.pack_sequences(spark, safe, base).collect()
     packed = sorted((-1 if p.key is None else p.key) for b in bins for p in b.pieces if p.piece == 0)
     assert packed == sorted(-1 if r.doc_id is None else r.doc_id for r in safe.collect())
+    parts = {}
+    for b in bins:
+        for p in b.pieces:
+            parts.setdefault((p.key, p.last if p.key is None else 0), []).append(p)
+    rebuilt = []
+    for (key, _), own in parts.items():
+        at, text = 0, ""
+        for p in sorted(own, key=lambda p: p.piece):
+            text += " " * (p.first - at) + p.text
+            at = p.last
+        rebuilt.append((-1 if key is None else key, text))
+    assert sorted(rebuilt) == sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in safe.collect())
 
 
 def test_run_equals_the_stages(spark, folder):
