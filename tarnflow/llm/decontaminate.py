@@ -2,11 +2,15 @@
 
 Items and texts are normalised the same way: A to Z lowered, words of digits, letters and characters
 above ASCII. One automaton over the words of all items is built on the driver and sent to the
-workers; a test set above ``block_words`` words becomes several automata, each used by a pass of its
-own over the same rows, so what is sent has a bound that no test set passes. A text streams through
-the automaton, which keeps the longest match that ends at each word. A match of ``window`` words or
-more (or of a whole shorter item) is a hit: its words count as copied, and the items whose window
-ends there are known from the state.
+workers; a test set above ``block_words`` words becomes several automata, and an item above that is
+divided into parts that share ``window`` - 1 words, so what is built and sent has a bound that no test
+set passes. The driver reads the items a partition at a time. Each automaton is used by a pass of its
+own over the same rows; passes are jobs with a written table between them, so a worker holds one
+automaton. A text streams through the automaton, which keeps the longest match that ends at each word.
+A match of ``window`` words or more (or of a whole shorter item) is a hit: its words count as copied,
+and the items whose window ends there are known from the state. A state names the shorter items that
+end there itself and links to the next state that does, so items are listed once however many states
+end with them.
 
 Words are looked up by hash first, so only runs of words that some item has are streamed; the
 automaton itself compares the words, not hashes.
@@ -14,7 +18,9 @@ automaton itself compares the words, not hashes.
 Nulls and texts without words: no words, no hits. Items without words are never hit. Repeated rows
 are judged each; repeated items are all reported. An item with a null id is hit as any other: its words
 count in n_hit and spans, it isn't named in item_ids, and n_items counts all such items as one more.
-Columns named as the results are replaced.
+Items of one word or window are all hit by it, none before another; item_ids are sorted. Texts of any
+length are read whole, by one task each. An empty table of texts gives no rows, an empty test set no
+hits. Columns named as the results are replaced by ``scan``; ``clean`` keeps all columns.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import Texts, Words, ship, slices
+from tarnflow.llm.common import Texts, Words, ship, slices, store
 
 WINDOW = 10
 #: Words of test items in one automaton; the bound on what is sent to a worker at once.
@@ -86,8 +92,8 @@ class SuffixAutomaton:
     def finish(self) -> SuffixAutomaton:
         """Marks the states whose window of words, or whole short item, belongs to some item."""
         n = len(self.length)
-        self.owners: dict[int, list[str]] = {}
-        self.short: dict[int, list[tuple[int, str]]] = {}
+        #: items by the mark of a hit: (state, 0) for windows, (state, words) for whole shorter items
+        self.named: dict[tuple[int, int], list[str]] = {}
         order = sorted(range(n), key=self.length.__getitem__)
         #: the state of the suffix of `window` words, for longer states
         self.cut = list(range(n))
@@ -102,12 +108,16 @@ class SuffixAutomaton:
                 if i + 1 >= self.window:
                     owned.setdefault(self.cut[state], set()).add(item)
             if 0 < len(words) < self.window:
-                self.short.setdefault(state, []).append((len(words), item))
-        self.owners = {s: sorted(x) for s, x in owned.items()}
-        for s in order:  # short items that end any longer run
-            above = self.short.get(self.link[s]) if self.link[s] > 0 else None
-            if above:
-                self.short[s] = self.short.get(s, []) + above
+                self.named.setdefault((state, len(words)), []).append(item)
+        #: the words of the shorter items that end a state's runs, longest first, and where to look on
+        self.short: dict[int, list[int]] = {}
+        for s, size in sorted(self.named, key=lambda x: -x[1]):
+            self.short.setdefault(s, []).append(size)
+        self.named |= {(s, 0): sorted(x) for s, x in owned.items()}
+        self.below = [0] * n
+        for s in order:
+            if s:
+                self.below[s] = s if s in self.short else self.below[self.link[s]]
         self.least = min([self.window, *(len(w) for _, w in self.items if w)])
         self.items = []
         return self
@@ -115,9 +125,10 @@ class SuffixAutomaton:
     def vocabulary(self) -> list[bytes]:
         return list(self.next[0])
 
-    def stream(self, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, end, items) of each window that ends at some word."""
+    def stream(self, words: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int]]]:
+        """(first word, end, mark) of each window, or shorter item, that ends at some word."""
         state = size = 0
+        below, short = self.below, self.short
         moves, link, length, window = self.next, self.link, self.length, self.window
         for i, word in enumerate(words):
             while state and word not in moves[state]:
@@ -127,11 +138,13 @@ class SuffixAutomaton:
                 state = moves[state][word]
                 size += 1
             if size >= window:
-                yield i + 1 - window, i + 1, self.owners[self.cut[state]]
-            if state in self.short:
-                for k, item in self.short[state]:
+                yield i + 1 - window, i + 1, (self.cut[state], 0)
+            s = below[state]
+            while s:
+                for k in short[s]:
                     if k <= size:
-                        yield i + 1 - k, i + 1, [item]
+                        yield i + 1 - k, i + 1, (s, k)
+                s = below[link[s]]
 
 
 def words_of(texts: Texts) -> list[list[bytes]]:
@@ -142,16 +155,19 @@ def words_of(texts: Texts) -> list[list[bytes]]:
 
 
 def automata(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[SuffixAutomaton]:
-    """Automata over the items, each of ``block_words`` words at most (or of one item)."""
+    """Automata over the items, each of ``block_words`` words, or ``window`` if that is more, at most."""
     block, size = SuffixAutomaton(window), 0
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL")
     for row in rows.toLocalIterator():
         [words] = words_of(Texts(pa.RecordBatch.from_arrays([pa.array([row.t], pa.string())], names=["t"]), "t"))
-        if size and size + len(words) > block_words:
-            yield block.finish()
-            block, size = SuffixAutomaton(window), 0
-        block.add(NO_ID if row.i is None else row.i, words)
-        size += len(words)
+        most = max(block_words, window)
+        for k in range(0, max(1, len(words) - window + 1), most - window + 1):
+            part = words[k : k + most]
+            if size and size + len(part) > block_words:
+                yield block.finish()
+                block, size = SuffixAutomaton(window), 0
+            block.add(NO_ID if row.i is None else row.i, part)
+            size += len(part)
     yield block.finish()
 
 
@@ -165,9 +181,13 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
     rest = [c for c in docs.columns if c not in added]
     df = docs.select([F.col(f"`{c}`") for c in rest])
     schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("n_items", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType()))])
-    for k, automaton in enumerate(automata(items, window=window, block_words=block_words)):
-        sent = df.sparkSession.sparkContext.broadcast(automaton)
-        df = df.mapInArrow(_pass(sent, text, rest, again=k > 0), schema)
+    sent = None
+    for automaton in automata(items, window=window, block_words=block_words):
+        if sent is not None:
+            df = store(df)
+            sent.destroy()
+        again, sent = sent is not None, df.sparkSession.sparkContext.broadcast(automaton)
+        df = df.mapInArrow(_pass(sent, text, rest, again), schema)
     return df
 
 
@@ -185,7 +205,7 @@ def _pass(sent, text: str, rest: list[str], again: bool):
             else:
                 seen = np.zeros(len(words.hash), bool)
             hits: dict[int, list[tuple[int, int]]] = {}
-            owners: dict[int, set[str]] = {}
+            marks: dict[int, set[tuple[int, int]]] = {}
             data = None
             lo, hi = _long_runs(seen, words.offsets, automaton.least)
             rows = np.searchsorted(words.offsets, lo, side="right") - 1
@@ -194,13 +214,13 @@ def _pass(sent, text: str, rest: list[str], again: bool):
                     data = words.data.tobytes()
                 run_words = [data[x:y] for x, y in zip(words.start[a:b].tolist(), words.end[a:b].tolist(), strict=True)]
                 base = a - int(words.offsets[row])
-                for x, y, found in automaton.stream(run_words):
+                for x, y, mark in automaton.stream(run_words):
                     hits.setdefault(row, []).append((base + x, base + y))
-                    owners.setdefault(row, set()).update(found)
+                    marks.setdefault(row, set()).add(mark)
             if again:
                 old_items, old_n, old_spans = texts.column("item_ids"), texts.column("n_items"), texts.column("spans")
             for row in range(texts.n):
-                pairs, found = hits.get(row, []), owners.get(row, set())
+                pairs, found = hits.get(row, []), set().union(*(automaton.named[m] for m in marks.get(row, ())))
                 if again:
                     flat = old_spans[row].as_py()
                     pairs = pairs + list(zip(flat[::2], flat[1::2], strict=True))

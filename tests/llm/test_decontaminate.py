@@ -23,14 +23,14 @@ def brute(docs, items, window):
         for item, t in items:
             v = words(t)
             k = min(window, len(v))
-            if item is None or not k:
+            if not k:
                 continue
             grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)}
             for i in range(len(w) - k + 1):
                 if tuple(w[i : i + k]) in grams:
                     hit |= set(range(i, i + k))
-                    found.add(str(item))
-        out.append((key or -1, len(w), len(hit), sorted(found)))
+                    found.add(item)
+        out.append((key or -1, len(w), len(hit), sorted(str(i) for i in found if i is not None), len(found)))
     return sorted(out)
 
 
@@ -51,7 +51,7 @@ def test_hits_equal_brute_force(spark, awkward, window, block):
     items = items_of(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = dc.scan(awkward.select("doc_id", "text"), bench, window=window, block_words=block).collect()
-    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, list(r.item_ids)) for r in got) == brute(rows, items, window)
+    assert sorted((r.doc_id or -1, r.n_words, r.n_hit, list(r.item_ids), r.n_items) for r in got) == brute(rows, items, window)
     for r in got:
         assert sum(r.spans[1::2]) - sum(r.spans[::2]) == r.n_hit
 
@@ -66,7 +66,7 @@ def test_automaton_on_random_words():
         for item, w in items:
             automaton.add(item, w)
         automaton.finish()
-        got = {(x, y, i) for x, y, found in automaton.stream(text) for i in found}
+        got = {(x, y, i) for x, y, mark in automaton.stream(text) for i in automaton.named[mark]}
         want = set()
         for item, w in items:
             k = min(window, len(w))
@@ -75,6 +75,27 @@ def test_automaton_on_random_words():
         assert got == want
 
 
+def test_items_that_end_many_states_are_listed_once():
+    automaton = dc.SuffixAutomaton(10)
+    for k in range(3000):
+        automaton.add(f"y{k}", [b"yes"])
+        automaton.add(f"n{k}", [b"no", b"x%d" % k, b"yes"])
+    automaton.finish()
+    assert sum(map(len, automaton.named.values())) == 6000
+    marks = {m for _, _, m in automaton.stream([b"no", b"x7", b"yes"])}
+    assert sorted(i for m in marks for i in automaton.named[m]) == sorted(["n7", *(f"y{k}" for k in range(3000))])
+
+
+def test_a_long_item_is_divided(spark):
+    words = [f"w{k}" for k in range(100)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w5 w6")], "item_id long, text string")
+    blocks = list(dc.automata(bench, window=4, block_words=9))
+    assert len(blocks) > 10 and all(len(b.next[0]) <= 9 for b in blocks)
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[20:60]) + " y"), (2, " ".join(words)), (3, "w98 w99 w0 w1")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, list(r.item_ids), list(r.spans)) for r in dc.scan(docs, bench, window=4, block_words=9).collect()}
+    assert got == {1: (40, ["1"], [1, 41]), 2: (100, ["1", "2"], [0, 100]), 3: (0, [], [])}
+
+
 def test_words_of_bytes():
     texts = Texts(pa.RecordBatch.from_arrays([pa.array(["Ab1 cd", None, "é-x", "", "a"])], names=["t"]), "t")
     assert dc.words_of(texts) == [[b"ab1", b"cd"], [], ["é".encode(), b"x"], [], [b"a"]]
