@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tarnflow.llm import topk_search
 from tarnflow.llm.topk_search import Shard, top_k
 
 
@@ -33,6 +34,36 @@ def test_equals_brute_force(spark, k, block):
     assert sorted(map(tuple, got)) == brute(rows, k, lambda q: q % 7 == 0)
 
 
+@pytest.mark.parametrize(("least", "queries", "most_bytes"), [(20, 8, 1 << 26), (20, 8, 0), (7, 3, 1 << 26)])
+def test_many_shards_and_query_blocks(spark, monkeypatch, least, queries, most_bytes):
+    monkeypatch.setattr(topk_search, "LEAST_SHARD", least)
+    monkeypatch.setattr(topk_search, "QUERY_ROWS", queries)
+    monkeypatch.setattr(topk_search, "BOUND_BYTES", most_bytes)
+    rows = vectors(150, least)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, top_k(df, df["vec_id"] % 3 == 0, 4).collect())) == brute(rows, 4, lambda q: q % 3 == 0)
+
+
+def test_a_shard_of_empty_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "LEAST_SHARD", 1)
+    df = spark.createDataFrame([(k, []) for k in range(5)] + [(7, [1.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(df, df["vec_id"] == 0, 3).orderBy("rank").collect()]
+    assert got == [(1, 0), (2, 0), (3, 0)]
+    got = [(r.vec_id, r.score) for r in top_k(df, df["vec_id"] == 7, 2).orderBy("rank").collect()]
+    assert got == [(0, 0), (1, 0)]
+
+
+def test_the_least_component_keeps_its_sign(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [-1e30]), (2, [0.5])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in top_k(df, df["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == [(2, 256 * 128), (1, -(2**63) + 2)]
+
+
+def test_bounds_of_enormous_components_do_not_wrap():
+    q, most, least = np.array([[2**62, 2**62]]), np.array([[4, 4]]), np.array([[-1, -1]])
+    assert topk_search.bounds(q, most, least)[0, 0] == 2**63 - 1
+
+
 def test_no_rows_and_no_queries(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(empty, empty["vec_id"] % 2 == 0).count() == 0
@@ -45,9 +76,9 @@ def test_bounds_hold():
     rng = np.random.default_rng(5)
     rows, queries = rng.integers(-50, 50, (300, 8)), rng.integers(-50, 50, (20, 8))
     shard = Shard(np.arange(300), rows, 32)
-    bounds = shard.bounds(queries)
+    limits = topk_search.bounds(queries, shard.most, shard.least)
     for b, block in enumerate(shard.rows):
-        assert ((queries @ block.T).max(1) <= bounds[:, b]).all()
+        assert ((queries @ block.T).max(1) <= limits[:, b]).all()
 
 
 def test_enormous_components_stay_in_64_bits(spark):
