@@ -65,7 +65,7 @@ def rewrite(sql: str) -> str:
     for _ in range(3):  # casts of casts
         out = re.sub(_OPERAND + r"\s*::\s*(\w+(?:\s*\([^()]*\))?)", lambda m: f"CAST({m[1]} AS {_kind(m[2])})", out)
     out = re.sub(r"\bexists\s*\(\s*select\s+\*\s+from\b", "EXISTS (SELECT 1 FROM", out, flags=re.IGNORECASE)
-    out = re.sub(r"\bcreate\s+(?:or\s+replace\s+)?view\b", "CREATE OR REPLACE TEMPORARY VIEW", out, flags=re.IGNORECASE)
+    out = re.sub(r"\bcreate\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?view\b", "CREATE OR REPLACE TEMPORARY VIEW", out, flags=re.IGNORECASE)
     while _MARK.search(out):
         out = _MARK.sub(lambda m: held[int(m[1])], out)
     return out

@@ -1,29 +1,44 @@
-"""Schemas that have been read lately.
+"""Schemas of Parquet tables that have been read before.
 
-Reading a table's schema opens a file and runs a job. A schema is remembered for a short while by the
-table's place, so that a series of queries reads it once; rows and file lists are never remembered.
+Reading a table's schema opens a file and runs a job. A schema is remembered with the names, sizes and
+times of the table's files, and is used again only while all of them are the same, so a table that is
+written anew is never read with an old schema. Tables of many files or with folders inside are read
+each time. Rows and file lists are never remembered.
 """
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Seconds for which a schema is taken as known.
-SECONDS = 30.0
+#: Files of a table up to which their states are compared.
+MOST_FILES = 64
+
+_known: dict[str, tuple[tuple, T.StructType]] = {}
+
 
-_known: dict[str, tuple[float, T.StructType]] = {}
+def _state(spark: SparkSession, path: str) -> tuple | None:
+    """Name, size and time of each file of a table; None if that isn't known of it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listStatus(where)
+    except Exception:  # whatever is wrong with the path, the reader says it better
+        return None
+    if not 0 < len(found) <= MOST_FILES or any(f.isDirectory() for f in found):
+        return None
+    return tuple((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in found)
 
 
-def read_parquet(spark: SparkSession, path: str, now=time.monotonic) -> DataFrame:
-    """The table at ``path``, by the schema known for it or by its own."""
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """The table at ``path``, by the schema known for its files or by its own."""
+    state = _state(spark, path)
     seen = _known.get(path)
-    if seen and now() - seen[0] < SECONDS:
+    if state and seen and seen[0] == state:
         return spark.read.schema(seen[1]).parquet(path)
     rows = spark.read.parquet(path)
-    _known[path] = (now(), rows.schema)
+    if state:
+        _known[path] = (state, rows.schema)
     return rows
 
 

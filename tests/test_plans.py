@@ -50,6 +50,28 @@ def test_selects_pass():
     assert mentioned("select * from Orders o join lineitem") == ["orders", "lineitem"]
 
 
+@pytest.mark.parametrize("value", ["a--b", "/* k */", "a;b", "--", "x */ y /*", 'say "hi" -- now', "`"])
+def test_comment_marks_in_literals_are_kept(spark, value):
+    assert run_sql(spark, f"SELECT '{value}' AS x -- a 'comment'\n /* and ; more */ ;").first().x == value
+    assert run_sql(spark, "SELECT 1 AS `a--b` /* c */").columns == ["a--b"]
+
+
+def test_views_and_server_questions(spark, sf):
+    assert run_sql(spark, "-- asks\nSHOW ALL").first().setting == "spark"
+    assert run_sql(spark, "SELECT * FROM pg_stat_bgwriter;").count() == 1
+    assert run_sql(spark, "CREATE VIEW low_orders AS SELECT o_orderkey FROM orders WHERE o_totalprice < 5000", sf).count() == 0
+    assert run_sql(spark, "SELECT count(*) AS n FROM low_orders").first().n > 0
+    for text in ("CREATE VIEW v AS DROP TABLE t", "CREATE VIEW v AS SELECT 1; DROP TABLE t", "CREATE TABLE v AS SELECT 1", "SHOW ALL; DROP TABLE t"):
+        with pytest.raises(NotASelect):
+            run_sql(spark, text)
+
+
+def test_parameters_are_values(spark, sf):
+    assert run_sql(spark, "SELECT ? AS x, ?::date AS d", args=["a' OR 1 = 1 --", "2001-02-03"]).first().x == "a' OR 1 = 1 --"
+    n = run_sql(spark, "SELECT count(*) AS n FROM orders WHERE o_totalprice > :least", sf, {"least": 1000.0}).first().n
+    assert n == table(spark, sf, "orders").where("o_totalprice > 1000").count()
+
+
 def test_dropped_clauses_are_honoured(spark, sf):
     rows = run_sql(spark, "SELECT DISTINCT o_orderstatus FROM orders ORDER BY 1 LIMIT 2", sf).collect()
     assert [r[0] for r in rows] == sorted(r[0] for r in rows) and len(rows) == 2

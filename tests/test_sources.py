@@ -150,14 +150,17 @@ def test_streams(spark, sf, tmp_path):
     assert spark.table("late").agg(F.sum("n")).first()[0] == n
 
 
-def test_schemas_are_remembered_for_a_while(spark, tmp_path):
+def test_schemas_follow_the_files(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/s"
-    schemas.forget(path)
     spark.range(3).write.parquet(path)
-    assert schemas.read_parquet(spark, path, lambda: 0.0).count() == 3
+    assert schemas.read_parquet(spark, path).count() == 3 and path in schemas._known
+    assert schemas.read_parquet(spark, path).columns == ["id"]
     spark.range(5).selectExpr("id", "id AS more").write.mode("overwrite").parquet(path)
-    assert schemas.read_parquet(spark, path, lambda: 1.0).columns == ["id"]
-    assert schemas.read_parquet(spark, path, lambda: 1.0).count() == 5
-    assert schemas.read_parquet(spark, path, lambda: 100.0).columns == ["id", "more"]
+    assert schemas.read_parquet(spark, path).columns == ["id", "more"] and schemas.read_parquet(spark, path).count() == 5
+    monkeypatch.setattr(schemas, "MOST_FILES", 0)
+    schemas.forget(path)
+    assert schemas.read_parquet(spark, path).count() == 5 and path not in schemas._known
+    spark.range(2).selectExpr("id", "id % 2 AS part").write.partitionBy("part").parquet(f"{tmp_path}/parts")
+    assert schemas.read_parquet(spark, f"{tmp_path}/parts").columns == ["id", "part"] and f"{tmp_path}/parts" not in schemas._known
     schemas.forget()
     assert not schemas._known
