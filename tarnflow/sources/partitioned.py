@@ -1,7 +1,13 @@
-"""Partitioned reads: one Spark partition group per predicate, and no row lost.
+"""Partitioned reads: one Spark partition per predicate, in one scan, and no row lost.
 
-Ranges are open at both ends and null keys have a place of their own, so the predicates together
-cover every row once. Explicit predicates are taken as they are.
+The type of the partition column chooses the predicates: whole numbers, fractions, or dates and times
+between two bounds; any other type, or a column without bounds, goes by hash. Bounds that don't read as
+the column's type are an error. Ranges are open at both ends and null keys have a place of their own,
+so the predicates together cover every row once. Explicit predicates are taken as they are: a row that
+several of them hold for is read as often, a row that none holds for isn't read.
+
+The table is scanned once. Each row is given the numbers of its predicates and dealt by them, so there
+is one shuffle instead of one scan for each predicate, and filters above still reach the scan.
 """
 
 from __future__ import annotations
@@ -95,12 +101,47 @@ def split_predicates(text: str) -> list[str]:
 
 
 def read_by(df: DataFrame, predicates: list[Column | str]) -> DataFrame:
-    """The union of the rows of each predicate; filters above are pushed into every part."""
-    parts = [df.where(F.expr(p) if isinstance(p, str) else p) for p in predicates]
-    return reduce(DataFrame.unionAll, parts)
+    """The rows of each predicate in a partition of its own."""
+    conditions = [F.expr(p) if isinstance(p, str) else p for p in predicates]
+    if len(conditions) == 1:
+        return df.where(conditions[0]).coalesce(1)
+    either = conditions[0]
+    for c in conditions[1:]:
+        either = either | c
+    mark = "__part"
+    while mark in df.columns:
+        mark += "_"
+    numbers = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in enumerate(conditions)]))
+    numbered = df.where(either).withColumn(mark, F.explode(numbers))
+    return numbered.repartitionById(len(conditions), F.col(mark)).drop(mark)
+
+
+def _numbered(df: DataFrame, number: Column, size: int) -> DataFrame:
+    return df.repartitionById(size, number) if size > 1 else df.coalesce(1)
+
+
+_WHOLE, _FRACTIONS, _TIMES = {"tinyint", "smallint", "int", "bigint"}, {"float", "double"}, {"date", "timestamp", "timestamp_ntz"}
+
+
+def column_predicates(df: DataFrame, column: str, lower: str | None, upper: str | None, size: int = SIZE) -> list[Column]:
+    """Predicates over a column by its type."""
+    named = {f.name.lower(): f.dataType.simpleString() for f in df.schema.fields}
+    if column.lower() not in named:
+        raise ValueError(f"no column {column!r} to partition by")
+    kind = named[column.lower()]
+    if lower is None or upper is None:
+        return hash_predicates(column, size)
+    plain = [b.replace(",", "").strip() for b in (lower, upper)]
+    if kind in _WHOLE and all(re.fullmatch(r"[+-]?\d+", b) for b in plain):
+        return long_predicates(column, int(plain[0]), int(plain[1]), size)
+    if kind in _WHOLE | _FRACTIONS or kind.startswith("decimal"):
+        return double_predicates(column, float(plain[0]), float(plain[1]), size)
+    if kind in _TIMES:
+        return date_predicates(column, lower, upper, size, kind)
+    return hash_predicates(column, size)
 
 
-def partition_options(options: dict[str, str]) -> list[Column | str] | None:
+def partition_predicates(df: DataFrame, options: dict[str, str]) -> list[Column | str] | None:
     """Predicates from reader options: partition.predicates, partition.predicate*, or a column with bounds."""
     listed = [v for k, v in sorted(options.items()) if re.fullmatch(r"partition\.predicate\d*", k)]
     if options.get("partition.predicates"):
@@ -111,12 +152,18 @@ def partition_options(options: dict[str, str]) -> list[Column | str] | None:
     if not column:
         return None
     size = int(options.get("partition.size", SIZE))
-    lower, upper = options.get("partition.lowerBound"), options.get("partition.upperBound")
-    if lower is None or upper is None:
-        return hash_predicates(column, size)
-    if re.fullmatch(r"[+-]?\d+", lower) and re.fullmatch(r"[+-]?\d+", upper) and len(lower) != 8:
-        return long_predicates(column, int(lower), int(upper), size)
-    try:
-        return double_predicates(column, float(lower), float(upper), size)
-    except ValueError:
-        return date_predicates(column, lower, upper, size)
+    if size < 1:
+        raise ValueError("a read has one partition or more")
+    return column_predicates(df, column, options.get("partition.lowerBound"), options.get("partition.upperBound"), size)
+
+
+def read_partitioned(df: DataFrame, options: dict[str, str]) -> DataFrame:
+    """``df`` dealt as the options say, or as it is if they say nothing."""
+    predicates = partition_predicates(df, options)
+    if predicates is None:
+        return df
+    if isinstance(predicates[0], str):
+        return read_by(df, predicates)
+    # predicates of a column hold for one part each, so the first that does is the row's
+    number = F.coalesce(*[F.when(p, F.lit(k)) for k, p in enumerate(predicates)], F.lit(0))
+    return _numbered(df, number, len(predicates))

@@ -1,12 +1,10 @@
 import datetime as dt
-import re
-
 import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.sources import schemas
 from tarnflow.sources.catalog import TYPES, Catalog, NotFound, like, sql_type, validate_name
-from tarnflow.sources.partitioned import date_predicates, double_predicates, hash_predicates, long_predicates, parse_date, partition_options, read_by, split_predicates
+from tarnflow.sources.partitioned import date_predicates, double_predicates, hash_predicates, long_predicates, parse_date, partition_predicates, read_by, read_partitioned, split_predicates
 from tarnflow.sources.reader import read_table, rows_until
 from tarnflow.sources.writer import IncompatibleSchema, VersionedTable, check_columns, complex_as_json, mapped_types
 from tarnflow.streaming.sink import tumbling_counts, write_stream
@@ -72,11 +70,18 @@ def test_partitioned_reads_lose_nothing(all_types, size):
         assert read_by(rows, predicates).count() == 1000
 
 
-def test_partition_options():
+def test_partition_options(spark):
+    rows = spark.sql("SELECT 1L AS n, DATE '2024-03-05' AS d, 0.5D AS f, '20240305' AS s, TIMESTAMP_NTZ '2024-03-05 01:02:03' AS t")
     assert split_predicates("a = ';x' ; b IN (1, 2) | c = 3, d = 4") == ["a = ';x'", "b IN (1, 2)", "c = 3", "d = 4"]
-    assert partition_options({"partition.predicate1": "a = 1", "partition.predicate2": "a <> 1"}) == ["a = 1", "a <> 1"]
-    assert partition_options({}) is None
-    assert len(partition_options({"partition.byColumn": "x"})) == 6
+    assert partition_predicates(rows, {"partition.predicate1": "a = 1", "partition.predicate2": "a <> 1"}) == ["a = 1", "a <> 1"]
+    assert partition_predicates(rows, {}) is None
+    assert len(partition_predicates(rows, {"partition.byColumn": "N"})) == 6
+    for column, lower, upper in [("n", "1,000", "9000"), ("n", "0.5", "9.5"), ("d", "20240301", "20240401"), ("t", "20240301", "20240401"), ("f", "20240301", "20240401"), ("s", "20240301", "20240401")]:
+        options = {"partition.byColumn": column, "partition.lowerBound": lower, "partition.upperBound": upper, "partition.size": "3"}
+        assert read_partitioned(rows, options).collect() == rows.collect(), column
+    for bad in ({"partition.byColumn": "none"}, {"partition.byColumn": "d", "partition.lowerBound": "soon", "partition.upperBound": "later"}, {"partition.byColumn": "n", "partition.lowerBound": "a", "partition.upperBound": "b"}, {"partition.byColumn": "n", "partition.size": "0"}):
+        with pytest.raises(ValueError):
+            read_partitioned(rows, bad)
     with pytest.raises(ValueError):
         long_predicates("x", 3, 2)
     assert parse_date("2001-02-03T04:05:06.000+0100") == dt.datetime(2001, 2, 3, 3, 5, 6)
@@ -87,11 +92,25 @@ def test_partition_options():
         parse_date("soon")
 
 
-def test_user_filters_reach_every_part(spark, all_types, tmp_path):
+def test_one_scan_with_the_filters_above(spark, all_types, tmp_path):
     all_types.write.parquet(f"{tmp_path}/t")
-    rows = read_by(spark.read.parquet(f"{tmp_path}/t"), long_predicates("id", 0, 1000, 3)).where("tinyint_col = 3")
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert len(re.findall(r"tinyint_col#\d+ = 3\)", plan)) >= 3 and "EqualTo(tinyint_col,3)" in plan
+    t = spark.read.parquet(f"{tmp_path}/t")
+    for options in ({"partition.byColumn": "id", "partition.lowerBound": "0", "partition.upperBound": "1000", "partition.size": "3"}, {"partition.predicates": "id < 300; id >= 300"}):
+        rows = read_partitioned(t, options).where("tinyint_col = 3").select("id")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "EqualTo(tinyint_col,3)" in plan and "string_col" not in plan
+        assert rows.count() == 100
+
+
+def test_each_predicate_has_a_partition(spark):
+    rows = spark.range(100).withColumn("__part", F.lit(1))
+    got = read_by(rows, ["id < 10", "id >= 5 AND id < 30", "id % 50 = 3"]).withColumn("p", F.spark_partition_id()).collect()
+    parts = {}
+    for r in got:
+        parts.setdefault(r.p, []).append(r.id)
+    assert sorted(map(sorted, parts.values())) == [list(range(10)), [3, 53], list(range(5, 30))]
+    dealt = read_partitioned(rows, {"partition.byColumn": "id", "partition.lowerBound": "0", "partition.upperBound": "100", "partition.size": "4"})
+    assert sorted(r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) == [25, 25, 25, 25]
 
 
 def test_rows_until_stops(spark):
