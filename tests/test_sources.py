@@ -6,7 +6,7 @@ from tarnflow.sources import schemas
 from tarnflow.sources.catalog import TYPES, Catalog, NotFound, like, sql_type, validate_name
 from tarnflow.sources.partitioned import date_predicates, double_predicates, hash_predicates, long_predicates, parse_date, partition_predicates, read_by, read_partitioned, split_predicates
 from tarnflow.sources.reader import read_table, rows_until
-from tarnflow.sources.writer import IncompatibleSchema, VersionedTable, check_columns, complex_as_json, mapped_types
+from tarnflow.sources.writer import IncompatibleSchema, RepeatedKey, VersionedTable, check_columns, complex_as_json, insert_into, mapped_types, write_table
 from tarnflow.streaming.sink import tumbling_counts, write_stream
 
 
@@ -146,6 +146,79 @@ def test_writer(spark, all_types, tmp_path):
     check_columns(all_types.select(F.col("id").alias("ID")), all_types.schema)
 
 
+def test_merges_change_the_columns_given_and_refuse_repeated_keys(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/m")
+    t.write(spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0), (2, "c", 3.0), (None, "n", 4.0)], "k int, s string, v double"))
+    t.write(spark.createDataFrame([(2, 20.0), (3, 30.0), (None, 40.0)], "K int, v double"), keys=["k"])
+    want = [(None, "n", 40.0), (1, "a", 1.0), (2, "b", 20.0), (2, "c", 20.0), (3, None, 30.0)]
+    assert sorted(map(tuple, t.read().collect()), key=lambda r: (r[0] or 0, r[1] or "")) == want
+    with pytest.raises(RepeatedKey):
+        t.write(spark.createDataFrame([(1, "x"), (1, "y")], "k int, s string"), keys=["k"])
+    assert t.read().count() == 5
+
+
+def test_a_merge_rewrites_only_the_files_it_touches(spark, tmp_path):
+    t = VersionedTable(spark, f"{tmp_path}/f")
+    for k in range(4):
+        t.append(spark.range(10 * k, 10 * k + 10).coalesce(1).withColumn("v", F.lit(0)))
+    before = set(t._files(t.version()))
+    t.merge(spark.createDataFrame([(13, 1), (99, 1)], "id long, v int"), ["id"])
+    after = set(t._files(t.version()))
+    assert len(before & after) == 3 and t.read().where("v = 1").count() == 2 and t.read().count() == 41
+    assert t.read(4).count() == 40
+    assert t.vacuum(keep=1) > 0 and t.versions() == [5] and t.read().count() == 41
+
+
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = VersionedTable(spark, f"{tmp_path}/c")
+    t.write(spark.range(20).withColumn("v", F.lit(-1)))
+
+    def change(k):
+        own = VersionedTable(spark, f"{tmp_path}/c")
+        if k % 3 == 2:
+            own.append(spark.createDataFrame([(100 + k, k)], "id long, v int"))
+        else:
+            own.merge(spark.createDataFrame([(k, k), (200 + k, k)], "id long, v int"), ["id"])
+
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(change, range(6)))
+    got = {r.id: r.v for r in t.read().collect()}
+    want = {k: -1 for k in range(20)} | {100 + k: k for k in (2, 5)} | {n: k for k in (0, 1, 3, 4) for n in (k, 200 + k)}
+    assert got == want and t.read().count() == len(want)
+
+
+def test_a_writer_that_died_with_a_number_stops_no_one(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, f"{tmp_path}/d")
+    t.write(spark.range(3))
+    fs, path = t._fs()
+    fs.create(path(f"{tmp_path}/d/_c00000002"), False).close()
+    import time
+
+    monkeypatch.setattr(time, "sleep", lambda s: None)
+    t.append(spark.range(3, 5))
+    assert t.read().count() == 5 and t.versions() == [1, 2, 3]
+    t.overwrite(spark.range(1))
+    assert t.read().count() == 1
+
+
+def test_write_options_together(spark, tmp_path):
+    rows = spark.createDataFrame([(1, (2, "x"), 1.5)], "k int, s struct<a: int, b: string>, f float")
+    options = {"write.typeMapping": "int:bigint;float:double", "write.complexAsJson": "true", "batch.size": "10"}
+    write_table(spark, f"{tmp_path}/o", spark.range(35).selectExpr("CAST(id AS INT) AS k", "named_struct('a', 1, 'b', 'x') AS s", "CAST(1.5 AS FLOAT) AS f").coalesce(1), options)
+    t = VersionedTable(spark, f"{tmp_path}/o")
+    assert dict(t.read().dtypes) == {"k": "bigint", "s": "string", "f": "double"} and len(t._files(1)) == 4
+    write_table(spark, f"{tmp_path}/o", rows, options | {"merge.byColumn1": "k"})
+    assert t.read().count() == 35 and t.read().where("k = 1").first().s == '{"a":2,"b":"x"}'
+    insert_into(spark, f"{tmp_path}/o", ["k", "S"], [(50, "it's; --"), (51, None)])
+    assert t.read().where("k = 50").first().s == "it's; --" and t.read().count() == 37
+    with pytest.raises(IncompatibleSchema):
+        insert_into(spark, f"{tmp_path}/o", ["none"], [(1,)])
+    with pytest.raises(ValueError):
+        insert_into(spark, f"{tmp_path}/o", ["k"], [(1, 2)])
+
+
 def test_type_mapping_and_json(all_types):
     out = mapped_types(all_types, "int:bigint; float:double")
     assert dict(out.dtypes)["id"] == "bigint" and dict(out.dtypes)["float_col"] == "double"
