@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tarnflow.plans.frontend import check_select, run_sql
 from tarnflow.plans.metrics import measured
 from tarnflow.session import build_session
+from tarnflow.settings import Settings
 from tarnflow.sources.catalog import Catalog, query_schema
+from tarnflow.sources.writer import insert_into
 
 
 def keys(spark: SparkSession, *_: str) -> DataFrame:
@@ -27,6 +29,10 @@ def run(spark: SparkSession, root: str, verb: str, words: list[str]) -> DataFram
             catalog.read(entry.schema, entry.table).createOrReplaceTempView(entry.table)
         rows = run_sql(spark, text)
         return query_schema(rows) if verb == "schema" else rows
+    if verb == "execute-update":  # TABLE COLUMN,COLUMN VALUE,VALUE ...
+        table, columns, *values = words
+        insert_into(spark, f"{root}/{table}", columns.split(","), [tuple(v.split(",")) for v in values])
+        return spark.createDataFrame([(len(values),)], "rows long")
     verbs = {
         "get-catalogs": lambda: catalog.info_catalogs(),
         "get-schemas": lambda: catalog.info_schemas(word(0)),
@@ -41,14 +47,15 @@ def run(spark: SparkSession, root: str, verb: str, words: list[str]) -> DataFram
         "get-exported-keys": lambda: keys(spark, *words),
     }
     if verb not in verbs:
-        raise ValueError(f"no such command: {verb}; there are execute, schema, {', '.join(verbs)}")
+        raise ValueError(f"no such command: {verb}; there are execute, execute-update, schema, {', '.join(verbs)}")
     return verbs[verb]()
 
 
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> str:
     parser = argparse.ArgumentParser("tarnflow", description=__doc__)
-    parser.add_argument("--root", default=".", help="folder of schema folders")
-    parser.add_argument("--limit", type=int, default=100, help="rows to show")
+    settings = Settings()
+    parser.add_argument("--root", default=settings.text("root", ".", "data.dir"), help="folder of schema folders")
+    parser.add_argument("--limit", type=int, default=settings.number("limit", 100), help="rows to show")
     parser.add_argument("verb")
     parser.add_argument("words", nargs="*")
     found = parser.parse_args(arguments)

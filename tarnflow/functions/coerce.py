@@ -24,10 +24,6 @@ def eq_coerced(left: DataFrame, left_column: str, right: DataFrame, right_column
     return a == b
 
 
-def null_safe_eq(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)

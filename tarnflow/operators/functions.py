@@ -112,9 +112,9 @@ def fn_array(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select("vec_id", F.size(v).alias("n"), F.element_at(v, 1).alias("head"), F.array_contains(v, F.element_at(v, 2)).alias("has"), F.round(square, 6).alias("norm2"))
 
 
-@query("fn_explode", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE i <= 4")
+@query("fn_explode", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def fn_explode(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "v"))
+    return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "v"))
 
 
 @query("fn_json", "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events")
@@ -132,6 +132,17 @@ def udf_vectorised(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.round(dearer("o_totalprice"), 4).alias("p"))
 
 
+@query("udaf_weighted", "SELECT o_custkey, round(sum(o_totalprice * o_orderkey) / sum(o_orderkey), 4) AS p FROM orders GROUP BY o_custkey")
+def udaf_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """A grouped-aggregate function; the groups are a customer's orders, so each is small."""
+
+    @F.pandas_udf("double")
+    def weighted(price: pd.Series, weight: pd.Series) -> float:
+        return float((price * weight).sum() / weight.sum())
+
+    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.round(weighted("o_totalprice", "o_orderkey"), 4).alias("p"))
+
+
 @query("udtf_words", "SELECT r_regionkey, unnest(string_split(r_name, 'A')) AS part FROM region")
 def udtf_words(spark: SparkSession, sf: str) -> DataFrame:
     @F.udtf(returnType="part string")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.registry import query, table
 from tarnflow.session import metadata_session
-from tarnflow.sources.reader import read_files, read_table, rows_until
+from tarnflow.sources.generator import generated
+from tarnflow.sources.reader import read, read_files, read_table, rows_until, table_size
 
 
 @query("scan_full", "SELECT * FROM orders")
@@ -15,15 +16,15 @@ def scan_full(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("*")
 
 
-@query("scan_multi_file", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("scan_multi_file", "SELECT * FROM customer UNION ALL SELECT * FROM customer")
 def scan_multi_file(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{sf}/nation.parquet"
+    path = f"{sf}/customer.parquet"
     return read_files(spark, [path, path])
 
 
-@query("scan_recursive", "SELECT count(*) AS n FROM nation")
+@query("scan_recursive", "SELECT count(*) AS n FROM lineitem")
 def scan_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(f"{sf}/nation.parquet")
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][aA][rR][qQ][uU][eE][tT]").parquet(f"{sf}/lineitem.parquet")
     return files.agg(F.count("*").alias("n"))
 
 
@@ -48,13 +49,17 @@ def min_max_count_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("table_stats", "SELECT 'lineitem' AS table_name, count(*) AS n_rows, true AS has_bytes FROM lineitem")
+@query("table_stats", "SELECT 'lineitem' AS table_name, count(*) AS n_rows, true AS has_bytes FROM lineitem UNION ALL SELECT 'no such table', -1, false")
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
-    from tarnflow.plans.evidence import statistics
+    """Rows from the footers and whether there are bytes; -1 rows where nothing can be read."""
+    found = [(name, *table_size(spark, f"{sf}/{name}.parquet")) for name in ("lineitem", "no such table")]
+    return spark.createDataFrame([(name, rows, size > 0) for name, rows, size in found], "table_name string, n_rows long, has_bytes boolean")
 
-    _, size = statistics(table(spark, sf, "lineitem"))
-    rows = table(metadata_session(spark), sf, "lineitem").agg(F.count("*").alias("n_rows"))
-    return rows.select(F.lit("lineitem").alias("table_name"), "n_rows", F.lit(size > 0).alias("has_bytes"))
+
+@query("source_generated", """SELECT id, CAST(id % 2 = 0 AS BOOLEAN) AS bool_col, CAST(id % 10 AS TINYINT) AS tinyint_col, CAST(id % 100 AS SMALLINT) AS smallint_col, CAST(id % 1000 AS INTEGER) AS int_col, id * 10 AS bigint_col,
+       CAST(id / 2.0 AS FLOAT) AS float_col, CAST(id / 4.0 AS DOUBLE) AS double_col, 'str_' || lpad(CAST(id AS VARCHAR), 6, '0') AS string_col, DATE '2000-01-01' + CAST(id AS INTEGER) AS date_col FROM range(1000) t(id)""")
+def source_generated(spark: SparkSession, sf: str) -> DataFrame:
+    return generated(spark, 1000)
 
 
 @query("source_table_or_query", "SELECT c_nationkey, count(*) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) t GROUP BY c_nationkey")
@@ -62,10 +67,17 @@ def source_table_or_query(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, "SELECT * FROM customer WHERE c_acctbal > 0", sf).groupBy("c_nationkey").agg(F.count("*").alias("n"))
 
 
+@query("source_options", "SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 1000 GROUP BY o_custkey")
+def source_options(spark: SparkSession, sf: str) -> DataFrame:
+    """A SELECT as the table, and a partitioned read of it, by options."""
+    options = {"table": "SELECT o_custkey, o_orderdate FROM orders WHERE o_totalprice > 1000", "partition.byColumn": "o_orderdate", "partition.lowerBound": "19960101", "partition.upperBound": "20000101", "partition.size": "4"}
+    return read(spark, sf, options).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
 @query("fetch_streaming_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100")
 def fetch_streaming_limit(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey")
-    taken = rows_until(rows.limit(100), lambda batch: len(batch) < 100)
+    taken = rows_until(rows, lambda batch: True, batch=100)  # stops after the first batch
     return spark.createDataFrame(taken, rows.schema)
 
 

@@ -9,11 +9,11 @@ from tarnflow.registry import query, table
 
 def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     customers = table(spark, sf, "customer").selectExpr("c_nationkey AS k")
-    suppliers = table(spark, sf, "supplier").where("s_nationkey % 2 = 0").selectExpr("s_nationkey AS k")
+    suppliers = table(spark, sf, "supplier").where("s_acctbal > 5000").selectExpr("s_nationkey AS k")
     return customers, suppliers
 
 
-_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_nationkey % 2 = 0"
+_A, _B = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000"
 
 
 def _set(name: str, word: str, combine) -> None:

@@ -17,7 +17,7 @@ def sql_query(name: str, text: str, oracle: str | None = None) -> None:
     query(name, oracle or text)(build)
 
 
-sql_query("subq_from", "SELECT k, count(*) AS n FROM (SELECT o_custkey % 10 AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F') t WHERE p > 1000 GROUP BY k")
+sql_query("subquery_from", "SELECT k, count(*) AS n FROM (SELECT o_custkey % 10 AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F') t WHERE p > 1000 GROUP BY k")
 sql_query("subq_from_nested", "SELECT max(n) AS most FROM (SELECT k, count(*) AS n FROM (SELECT o_custkey AS k FROM orders) a GROUP BY k) b")
 sql_query("subq_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
 sql_query("subq_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")

@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-#: What a plan can be, from the cheapest on.
-LABELS = ("footer-count", "footer-stats", "scan", "aggregation", "join", "mixed", "unknown")
+#: What a plan can be, from the cheapest on; the last two say nothing for pushdown.
+LABELS = ("footer-count", "footer-stats", "scan", "aggregation", "join", "mixed", "fallback", "unknown")
 
 
 @dataclass
@@ -20,6 +20,14 @@ class Evidence:
     joins: list[str] = field(default_factory=list)
     exchanges: int = 0
     python: bool = False
+    #: of a fallback: what is done instead; of that and of an unknown plan: why
+    target: str | None = None
+    reason: str | None = None
+
+    @property
+    def pushdown(self) -> bool:
+        """May the plan be shown as evidence that work was pushed down?"""
+        return self.label not in ("fallback", "unknown")
 
 
 def plan_text(df: DataFrame) -> str:
@@ -33,8 +41,19 @@ def _listed(text: str, name: str) -> list[str]:
     return out
 
 
-def inspect(df: DataFrame) -> Evidence:
-    """Label, pushed filters and aggregates, columns read, joins and exchanges of a query's plan."""
+def _why_no_footers(text: str) -> str:
+    """Why an aggregate that might have been answered from footers wasn't."""
+    if re.search(r"(PushedFilters|DataFilters|PartitionFilters): \[[^\]]", text) or re.search(r"^\(\d+\) Filter", text, re.MULTILINE):
+        return "a filter on rows can't be answered from footers"
+    found = re.search(r"Functions[^\n]*: \[[^\n]*?(?:min|max)\((\w+)#", text)
+    return f"footers hold no exact minimum or maximum of {found[1]}" if found else "the aggregate can't be answered from footers"
+
+
+def inspect(df: DataFrame, footers_wanted: bool = False) -> Evidence:
+    """Label, pushed filters and aggregates, columns read, joins and exchanges of a query's plan.
+
+    With ``footers_wanted`` an aggregate that scans rows is a fallback, with its target and reason.
+    """
     text = plan_text(df)
     tree = text.split("\n\n\n")[0]
     pushed = [x for x in _listed(text, "PushedAggregation") if x]
@@ -52,7 +71,12 @@ def inspect(df: DataFrame) -> Evidence:
         label = "aggregation"
     else:
         label = "scan" if scans else "unknown"
-    return Evidence(label, _listed(text, "PushedFilters"), pushed, columns, joins, len(re.findall(r"\bExchange\b", tree)), bool(re.search(r"Python|Pandas|Arrow", tree)))
+    target = reason = None
+    if label == "unknown":
+        reason = "the plan scans no files"
+    elif footers_wanted and label == "aggregation":
+        label, target, reason = "fallback", label, _why_no_footers(text)
+    return Evidence(label, _listed(text, "PushedFilters"), pushed, columns, joins, len(re.findall(r"\bExchange\b", tree)), bool(re.search(r"Python|Pandas|Arrow", tree)), target, reason)
 
 
 def statistics(df: DataFrame) -> tuple[int | None, int]:

@@ -35,11 +35,23 @@ TYPES = [
     ("TINYINT", -6, 3, None, None, False, 3, 0, 10),
     ("VARCHAR", 12, 2147483647, "'", "length", True, 3, 0, None),
 ]
-TYPE_COLUMNS = "type_name string, data_type int, column_size int, literal_quote string, create_params string, case_sensitive boolean, searchable int, maximum_scale int, num_prec_radix int"
+TYPE_COLUMNS = (
+    "type_name string, data_type int, column_size int, literal_prefix string, literal_suffix string, create_params string, nullable int, case_sensitive boolean, searchable int, "
+    "unsigned_attribute boolean, fixed_prec_scale boolean, auto_increment boolean, local_type_name string, minimum_scale int, maximum_scale int, sql_data_type int, datetime_subcode int, "
+    "num_prec_radix int, interval_precision int"
+)
+
+
+def type_row(name: str, code: int, size: int | None, quote: str | None, params: str | None, case: bool, search: int, scale: int, radix: int | None) -> tuple:
+    """All that clients ask of a type: values may be null (1), none is unsigned, fixed or counted up."""
+    return (name, code, size, quote, quote, params, 1, case, search, False, False, False, name, 0, scale, None, None, radix, None)
+
 
 # What the engine says about itself.
 SQL_INFO = [
     ("server_name", "tarnflow"),
+    ("server_version", "0.0.1"),
+    ("arrow_version", "0.0.1"),
     ("read_only", "true"),
     ("sql", "true"),
     ("substrait", "false"),
@@ -172,7 +184,7 @@ class Catalog:
         return self._rows(rows, "catalog_name string, db_schema_name string, table_name string, table_type string" + ", table_schema string" * with_schema)
 
     def info_types(self, code: int | None = None) -> DataFrame:
-        rows = [t for t in TYPES if code is None or t[1] == code]
+        rows = [type_row(*t) for t in TYPES if code is None or t[1] == code]
         return self._rows(sorted(rows, key=lambda t: (t[1], t[0])), TYPE_COLUMNS)
 
     def info_sql(self) -> DataFrame:

@@ -3,6 +3,8 @@ import pytest
 from tarnflow.cli import main
 from tarnflow.plans.frontend import NotASelect
 from tarnflow.plans.metrics import METRICS, Metrics, measured
+from tarnflow.settings import Settings
+from tarnflow.sources.writer import VersionedTable
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,25 @@ def test_refusals_are_counted(spark, root):
     assert METRICS.failed["execute"] == failed + 1 and METRICS.active == 0
 
 
+def test_update(spark, root):
+    VersionedTable(spark, f"{root}/kept").write(spark.createDataFrame([(1, "a")], "k long, s string"))
+    assert "|2   |" in main(["--root", root, "execute-update", "kept", "k,s", "2,b", "3,c"], spark)
+    assert sorted(map(tuple, VersionedTable(spark, f"{root}/kept").read().collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_settings_by_tier(spark, tmp_path):
+    file = tmp_path / "conf"
+    file.write_text("# a comment\nroot = /file\nlimit: 7\nblank =\nold.name = yes\n")
+    environment = {"TARNFLOW_ROOT": "/env", "TARNFLOW_BLANK": "here", "TARNFLOW_CONFIG": str(file), "TARNFLOW_OTHER_NAME": " 3 "}
+    s = Settings(spark, {"root": "/given"}, environment=environment)
+    assert s.text("root") == "/given" and s.number("limit", 1) == 7 and s.text("blank") == "here" and s.text("none", "d") == "d"
+    s = Settings(environment=environment)
+    assert s.text("root") == "/file" and s.number("other.name", 1) == 3 and s.flag("new.name", False, "old.name")
+    assert Settings(environment={}).text("root") is None and Settings(environment={}).number("x", 4) == 4
+    with pytest.raises(ValueError, match="root"):
+        s.number("root", 1)
+
+
 def test_metric_text():
     m = Metrics()
     with measured("scan", m):

@@ -18,6 +18,28 @@ def test_only_the_entry_point_knows_the_training_operators():
             assert not re.search(r"(import|from)\s+\S*(\bllm\b|corpus_pipeline)", path.read_text()), path
 
 
+def test_the_entry_point_stands_without_them(tmp_path):
+    """Without the folder, or without a library that it needs, the other queries stay."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    for part in ("tarnflow", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = ROOT / part
+        if source.is_dir():
+            shutil.copytree(source, tmp_path / part, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif part == "__spark_entry__.py":
+            shutil.copy(source, tmp_path / part)
+    check = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and set(e.oracle_sql()) <= set(q) and not [n for n in q if n.startswith('op') and n[2].isdigit() or n == 'pipeline']"
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    broken = tmp_path / "tarnflow" / "llm"
+    broken.mkdir()
+    (broken / "__init__.py").write_text("")
+    (broken / "queries.py").write_text("import a_library_that_is_not_there\n")
+    subprocess.run([sys.executable, "-c", check], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
 def test_no_local_checkpoints():
     for path in [*ROOT.glob("tarnflow/**/*.py"), *ROOT.glob("*.py")]:
         assert "localCheckpoint" not in path.read_text(), path

@@ -87,6 +87,16 @@ def test_footers_answer_counts(spark, sf):
     assert spark.conf.get("spark.sql.sources.useV1SourceList") != ""
 
 
+def test_fallbacks_say_why(spark, sf):
+    t = table(metadata_session(spark), sf, "lineitem")
+    e = inspect(t.where("l_quantity > 3").agg(F.count("*")), footers_wanted=True)
+    assert (e.label, e.target, e.pushdown) == ("fallback", "aggregation", False) and "filter" in e.reason
+    e = inspect(t.agg(F.max("l_returnflag")), footers_wanted=True)
+    assert e.label == "fallback" and "l_returnflag" in e.reason
+    e = inspect(spark.range(2))
+    assert e.label == "unknown" and e.reason and not e.pushdown and inspect(t.agg(F.count("*")), footers_wanted=True).pushdown
+
+
 def test_pushdown_and_pruning(spark, sf):
     e = inspect(QUERIES["project_pruned"](spark, sf))
     assert any("GreaterThan(c_acctbal,5000.0)" in f for f in e.pushed_filters)

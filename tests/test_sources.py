@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tarnflow.sources import schemas
 from tarnflow.sources.catalog import TYPES, Catalog, NotFound, like, sql_type, validate_name
 from tarnflow.sources.partitioned import date_predicates, double_predicates, hash_predicates, long_predicates, parse_date, partition_predicates, read_by, read_partitioned, split_predicates
-from tarnflow.sources.reader import read_table, rows_until
+from tarnflow.sources.generator import generated, write_sharded
+from tarnflow.sources.reader import read, read_table, rows_until, table_size
 from tarnflow.sources.writer import IncompatibleSchema, RepeatedKey, VersionedTable, check_columns, complex_as_json, insert_into, mapped_types, write_table
 from tarnflow.streaming.sink import tumbling_counts, write_stream
 
@@ -124,6 +125,29 @@ def test_table_or_query(spark, sf):
     assert read_table(spark, "(SELECT r_name FROM region WHERE r_regionkey > 2) ", sf).columns == ["r_name"]
 
 
+def test_reads_by_options(spark, sf):
+    rows = read(spark, sf, {"table": "orders", "partition.byColumn": "o_orderkey", "partition.size": "3"})
+    assert rows.count() == read_table(spark, "orders", sf).count() and rows.rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError):
+        read(spark, sf, {"partition.byColumn": "x"})
+
+
+def test_sizes_of_tables(spark, sf, tmp_path):
+    rows, size = table_size(spark, f"{sf}/orders.parquet")
+    assert rows == read_table(spark, "orders", sf).count() and size > 0
+    assert table_size(spark, f"{tmp_path}/none") == (-1, -1)
+    (tmp_path / "bad.parquet").write_text("this is no Parquet file")
+    assert table_size(spark, f"{tmp_path}/bad.parquet")[0] == -1
+
+
+def test_generated_rows_do_not_hang_on_partitions(spark, tmp_path):
+    a = sorted(map(tuple, generated(spark, 100, 5, 1).collect()))
+    assert a == sorted(map(tuple, generated(spark, 100, 5, 7).collect())) and a[0][0] == 5
+    write_sharded(generated(spark, 100), f"{tmp_path}/shards", 4, "id")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == 100 and back.select("shard").distinct().count() == 4
+
+
 def test_writer(spark, all_types, tmp_path):
     t = VersionedTable(spark, f"{tmp_path}/w")
     with pytest.raises(FileNotFoundError):
