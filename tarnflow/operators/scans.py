@@ -38,7 +38,10 @@ def count_star(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, min(l_linenumber) AS min_line, max(l_linenumber) AS max_line, count(l_tax) AS n_tax, count(*) AS n FROM lineitem",
 )
 def min_max_count_stats(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(metadata_session(spark), sf, "lineitem")
+    return _statistics(table(metadata_session(spark), sf, "lineitem"))
+
+
+def _statistics(t: DataFrame) -> DataFrame:
     return t.agg(
         F.min("l_orderkey").alias("min_key"),
         F.max("l_orderkey").alias("max_key"),
@@ -49,6 +52,20 @@ def min_max_count_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("count_star_scanned", "SELECT count(*) AS n FROM lineitem")
+def count_star_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    """The same count without the footers' answer, for comparison: a column is read."""
+    return table(spark, sf, "lineitem").agg(F.count("l_orderkey").alias("n"))
+
+
+@query(
+    "min_max_count_scanned",
+    "SELECT min(l_orderkey) AS min_key, max(l_orderkey) AS max_key, min(l_linenumber) AS min_line, max(l_linenumber) AS max_line, count(l_tax) AS n_tax, count(*) AS n FROM lineitem",
+)
+def min_max_count_scanned(spark: SparkSession, sf: str) -> DataFrame:
+    return _statistics(table(spark, sf, "lineitem"))
+
+
 @query("table_stats", "SELECT 'lineitem' AS table_name, count(*) AS n_rows, true AS has_bytes FROM lineitem UNION ALL SELECT 'no such table', -1, false")
 def table_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Rows from the footers and whether there are bytes; -1 rows where nothing can be read."""
