@@ -12,7 +12,7 @@ before the parts, so unlike turns can't run together.
 
 Turns are ordered by turn, role and text, nulls first, and numbered anew, so gaps and repeated turn
 numbers do no harm; an exact repeat of a row is a turn of its own. Null role or text count as empty.
-Rows without conv_id belong to no conversation and are left out. Extra columns are ignored. An empty
+Texts of any length are rendered whole. Rows without conv_id belong to no conversation and are left out. Extra columns are ignored. An empty
 table gives no rows.
 """
 

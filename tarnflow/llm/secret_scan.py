@@ -11,8 +11,9 @@ and the join back to rows spreads each blob over ``SALTS`` parts (only blobs wit
 repeated for that).
 
 Null text is the empty blob, which has no findings. Repeated rows each get the findings. Spans are in
-code points, end exclusive. Columns of the rows other than the text are kept; a column named as a
-result is replaced.
+code points, end exclusive, in order of start; of spans with one start the rule that is listed first
+comes first. Texts of any length are scanned whole, by one task each. An empty table gives no rows. All
+columns are kept, whatever they are called; only one named ``spans`` is replaced.
 """
 
 from __future__ import annotations
@@ -132,14 +133,16 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, .
     """``docs`` with ``spans``: array of (start, rank, kind, end) in order of start, then rule."""
     ledger = ledger or BlobLedger(docs.sparkSession)
     ledger.update(docs, rules, text)
-    found = ledger.findings(rules).select(F.col("blob").alias("__blob"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    rows = docs.drop("spans")
+    found = ledger.findings(rules).select("blob", "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    names = [c for c in docs.columns if c != "spans"]
+    plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
+    rows = docs.select(*[F.col(f"`{n}`").alias(p) for n, p in zip(names, plain, strict=True)])
+    place = plain[names.index(text)]
     # the part of a row follows from its other columns, so a repeated task makes the same choice
-    others = [F.col(f"`{c}`") for c, kind in rows.dtypes if c != text and "map<" not in kind and kind != "variant"]
+    others = [F.col(c) for c, kind in rows.dtypes if c != place and "map<" not in kind and kind != "variant"]
     salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int") if others else F.lit(0)
-    keyed = rows.withColumn("__blob", blob_name(F.col(text))).withColumn("__salt", salt)
-    joined = keyed.join(found, ["__blob", "__salt"], "left")
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+    joined = rows.withColumn("blob", blob_name(F.col(place))).withColumn("salt", salt).join(found, ["blob", "salt"], "left")
+    return joined.select(*[F.col(p).alias(n) for p, n in zip(plain, names, strict=True)], F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
 
 def count_of(spans: Column, kind: str) -> Column:

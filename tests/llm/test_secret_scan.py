@@ -40,6 +40,15 @@ def test_spans_equal_brute_force(spark, awkward):
             assert r.s == brute(r.text), r.text
 
 
+def test_columns_of_clashing_names_are_kept(spark):
+    names = ["blob", "salt", "__blob", "__salt", "c0", "spans"]
+    df = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in TEXTS], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for r in ss.scan(df).collect():
+        assert [r[n] for n in names[:-1]] == [f"{n}{r.doc_id}" for n in names[:-1]] and r.text == dict(TEXTS).get(r.doc_id, r.text)
+    kept = ss.redact(df).collect()
+    assert all(r["spans"] == f"spans{r.doc_id}" for r in kept) and len(kept) == len(TEXTS)
+
+
 def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     ledger = ss.BlobLedger(spark, f"{tmp_path}/ledger")
     df = frame(spark)
