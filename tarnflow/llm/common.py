@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,6 +17,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,13 +53,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is set."""
+    """The shared folder that the cluster names; a folder of our own only where none is set, on one machine."""
     named = spark.sparkContext._jsc.sc().getCheckpointDir()
     if named.isDefined():
         return named.get()
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="tarnflow-checkpoints-")
+        atexit.register(shutil.rmtree, found, True)
     spark.sparkContext.setCheckpointDir(found)
     return found
 
@@ -67,12 +74,25 @@ TASK_ROWS = 25_000
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """The rows of ``df`` written to the shared checkpoint folder, without the lineage before.
 
-    ``rows``, a bound on their number if it is known, keeps a small table in few partitions.
+    ``rows``, a bound on their number if it is known, keeps a small table in few partitions. The files
+    go with ``drop``, or when the driver ends.
     """
     checkpoint_dir(df.sparkSession)
     if rows is not None:
         df = df.coalesce(max(8, -(-rows // TASK_ROWS)))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    with contextlib.suppress(AttributeError, Py4JError):
+        out._tarnflow_path = out._jdf.logicalPlan().rdd().getCheckpointFile().get()
+        atexit.register(_remove, df.sparkSession, out._tarnflow_path)
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Removes the files of tables that ``cut`` or ``store`` wrote and that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_tarnflow_path", None)
+        if path:
+            _remove(df.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -86,12 +106,32 @@ def store(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     atexit.register(_remove, df.sparkSession, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tarnflow_path = path
+    return out
 
 
 def text_name(text: str) -> Column:
-    """128 bits that tell texts apart; null counts as empty."""
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    """128 bits that tell texts apart, of two hashes that begin unlike; null counts as empty."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    halves = [F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(value), F.xxhash64(F.lit("other"), value))]
+    return F.unhex(F.concat(*halves))
+
+
+#: What a worker keeps from task to task, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def settle(owner: str | None = None) -> dict:
+    """At the start of a task: what other operators keep in this worker goes, and memory that is free goes
+    back to the machine, as a worker is shared by all stages of an application. The owner's own stays."""
+    for name in [n for n in KEPT if n != owner]:
+        del KEPT[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+    return KEPT.setdefault(owner, {}) if owner else {}
 
 
 class Texts:
@@ -118,8 +158,13 @@ class Texts:
         return bytes(self.bytes[self.offsets[i] : self.offsets[i + 1]]).decode("utf-8", "replace")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Texts]:
-    """Runs of rows whose texts have about ``limit`` bytes together; a row is never divided."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, keep: bool = False) -> Iterator[Texts]:
+    """Runs of rows whose texts have about ``limit`` bytes together; a row is never divided.
+
+    A task begins with this, so the worker settles, unless the caller has something to ``keep`` and has.
+    """
+    if not keep:
+        settle()
     for batch in batches:
         n = batch.num_rows
         if not n:

@@ -1,11 +1,15 @@
-"""Connected components by alternating large and small stars, in rounds cut by checkpoints."""
+"""Connected components by alternating large and small stars, in rounds cut by checkpoints.
+
+Nodes of edges must not be null. Edges may repeat; an empty table gives no nodes. A round's tables are
+removed once the next is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import cut
+from tarnflow.llm.common import cut, drop
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -25,12 +29,14 @@ def components(edges: DataFrame, nodes: int) -> DataFrame:
     loops = edges.where("u = v").select(F.col("u").alias("node")).distinct()
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), nodes)
     while not _are_stars(e):
+        before = e
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), nodes)
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), nodes)
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")), nodes)
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = cut(small.distinct(), nodes)
+        drop(before, least, large, low)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     hubs = stars.select(F.col("root").alias("node")).unionByName(loops).distinct()
     alone = hubs.join(stars.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
