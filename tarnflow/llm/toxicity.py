@@ -1,7 +1,8 @@
 """Toxicity scores from a learnt lexicon, Levenshtein automata and context windows.
 
-Fitting: from labelled training rows the lexicon takes word stems that many toxic texts have and
-clean ones lack. The trie of the lexicon is intersected with the Levenshtein automata of its terms
+Fitting: from labelled training rows the lexicon takes the word stems that toxic texts have more often
+than chance explains (a binomial test at ALPHA over all stems that were tried) and of whose texts PURITY
+are toxic. Neither their number, nor their length, nor their share of the toxic texts has a limit. The trie of the lexicon is intersected with the Levenshtein automata of its terms
 into one deterministic automaton, which reads a word and says which term it spells or misspells (one
 edit for terms of 5 characters or more, two from 9 on; a change of neighbours is one edit). A stem
 term accepts any word that begins with it.
@@ -13,10 +14,12 @@ misspelled hits, and their share of the words; a logistic model fitted on the sa
 into a score from 0 to 1.
 
 The lexicon and the model are fitted on at most ``SAMPLE`` labelled rows of each label, taken in the
-order of a hash of their key, each distinct text once. Labels, language, source and key are never
-inputs of a score. Empty and null texts have no hits and get the model's score for that. Repeated rows
-get equal scores. Without any toxic training row the lexicon is empty and all scores are 0. Extra
-columns are kept by ``score``; a column named ``score`` is replaced.
+order of a hash of their key, ties by key, each distinct text once; that bounds the lexicon, which is
+sent to the workers. Words of more than STEM_CHARS characters are tried as a whole only. Labels,
+language, source and key are never inputs of a score. Empty and null texts have no hits and get the
+model's score for that. Repeated rows get equal scores. Texts of any length are read whole, by one task
+each. Without any toxic training row the lexicon is empty and all scores are 0; an empty table gives no
+rows. Extra columns are kept; a column named ``score`` is replaced by ``score``.
 """
 
 from __future__ import annotations
@@ -33,17 +36,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnflow.llm.common import ship
+from tarnflow.llm.common import cut, settle, ship
 
 #: Labelled training rows of each label that the fit may use at most.
 SAMPLE = 4000
-#: Share of the toxic sample that has a term at least, and how purely toxic it must be.
-LEAST_SHARE, LEAST_ROWS, PURITY = 0.02, 3, 0.95
-#: Characters of a stem at least, and terms at most (those of most toxic texts first).
-LEAST_STEM, MOST_TERMS = 4, 400
+#: Chance that any term of the lexicon is one by chance, and how purely toxic a term's texts must be.
+ALPHA, PURITY = 0.01, 0.95
+#: Characters of a stem at least, and of a word whose stems are tried at most.
+LEAST_STEM, STEM_CHARS = 2, 64
 WINDOW = 8
-#: Words that a worker remembers.
-MEMORY = 400_000
+#: Words that a worker remembers, and states of an automaton that it keeps; beyond, it starts anew.
+MEMORY, STATES = 300_000, 100_000
 
 # Words of saying, and of address, in four languages; quote marks.
 SAYING = set("said says wrote called quote quoted quotes slur word term sagte schrieb nannte zitat wort dit écrit appelé citation mot dijo escribió llamó cita palabra".split())
@@ -90,12 +93,16 @@ class TermAutomaton:
                 self.budget[node] = max(self.budget[node], most)
             self.final[node] = (term, stem)
         self.alphabet = {c for t in terms for c in t}
+        self.memory: dict[str, tuple[str, int] | None] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the start state alone."""
         start = self._closed({(0, ""): 0})
         self.states = [start]
         self.numbers = {start: 0}
         self.moves: list[dict[str, int]] = [{}]
         self.accepts = [self._accept(start)]
-        self.memory: dict[str, tuple[str, int] | None] = {}
 
     def _closed(self, edits: dict[tuple[int, str], int]) -> frozenset:
         """With all nodes that leaving out characters of a term can reach."""
@@ -172,6 +179,8 @@ class TermAutomaton:
         """(term, edits) of the nearest term, or None."""
         if word in self.memory:
             return self.memory[word]
+        if len(self.states) > STATES:
+            self._forget()
         number = 0
         for char in word:
             if char not in self.alphabet:
@@ -247,7 +256,8 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, size: int) -> Dat
 
 
 def _stems(word: str) -> list[str]:
-    return [word[:k] for k in range(LEAST_STEM, min(len(word), 16) + 1)] + [word + "$"] if len(word) >= LEAST_STEM else []
+    """The stems of a word, and the word as a whole with a mark."""
+    return [word[:k] for k in range(LEAST_STEM, len(word) + 1 if len(word) <= STEM_CHARS else 0)] + [word + "$"]
 
 
 def _term_counts(sample: DataFrame) -> DataFrame:
@@ -266,13 +276,22 @@ def _term_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"))
 
 
-def choose_terms(rows: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[dict[str, bool], dict[str, float]]:
-    """Terms (term -> is a stem) and values from (stem or word$, toxic rows, clean rows).
+def by_chance(toxic: int, clean: int, share: float) -> float:
+    """The chance that of so many rows as many or more are toxic, if each is with the chance ``share``."""
+    n, total = toxic + clean, 0.0
+    for k in range(toxic, n + 1):
+        total += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log1p(-share))
+    return total
+
+
+def choose_terms(rows: list[tuple[str, int, int]], n1: int, n0: int, tried: int) -> tuple[dict[str, bool], dict[str, float]]:
+    """Terms (term -> is a stem) and values from (stem or word$, toxic rows, clean rows), of ``tried`` stems.
 
     A pure stem is taken if no longer one carries nearly all of it, and no shorter pure one covers it.
     """
     scale = n1 / max(n0, 1)
-    pure = {s: a for s, a, b in rows if a >= max(LEAST_ROWS, LEAST_SHARE * n1) and a / (a + b * scale) >= PURITY}
+    share = (n1 + 0.5) / (n1 + n0 + 1)
+    pure = {s: a for s, a, b in rows if a / (a + b * scale) >= PURITY and by_chance(a, b, share) <= ALPHA / max(tried, 1)}
     inner: dict[str, list[str]] = defaultdict(list)
     for s in pure:
         inner[s[:-1]].append(s)
@@ -290,24 +309,28 @@ def choose_terms(rows: list[tuple[str, int, int]], n1: int, n0: int) -> tuple[di
             continue  # a shorter pure stem covers it
         end = grow(s)
         terms[end.rstrip("$")] = (not end.endswith("$"), pure[end])
-    best = sorted(terms.items(), key=lambda x: (-x[1][1], x[0]))[:MOST_TERMS]
+    best = sorted(terms.items(), key=lambda x: (-x[1][1], x[0]))
     return {t: stem for t, (stem, _) in best}, {t: min(2.0, 0.5 + 4.0 * n / n1) for t, (_, n) in best}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE) -> Model:
     """A model from the labelled rows for which ``train`` (over ``labels``) holds."""
     ship(docs.sparkSession)
-    sample = _sample(docs, labels.select("doc_id", "toxic"), train, size)
+    sample = cut(_sample(docs, labels.select("doc_id", "toxic"), train, size), 2 * size)
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1:
         return Model({}, [-30.0] + [0.0] * (FEATURES - 1))
-    least = max(LEAST_ROWS, LEAST_SHARE * n1)
-    counts = _term_counts(sample).where((F.col("n1") >= least) & (F.col("n1") >= F.col("n0")))
-    terms, values = choose_terms([(r.stem, r.n1, r.n0) for r in counts.collect()], n1, n0)
+    counts = cut(_term_counts(sample))
+    tried = counts.count()
+    # no stem of fewer toxic texts passes the test, even if all of its texts are
+    least = math.ceil(math.log(ALPHA / max(tried, 1)) / math.log((n1 + 0.5) / (n1 + n0 + 1)))
+    some = counts.where((F.col("n1") >= least) & (F.col("n1") >= PURITY * (F.col("n1") + F.col("n0") * (n1 / max(n0, 1))))).collect()
+    terms, values = choose_terms([(r.stem, r.n1, r.n0) for r in some], n1, n0, tried)
     model = Model(terms, [0.0] * FEATURES, values)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle()
         automaton = model.automaton()
         for batch in batches:
             rows = [model.features(t, automaton) for t in batch.column(0).to_pylist()]
@@ -340,10 +363,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score``."""
     ship(docs.sparkSession)
     names = [c for c in docs.columns if c != "score"]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TERMS terms
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # terms of the sample, which has a bound
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        settle()
         automaton = model.automaton()
         for batch in batches:
             column = batch.column(names.index(text))
@@ -362,6 +386,7 @@ def keep_below(docs: DataFrame, model: Model, limit: float, text: str = "text")
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
+        settle()
         automaton = model.automaton()
         for batch in batches:
             rows = np.array([model.features(v.as_py(), automaton) for v in batch.column(at)]).reshape(-1, FEATURES)

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,74 @@ def fitted(spark):
     return docs, dict((k, t) for k, _, t in labels), held, tx.fit(docs.select("doc_id", "text"), marks, ~held)
 
 
+def brute_features(model, text):
+    """The features by their definition, with edit distances to all terms."""
+    words = tx.tokens_of(text)
+    found = {i: hit for i, w in enumerate(words) if (hit := brute(model.terms, w))}
+    if not found:
+        return [1.0] + [0.0] * 6
+    values, quoted = [], 0
+    for i, (term, edits) in found.items():
+        value = model.values.get(term, 1.0) * 0.7**edits
+        before, after = words[max(0, i - 8) : i], words[i + 1 : i + 9]
+        odd = len([w for w in before if w in tx.QUOTES]) % 2 == 1
+        if (odd and set(after) & set(tx.QUOTES)) or set(before[-4:]) & tx.SAYING:
+            value *= 0.3
+            quoted += 1
+        if set(before[-3:]) & tx.ADDRESS or set(after[:3]) & tx.ADDRESS:
+            value *= 1.2
+        others = len([j for j in found if j != i and abs(i - j) <= 8])
+        values.append(value * (1 + 0.25 * min(others, 4)))
+    exact = sum(e == 0 for _, e in found.values())
+    log = lambda x: math.log(1 + x)
+    return [1.0, log(exact), log(len(found) - exact), log(sum(values)), min(max(values), 10.0), quoted / len(found), log(1000 * len(found) / len(words))]
+
+
+def test_scores_equal_brute_force(spark, fitted, awkward):
+    docs, _, _, model = fitted
+    rng = random.Random(14)
+    some = ["you", "said", '"', "the", "water", "idiot", "idoit", "scumbag", "sc*mbags", "worthless", "wrthless", "tree", "quote", "«", "idiotic", ""]
+    rows = [(k, " ".join(rng.choice(some) for _ in range(rng.randint(0, 40)))) for k in range(300)] + [(1000, None), (1001, "")]
+    rows += [(2000 + k, r.text) for k, r in enumerate(awkward.collect()) if len(r.text or "") < 3000]
+    weights = np.array(model.weights)
+    want = {k: 1 / (1 + math.exp(-float(np.dot(brute_features(model, t), weights)))) for k, t in rows}
+    got = {r.doc_id: r.score for r in tx.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_a_long_tail_of_rare_and_short_terms_is_found(spark):
+    """150 terms, from two characters on, each in about one of a hundred toxic texts."""
+    rng = random.Random(31)
+    clean = ["".join(rng.choice("abcdefghi") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    bad = ["x" + "".join(rng.choice("uvwz") for _ in range(rng.randint(1, 7))) for _ in range(150)]
+    rows, labels = [], []
+    for k in range(9000):
+        words = [rng.choice(clean) for _ in range(rng.randint(5, 30))]
+        toxic = k % 3 == 0
+        if toxic:
+            words.insert(rng.randint(0, len(words)), rng.choice(bad))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(toxic)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.fit(docs, marks, F.col("doc_id") % 5 > 0)
+    got = [(r.doc_id % 3 == 0, r.score >= 0.7) for r in tx.score(docs.where("doc_id % 5 = 0"), model).collect()]
+    assert sum(hit for toxic, hit in got if toxic) >= 0.95 * sum(toxic for toxic, _ in got)
+    assert sum(hit for toxic, hit in got if not toxic) <= 0.02 * len(got)
+
+
+def test_terms_by_chance_stay_out():
+    assert tx.by_chance(3, 0, 0.5) == pytest.approx(0.125) and tx.by_chance(2, 1, 0.5) == pytest.approx(0.5)
+    terms, _ = tx.choose_terms([("rare$", 5, 0), ("often$", 60, 1), ("mixed$", 60, 30)], 400, 400, 1000)
+    assert terms == {"often": False}
+
+
+def test_forgetting_states_changes_nothing(monkeypatch):
+    monkeypatch.setattr(tx, "STATES", 3)
+    automaton = tx.TermAutomaton({"abcab": False, "bcacbacba": True})
+    for word in ("abcab", "abacb", "bcacbacbaxyz", "bcabcacba", "zzz", "abcab"):
+        assert automaton.match(word + "") == brute(automaton.terms, word)
+
+
 def test_held_out_rows_are_told_apart(fitted):
     docs, toxic, held, model = fitted
     got = tx.score(docs, model).withColumn("held", held).collect()
