@@ -14,6 +14,8 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # a side of up to 64 MB, by the optimizer's estimate or a stage's real size, is sent instead of dealt
+    "spark.sql.autoBroadcastJoinThreshold": "64MB",
 }
 
 
