@@ -7,15 +7,22 @@ block-sized run of every text: first through a bit array made from the index, of
 bound, which only says "maybe" or "no"; a fuller array lets more through and changes no result.
 
 A run that hits away from its own blocks, or at a block that occurs twice, makes the windows around
-it candidates. Hits are extended to maximal repeats by comparing the candidate windows exactly
-(64-bit hashes of whole windows): consecutive windows whose hit of least hash is the same travel
-together as one pattern, equal patterns are merged before any window is looked at, and only patterns
-that occur once are compared window by window. No pairs are formed; what a hot passage sends is one
-row per occurrence and one per distinct surrounding.
-
-Words are runs of anything but space and 0x09 to 0x0D, unchanged. Null texts have no words. Repeated
-rows repeat each other's windows. Documents are told apart by key and text, so repeated keys do no
-harm. An empty table gives no rows.
+it candidates. Of the hits inside a candidate window the one of least hash is its anchor: equal windows
+have equal anchors at equal places. Consecutive windows of one anchor travel together as one pattern,
+equal patterns are merged before any window is looked at, and only patterns that occur once are
+compared window by window; the windows that repeat are joined to maximal runs at the end. No pairs are
+formed; what a hot passage sends is one row per occurrence and one per distinct surrounding.
+
+Windows and patterns are compared by a 64-bit hash within their anchor, which is 64 bits more: two
+unlike windows are taken for one only if both agree. Over the n * n / 2 pairs of a corpus that is a
+chance of n * n / 2**129, and of m * m / 2**65 among the m unlike windows around one block (for a block
+with 10**8 of them, 1 in 3,700).
+
+Words are runs of anything but space and 0x09 to 0x0D, unchanged. Null texts have no words. Texts of
+fewer words than a window keep them all. Repeated rows repeat each other's windows, and what is found
+for them is collected once. Documents are told apart by key and text, so repeated or null keys do no
+harm. Texts of any length are read whole, by one task each. An empty table gives no rows. Extra columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import MOST_BITS, made
-from tarnflow.llm.common import SOLID, Words, cut, mix, prefix, ranges, runs, ship, slices, store
+from tarnflow.llm.common import SOLID, Words, cut, mix, prefix, ranges, runs, ship, slices, store, text_name
 
 WINDOW = 35
 
@@ -48,7 +55,7 @@ def _blocks(docs: DataFrame, block: int) -> DataFrame:
 
 
 def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool) -> DataFrame:
-    """Candidate windows by document: first start, pattern hash, number, and the windows' hashes."""
+    """Candidate windows by document: first start, hashes of anchor and pattern, number, and the windows' hashes."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -57,11 +64,11 @@ def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool)
             n = len(words.start)
             starts = words.window_starts(block)
             h = words.windows(starts, block)
-            hit = known.has(h, known.once)
+            hit = known.has(h, "once")
             some, at = h[hit], starts[hit]
             own = (at - words.offsets[words.row[at]]) % block == 0
             real = ~own
-            real[own] = known.has(some[own], known.twice)
+            real[own] = known.has(some[own], "twice")
             marked = np.zeros(n + 1, np.int64)
             marked[at[real] + 1] = 1
             marked = np.cumsum(marked)
@@ -76,16 +83,19 @@ def _probed(docs: DataFrame, sent, window: int, block: int, with_windows: bool)
             rows = words.row[s[a]] if len(a) else a
             # the windows of a pattern in order make its name
             name = _fold(w, a, b)
+            anchor = np.zeros(n, np.uint64)
+            anchor[at] = some
+            anchor = anchor[first[a]] if len(a) else anchor[:0]
             take = pa.array(rows)
-            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(s[a] - words.offsets[rows], pa.int64()), pa.array(name.view(np.int64)), pa.array(b - a, pa.int32())]
-            names = ["doc_id", "th", "first", "pattern", "k"]
+            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(s[a] - words.offsets[rows], pa.int64()), pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(b - a, pa.int32())]
+            names = ["doc_id", "th", "first", "anchor", "pattern", "k"]
             if with_windows:
                 arrays.append(pa.ListArray.from_arrays(pa.array(np.append(a, len(s)), pa.int32()), pa.array(w.view(np.int64))))
                 names.append("windows")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, th long, first long, pattern long, k int" + ", windows array<long>" * with_windows
+    schema = f"doc_id {kind}, th binary, first long, anchor long, pattern long, k int" + ", windows array<long>" * with_windows
     return docs.select("doc_id", "th", "text").mapInArrow(per_batch, schema)
 
 
@@ -113,16 +123,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most_bits: int = MOS
     block = (window + 1) // 2
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(made(cut(_blocks(docs, block)), most_bits))  # most_bits at most
-    patterns = store(_probed(docs, sent, window, block, True).groupBy("pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
-    counted = patterns.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
-    repeated = cut(counted.where((F.col("n") > 1) & (F.col("least") == 1)).select("w"))  # others need no lookup
-    lone = patterns.where(F.col("n") == 1).select("pattern", F.posexplode("windows").alias("i", "w"))
+    patterns = store(_probed(docs, sent, window, block, True).groupBy("anchor", "pattern").agg(F.count("*").alias("n"), F.first("windows").alias("windows")))
+    counted = patterns.select("anchor", F.explode("windows").alias("w"), "n").groupBy("anchor", "w").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    repeated = cut(counted.where((F.col("n") > 1) & (F.col("least") == 1)).select("anchor", "w"))  # others need no lookup
+    lone = patterns.where(F.col("n") == 1).select("anchor", "pattern", F.posexplode("windows").alias("i", "w"))
     one = F.lit(1).cast("long")
-    some = lone.join(repeated, "w").groupBy("pattern").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
-    every = patterns.where(F.col("n") > 1).select("pattern", (F.expr("shiftleft(1L, size(windows))") - one).alias("bits"))
+    some = lone.join(repeated, ["anchor", "w"]).groupBy("anchor", "pattern").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))
+    every = patterns.where(F.col("n") > 1).select("anchor", "pattern", (F.expr("shiftleft(1L, size(windows))") - one).alias("bits"))
     bits = some.unionByName(every)
-    at = _probed(docs, sent, window, block, False).join(bits, "pattern")
-    return at.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "bits")).alias("starts"))
+    at = _probed(docs, sent, window, block, False).join(bits, ["anchor", "pattern"])
+    return at.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "bits")).alias("starts"))  # a set: copies of a row find the same
 
 
 def _spans(starts: list[dict], n_words: int, window: int) -> list[tuple[int, int]]:
@@ -142,7 +152,7 @@ def _spans(starts: list[dict], n_words: int, window: int) -> list[tuple[int, int
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, n_words, spans (start, end, ... in words, of removed words) and kept (words joined by a space)."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", text_name("text"))
     found = repeated_windows(rows, window, most_bits).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "starts")
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["th"] == found["h"]), "left").select("doc_id", "text", "starts")
 
