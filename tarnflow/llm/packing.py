@@ -1,38 +1,42 @@
 """Conflict-constrained best-fit packing of texts into training sequences.
 
-Texts are items with a length in tokens. A text longer than a sequence is cut: its whole sequences
-stand alone, the rest is an item. Items are dealt to shards of bounded size by a hash of their key,
-and each shard is packed longest first. The open bins of a shard are ordered by residual room; the
-search starts at the tightest bin that has room and goes on to its successors until one is
-compatible. A bin carries bitmaps of its sources (one for those it has, one for those at their
-limit) and of its duplicate clusters: an item isn't put where its cluster is already or its source is
-at ``per_source`` items. If no bin is compatible a new one opens. The search has no cut-off, so an
-item always gets the tightest compatible bin.
-
-Only key, length, source and cluster go to the shards; shards have about ``SHARD_TOKENS`` tokens and,
-as a hash of the key deals them, a hot source or cluster is spread over all. Every item is packed.
-
-Null source is a source of its own; null or empty text has length 0 and is packed as well; a null
-cluster never conflicts. Keys may repeat: each row is an item. Ties are broken by key. Extra columns
-are ignored.
-
-``counted`` gives the length as the number of tokens of a vocabulary; ``estimated_tokens`` is a rougher
-one for callers that have no vocabulary, and is up to 2.5 times too small for one text.
+``pieces`` turns texts into items: a text of up to ``capacity`` tokens is one, a longer one is divided
+at spaces (``Compiled.parts``), so that every piece, taken alone, has the tokens that it is packed by.
+Items are dealt to shards of bounded size and each shard is packed longest first. The open bins of a
+shard are ordered by residual room; the search starts at the tightest bin that has room and goes on to
+its successors until one is compatible. A bin carries bitmaps of its sources (one for those it has, one
+for those at their limit) and of its duplicate clusters: an item isn't put where its cluster is already
+or its source is at ``per_source`` items. If no bin is compatible a new one opens. The search has no
+cut-off, so an item always gets the tightest compatible bin of its shard.
+
+Every row has a number of its own, given before the items are written down; the shard follows from
+that, so a hot or missing key, source or cluster is spread over all shards. A shard has about
+SHARD_TOKENS tokens and SHARD_ROWS items; texts, if they are asked for, go through it with their items.
+
+A cluster is a near-duplicate class of ``jaccard_join``; texts without words, which have none, are one
+cluster if they are the same. Pieces of one text are one cluster as well.
+
+Null source is a source of its own; null text counts as empty; an empty text has length 0 and is packed
+as well. Keys may repeat or be null: each row is an item. Ties are broken by key, piece, source and
+cluster. Texts of any length are divided in one task each. An empty table gives no rows. Extra columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import cut, ship
+from tarnflow.llm.common import ship, slices, store, text_name, together
 from tarnflow.llm.jaccard_join import classes
-from tarnflow.llm.token_counts import count_tokens
+from tarnflow.llm.token_counts import STEP_BYTES, machine
 
 CAPACITY = 4096
 PER_SOURCE = 2
@@ -40,24 +44,41 @@ SHARD_TOKENS = 1 << 21
 SHARD_ROWS = 1 << 14
 
 
-def estimated_tokens(text: Column) -> Column:
-    """A length from the text alone: four UTF-8 bytes a token, rounded up."""
-    return F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / F.lit(4)).cast("long")
-
-
-def counted(docs: DataFrame, model_path: str, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, source, n_tokens and cluster of each row, found once, as ``pack`` reads its rows twice.
-
-    n_tokens are the tokens of the whole text. A cluster is a near-duplicate class of ``jaccard_join``;
-    texts without words, which have none, are one cluster if they are the same.
-    """
+def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, key: str = "doc_id", source: str = "source", text: str = "text", with_text: bool = False) -> DataFrame:
+    """row, key, source, cluster, piece, first, last (characters, end exclusive), n_tokens and, if asked
+    for, text of each piece, written down once, as ``pack`` reads them twice."""
     ship(docs.sparkSession)
-    whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key), F.col(source), F.col(text).alias("text"), F.xxhash64(whole).alias("th"), F.sha2(whole, 256).alias("exact"))
-    sized = cut(count_tokens(rows, model_path))
-    found = classes(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))).where("class_node IS NOT NULL")
-    near = cut(found.groupBy("th").agg(F.first("class_node").alias("class_node")))
-    return cut(sized.join(near, "th", "left").select(key, source, "n_tokens", F.coalesce(F.hex("class_node"), "exact").alias("cluster")))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    rows = docs.select(whole.alias("text"), F.col(f"`{key}`").alias("key"), F.col(f"`{source}`").cast("string").alias("source")).withColumn("th", text_name("text")).withColumn("row", F.monotonically_increasing_id())
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = machine(model_path)
+        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES, keep=True):
+            values = texts.column("text")
+            counts, long = tokens.divided(values, capacity)
+            size = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)
+            long = dict(sorted(long.items()))
+            number = np.ones(len(counts), np.int64)
+            number[list(long)] = [len(x) for x in long.values()]
+            at = np.concatenate([[0], np.cumsum(number)])
+            row = np.repeat(np.arange(len(counts)), number)
+            first, last, n = np.zeros(at[-1], np.int64), size[row], counts[row]
+            for i, found in long.items():
+                first[at[i] : at[i + 1]], last[at[i] : at[i + 1]], n[at[i] : at[i + 1]] = np.array(found).T
+            take = pa.array(row)
+            arrays = [texts.column(c).take(take) for c in ("row", "key", "source", "th")] + [pa.array(x) for x in (np.arange(at[-1]) - at[row], first, last, n)]
+            if with_text:
+                parts = pa.array([values[i].as_py()[a:b] for i, found in long.items() for a, b, _ in found], values.type)
+                place = row.copy()  # of a text that is one piece, else of the piece among those of long texts
+                place[np.isin(row, list(long))] = len(counts) + np.arange(len(parts))
+                arrays.append(pa.concat_arrays([values, parts]).take(pa.array(place)))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    names = ["row", "key", "source", "th", "piece", "first", "last", "n_tokens", *["text"] * with_text]
+    schema = f"row long, key {dict(rows.dtypes)['key']}, source string, th binary, piece long, first long, last long, n_tokens long" + ", text string" * with_text
+    found = store(rows.mapInArrow(per_batch, schema))
+    near = classes(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))).where("class_node IS NOT NULL").groupBy("th").agg(F.first("class_node").alias("class_node"))
+    return store(found.join(near, "th", "left").withColumn("cluster", F.coalesce("class_node", "th")).drop("th", "class_node"))
 
 
 def best_fit(items: Iterable[tuple[int, int, int | None]], capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[tuple[int, int]]:
@@ -98,41 +119,53 @@ def best_fit(items: Iterable[tuple[int, int, int | None]], capacity: int = CAPAC
     return placed
 
 
-def pack(docs: DataFrame, length: Column, cluster: Column, key: str = "doc_id", source: str = "source", capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> DataFrame:
-    """One row per piece: key, piece (from 0), first (token of the text), n_tokens, bin (text), start in the bin."""
-    ship(docs.sparkSession)
-    base = docs.select(F.col(key).alias("key"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("n"), F.col(source).cast("string").alias("source"), F.xxhash64(cluster).alias("h"), cluster.isNotNull().alias("has"))
-    rows, tokens = base.agg(F.count("*"), F.coalesce(F.sum(F.col("n") % capacity), F.lit(0))).first()
-    shards = max(1, math.ceil(tokens / SHARD_TOKENS), math.ceil(rows / SHARD_ROWS))
-    items = base.select(
-        "key", "source", "h", "has",
-        F.floor(F.col("n") / capacity).cast("long").alias("whole"),
-        (F.col("n") % capacity).alias("rest"),
-        F.pmod(F.xxhash64("key", "n", F.lit(4)), F.lit(shards)).alias("shard"),
-    )
-
-    def shard_bins(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        number = group[0]
-        rest = pdf[(pdf["rest"] > 0) | (pdf["whole"] == 0)].sort_values(["rest", "key", "source", "h"], ascending=[False, True, True, True], kind="stable", na_position="first")
-        sources = pd.factorize(rest["source"].fillna("\0null"))[0]
-        # a bit only for clusters that this shard has more than once
-        often = rest["has"] & rest.duplicated("h", keep=False)
-        bits = pd.factorize(rest["h"].where(often))[0]
-        placed = best_fit([(int(n), int(s), None if c < 0 else int(c)) for n, s, c in zip(rest["rest"], sources, bits, strict=True)], capacity, per_source)
-        out = pd.DataFrame({"key": rest["key"], "piece": rest["whole"], "first": rest["whole"] * capacity, "n_tokens": rest["rest"], "bin": [f"{number}-{b}" for b, _ in placed], "start": [o for _, o in placed]})
-        long = pdf[pdf["whole"] > 0].sort_values("key", kind="stable")
-        whole = long.loc[long.index.repeat(long["whole"])]
-        piece = whole.groupby(level=0, sort=False).cumcount()
-        alone = pd.DataFrame({"key": whole["key"], "piece": piece, "first": piece * capacity, "n_tokens": capacity, "bin": [f"{number}-w{i}" for i in range(len(whole))], "start": 0})
-        return pd.concat([out, alone], ignore_index=True)[["key", "piece", "first", "n_tokens", "bin", "start"]]
-
-    schema = f"key {dict(base.dtypes)['key']}, piece long, first long, n_tokens long, bin string, start long"
-    packed = items.groupBy("shard").applyInPandas(shard_bins, schema)
-    return packed.withColumnRenamed("key", key)
-
-
-def bins(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """One row per bin: its pieces in order, tokens used and fill."""
-    piece = F.struct("start", F.col(key).alias("key"), "piece", "first", "n_tokens")
-    grouped = packed.groupBy("bin").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum("n_tokens").alias("used"))
-    return grouped.select("bin", F.size("pieces").cast("long").alias("n_pieces"), "used", (F.col("used") / capacity).alias("fill"), "pieces")
+def packed_shard(items: pa.Table, capacity: int, per_source: int) -> pa.Table:
+    """The items of one shard, longest first, with the number of their bin and their start in it."""
+    order = [("n_tokens", "descending"), *((c, "ascending") for c in ("key", "piece", "source", "cluster"))]
+    items = items.sort_by(order)
+    source = items["source"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_pylist()
+    # a bit only for clusters that this shard has more than once
+    cluster = items["cluster"].combine_chunks().dictionary_encode()
+    times = np.bincount(cluster.indices.fill_null(0).to_numpy(), cluster.indices.is_valid().to_numpy(zero_copy_only=False), len(cluster.dictionary) + 1)
+    often = np.flatnonzero(times > 1)
+    bit = dict(zip(often.tolist(), range(len(often)), strict=True))
+    placed = best_fit(zip(items["n_tokens"].to_pylist(), source, [bit.get(c) for c in cluster.indices.to_pylist()], strict=True), capacity, per_source)
+    return items.append_column("number", pa.array([b for b, _ in placed], pa.int64())).append_column("start", pa.array([s for _, s in placed], pa.int64()))
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, as_bins: bool = False, shard_rows: int = SHARD_ROWS, key: str = "doc_id") -> DataFrame:
+    """One row per piece: key, piece, first, last, n_tokens, bin (text), start in the bin and text, if items have it.
+
+    With ``as_bins`` one row per bin: n_pieces, used (tokens), fill and its pieces in order.
+    """
+    ship(items.sparkSession)
+    kinds = dict(items.dtypes)
+    rows, tokens = items.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    shards = max(1, math.ceil(tokens / SHARD_TOKENS), math.ceil(rows / shard_rows))
+    own = ["key", "piece", "first", "last", "n_tokens"]
+    more = ["text"] if "text" in kinds else []
+    dealt = items.select(*own, "source", "cluster", *more, F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        shard = table["shard"][0].as_py() if len(table) else 0
+        found = packed_shard(table, capacity, per_source)
+        if not as_bins:
+            names = pa.array([f"{shard}-{b}" for b in found["number"].to_pylist()], pa.string())
+            return found.append_column("bin", names).select([*own, "bin", "start", *more])
+        found = found.sort_by([("number", "ascending"), ("start", "ascending"), ("n_tokens", "ascending")]).combine_chunks()
+        number = found["number"].to_numpy()
+        at = np.flatnonzero(np.diff(number, prepend=-1))
+        used = np.add.reduceat(found["n_tokens"].to_numpy(), at) if len(at) else np.zeros(0, np.int64)
+        fields = ["start", *own, *more]
+        columns = [found[c].chunk(0) if found[c].num_chunks else pa.array([], found[c].type) for c in fields]
+        struct = pa.StructArray.from_arrays(columns, names=fields)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(number)), pa.int32()), struct)
+        names = pa.array([f"{shard}-{b}" for b in number[at].tolist()], pa.string())
+        return pa.table({"bin": names, "n_pieces": pa.array(np.diff(np.append(at, len(number))), pa.int64()), "used": pa.array(used, pa.int64()), "fill": pa.array(used / capacity, pa.float64()), "pieces": lists})
+
+    piece = ", ".join(f"{c} {kinds[c]}" for c in own)
+    text = ", text string" * len(more)
+    inner = "start: bigint, " + ", ".join(f"{c}: {kinds[c]}" for c in [*own, *more])
+    schema = f"bin string, n_pieces long, used long, fill double, pieces array<struct<{inner}>>" if as_bins else f"{piece}, bin string, start long{text}"
+    packed = dealt.groupBy("shard").applyInArrow(solve, schema)
+    return packed if as_bins else packed.withColumnRenamed("key", key)

@@ -150,10 +150,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_best_fit_packing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarnflow.llm.packing import counted, pack
+    from tarnflow.llm.packing import pack, pieces
 
-    docs = counted(load(spark, sf_dir, "documents"), tokenizer_path())
-    return pack(docs, F.col("n_tokens"), cluster=F.col("cluster"))
+    return pack(pieces(load(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def held_out(key: str = "doc_id"):

@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import ship, slices, together
+from tarnflow.llm.common import settle, ship, slices, together
 
 SPACE = "▁"
 #: Characters of one chunk; longer texts become several chunk maps.
@@ -49,9 +49,9 @@ LOOK_BACK = 64
 #: UTF-8 bytes beyond which the chunks of a text are dealt to tasks, and maps composed by one of them.
 LONG_BYTES, SCAN = 1 << 22, 64
 #: Bytes of texts whose words are split at a time.
-STEP_BYTES = 1 << 23
-#: Characters of a word, and different characters, up to which words go through the matrix of moves.
-MATRIX_CHARS, COLUMNS = 32, 192
+STEP_BYTES = 1 << 22
+#: Characters of a word, in classes, and different characters, up to which words go on side by side.
+MATRIX_CHARS, COLUMNS = (8, 14, 32), 192
 #: Words that a worker remembers; the memory is emptied when it is full.
 MEMORY = 200_000
 #: Compiled states that a worker keeps between texts; beyond them compiling starts anew.
@@ -72,7 +72,10 @@ class Compiled:
         self.pieces = pieces
         self.dummy_prefix = dummy_prefix
         self.chars = {c for p in pieces for c in p}
-        self.starts = {p[:k] for p in pieces for k in range(1, len(p))}  # of longer pieces
+        self.starts: dict[str, float] = {}  # first parts of longer pieces, with the best of their scores
+        for p, score in pieces.items():
+            for k in range(1, len(p)):
+                self.starts[p[:k]] = max(self.starts.get(p[:k], _NEVER), score)
         self.longest = max(map(len, pieces), default=1)
         if self.longest > _OFFSET // 2:
             raise ValueError("a piece is too long")
@@ -81,17 +84,26 @@ class Compiled:
         self.characters = [""]
         self.memory: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.histories: dict[str, list[tuple[float, str, str]]] = {}
+        self.suffixes: dict[str, tuple] = {}
+        self.alike: dict[tuple[str, str], str | None] = {}
+        self.classes: dict[tuple, str] = {}
         self.forget()
 
     def forget(self) -> None:
         """Back to the start state alone, which is number 0."""
         self.pairs.clear()
+        self.histories.clear()
+        self.alike.clear()
+        self.classes.clear()
+        self.suffixes.clear()
         self.states: list[tuple] = [_START]
         self.numbers: dict[tuple, int] = {_START: 0}
-        #: a move is the next state with the change of the count: by state and character, and as a matrix
-        #: by column of a character and state, 0 where not yet compiled; pages never written take no memory
+        #: a move is the next state with the change of the count: by state and character, and for whole
+        #: arrays by state and column of a character
         self.moves: dict[int, int] = {}
-        self.table = np.zeros((COLUMNS, STATES + STATES // 4), np.int32)
+        self.table = MoveTable()
+        self.counted: dict[tuple, tuple] = {}
 
     def forget_if_full(self) -> None:
         if len(self.states) > STATES:
@@ -136,12 +148,59 @@ class Compiled:
                 scores[i] = score(parts[i] + parts[i + 1], _NEVER)
         return parts
 
+    def history(self, token: str) -> list[tuple[float, str, str]]:
+        """(score of the next merge, last part, first part) after each merge of a token taken alone."""
+        found = self.histories.get(token)
+        if found is None:
+            score = self.pieces.get
+            parts = list(token)
+            scores = [score(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+            found = []
+            while True:
+                best = max(scores, default=_NEVER)
+                found.append((best, parts[-1], parts[0]))
+                if best == _NEVER:
+                    break
+                i = scores.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del scores[i]
+                if i:
+                    scores[i - 1] = score(parts[i - 1] + parts[i], _NEVER)
+                if i < len(scores):
+                    scores[i] = score(parts[i] + parts[i + 1], _NEVER)
+            if len(parts) > 1:
+                found.append((_NEVER, "", ""))  # no token: its parts never become one
+            self.histories[token] = found
+        return found
+
     def agree(self, left: str | None, right: str) -> bool:
-        """Do the two tokens stay as they are side by side?  None: nothing to the left."""
-        key = (left or "", right)
-        if key not in self.pairs:
-            self.pairs[key] = self.merged(key[0] + right) == [x for x in key if x]
-        return self.pairs[key]
+        """Do the two tokens stay as they are side by side?  None: nothing to the left.
+
+        Each merges as it does alone until their meeting parts are the best pair, leftmost on ties.
+        """
+        if not left:
+            return self.history(right)[-1][1] == right
+        key = (left, right)
+        found = self.pairs.get(key)
+        if found is None:
+            score = self.pieces.get
+            ours, theirs = self.history(left), self.history(right)
+            i = j = 0
+            found = ours[-1][1] == left and theirs[-1][1] == right
+            while found:
+                x, last, _ = ours[i]
+                y, _, first = theirs[j]
+                across = score(last + first, _NEVER)
+                if across > x and across >= y:
+                    found = False
+                elif x == y == _NEVER:
+                    break
+                elif x >= y:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[key] = found
+        return found
 
     def compile_move(self, number: int, char: str) -> int:
         """The move from a state at a character."""
@@ -149,41 +208,80 @@ class Compiled:
         found = self.moves[number << 21 | ord(char)] = self.number(to) << _BITS | delta + _OFFSET
         return found
 
-    def _fill(self, numbers: np.ndarray, columns: np.ndarray) -> None:
-        """Compiles those moves of the matrix that are missing."""
-        for key in np.unique(numbers.astype(np.int64) * COLUMNS + columns).tolist():
+    def _fill(self, keys: np.ndarray) -> None:
+        """Compiles the moves of the table that are missing; a key is state * COLUMNS + column."""
+        keys = np.unique(keys)
+        found = []
+        for key in keys.tolist():
             number, column = divmod(key, COLUMNS)
             to, delta = self._move(self.states[number], self.characters[column])
-            to = self.number(to)
-            if to >= self.table.shape[1]:
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)], axis=1)
-            self.table[column, number] = to << _BITS | delta + _OFFSET
+            found.append(self.number(to) << _BITS | delta + _OFFSET)
+        self.table.add(keys, np.array(found, np.int32))
+
+    def _grown(self, grown: str) -> tuple[list[tuple[int, str, bool]], str, list[bool]]:
+        """What follows from the suffix alone: tokens that may end here (length, token, whether a piece), the
+        suffix that is kept, and what has been read since each of its places, empty if it can't be returned to."""
+        found = self.suffixes.get(grown)
+        if found is None:
+            tokens = [(d, self.same[grown[-d:]], True) for d in range(len(grown), 0, -1) if grown[-d:] in self.same]
+            if not tokens or tokens[-1][0] > 1:
+                tokens.append((1, grown[-1], False))
+            keep = len(grown)
+            while keep and grown[-keep:] not in self.starts:
+                keep -= 1
+            kept = grown[len(grown) - keep :]
+            places = [kept[-d:] if kept[-d:] in self.starts else "" for d in range(1, keep + 1)]
+            found = self.suffixes[grown] = (tokens, kept, places)
+        return found
+
+    def like(self, left: str | None, begun: str) -> str | None:
+        """One token for all that agree with the same pieces among those that begin with ``begun``.
+
+        Of what a token has been while it merged only those parts count that could merge across before
+        the token's own next merge: some piece continues them with ``begun``, a first part of it or
+        more, and is better than that merge. Which parts these are, when they came (after the worst
+        merge before) and what they waited for (the next merge) say all; without any it is as nothing.
+        """
+        if not left:
+            return None
+        key = (left, begun)
+        found = self.alike.get(key, "")
+        if found == "":
+            score, worst, seen = self.pieces.get, float("inf"), []
+            for following, last, _ in self.history(left):
+                best = max([self.starts.get(last + begun, _NEVER), *(score(last + begun[:k], _NEVER) for k in range(1, len(begun) + 1))])
+                if best > following:
+                    seen.append((worst, following, last))
+                worst = min(worst, following)
+            found = self.alike[key] = self.classes.setdefault((begun, *seen), left) if seen else None
+        return found
 
     def _move(self, state: tuple, char: str) -> tuple[tuple, int]:
         suffix, last, counts = state
         if char not in self.chars:  # no piece has it: bytes of its own, and nothing merges across it
             return _START, len(char.encode())
-        grown = suffix + char
-        same, starts = self.same, self.starts
+        tokens, kept, places = self._grown(suffix + char)
         # last[d] is the last token d characters back (index 0: here), counts[d] its count against here
-        for d in range(len(grown), 0, -1):
-            token = same.get(grown[-d:]) or (grown[-d:] if d == 1 else None)
-            if token is not None and self.agree(last[d - 1], token):
+        for d, token, whole in tokens:
+            if self.agree(last[d - 1], token):
                 break
         else:
-            raise AssertionError(f"no token ends {grown!r}")
-        whole = token in same
+            raise AssertionError(f"no token ends {suffix + char!r}")
         delta = counts[d - 1] + (1 if whole else len(token.encode()))
-        keep = len(grown)
-        while keep and grown[-keep:] not in starts:
-            keep -= 1
-        kept = grown[len(grown) - keep :]
-        new_last, new_counts = [token if whole else None], [0]
-        for d in range(1, keep + 1):  # places that can't be returned to are all alike
-            open_ = kept[-d:] in starts
-            new_last.append(last[d - 1] if open_ else "")
-            new_counts.append(counts[d - 1] - delta if open_ else 0)
-        return (kept, tuple(new_last), tuple(new_counts)), delta
+        # places that can't be returned to are all alike, and so are tokens that the rest can't tell apart
+        alike, new_last, new_counts = self.alike, [self.like(token, "") if whole else None], [0]
+        for x, c, begun in zip(last, counts, places, strict=False):
+            if begun:
+                if x:
+                    y = alike.get((x, begun), "")
+                    x = self.like(x, begun) if y == "" else y
+                new_last.append(x)
+                new_counts.append(c - delta)
+            else:
+                new_last.append(None)
+                new_counts.append(0)
+        counted = tuple(new_counts)
+        return (kept, tuple(new_last), self.counted.setdefault(counted, counted)), delta
 
     # ------------------------------------------------------------ running
 
@@ -257,33 +355,43 @@ class Compiled:
         """Tokens of each of some distinct words that stand after one space: all go on a character at a time."""
         out = np.zeros(len(words), np.int64)
         size = pc.utf8_length(words).to_numpy(zero_copy_only=False)
-        by_size = np.argsort(-size, kind="stable")
-        by_size = by_size[np.searchsorted(-size[by_size], -MATRIX_CHARS) :]
-        size = size[by_size]
-        some = np.array(words.take(pa.array(by_size)).to_pylist(), f"U{MATRIX_CHARS}").view(np.uint32).reshape(-1, MATRIX_CHARS)
+        start, first = self.run(0, SPACE)
+        least = -1
+        for width in MATRIX_CHARS:
+            some = np.flatnonzero((size > least) & (size <= width))
+            some = some[np.argsort(-size[some], kind="stable")]
+            total, bare = self._matrix(words.take(pa.array(some)), size[some], width, start)
+            out[some] = total + first
+            for i in some[bare].tolist():  # a character without a column
+                out[i] = first + self.run(start, words[i].as_py())[1]
+            least = width
+        for i in np.flatnonzero(size > least).tolist():
+            out[i] = first + self.run(start, words[i].as_py())[1]
+        return out
+
+    def _matrix(self, words: pa.Array, size: np.ndarray, width: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of words, longest first, from a state, and flags of those with a character that has no column."""
+        some = np.array(words.to_pylist(), f"U{width}").view(np.uint32).reshape(len(words), width)
         columns = self.columns[some]
-        if not columns[size[:, None] > np.arange(MATRIX_CHARS)].all():
+        if len(self.characters) < COLUMNS and ((columns != 0).sum(1) < size).any():
             self._meet(some)
             columns = self.columns[some]
-        start, first = self.run(0, SPACE)
-        state, total, bare = np.full(len(size), start), np.full(len(size), first), np.zeros(len(size), bool)
+        columns = np.ascontiguousarray(columns.T)
+        state, total, bare = np.full(len(size), start), np.zeros(len(size), np.int64), np.zeros(len(size), bool)
         for k in range(size[0] if len(size) else 0):
             live = np.searchsorted(-size, -k)  # those that are longer
-            at, column = state[:live], columns[:live, k]
-            move = self.table[column, at]
-            missing = (move == 0) & (column > 0)
-            if missing.any():
-                self._fill(at[missing], column[missing])
-                move = self.table[column, at]
-            state[:live] = np.where(column > 0, move >> _BITS, 0)
+            column = columns[k, :live]
+            keys = state[:live] * COLUMNS + column
+            move = self.table.get(keys)
+            if not move.all():
+                missing = keys[(move == 0) & (column > 0)]
+                if len(missing):
+                    self._fill(missing)
+                    move = self.table.get(keys)
+                bare[:live] |= column == 0
+            state[:live] = move >> _BITS
             total[:live] += (move & _MASK) - _OFFSET
-            bare[:live] |= column == 0
-        out[by_size] = total
-        rest = np.ones(len(words), bool)  # too long, or a character without a column
-        rest[by_size[~bare]] = False
-        for i in np.flatnonzero(rest).tolist():
-            out[i] = first + self.run(start, words[i].as_py())[1]
-        return out
+        return total, bare
 
     def _meet(self, characters: np.ndarray) -> None:
         """Gives columns to new characters while there are any."""
@@ -294,18 +402,38 @@ class Compiled:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; nulls count as empty."""
+        return self.divided(texts, None)[0]
+
+    def divided(self, texts: pa.Array, capacity: int | None) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int]]]]:
+        """Tokens of each text and, by its number, the ``parts`` of each that has more than ``capacity``."""
         texts = texts.fill_null("")
         plain = self.plain(texts)
         out = np.zeros(len(texts), np.int64)
+        parts: dict[int, list[tuple[int, int, int]]] = {}
         if plain.any():
             self.forget_if_full()
             words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
             flat = words.flatten().dictionary_encode()
-            each = self.words(flat.dictionary)[flat.indices.to_numpy(zero_copy_only=False)]
-            out[plain] = np.add.reduceat(each, words.offsets.to_numpy()[:-1] - words.offsets[0].as_py())
+            index = flat.indices.to_numpy(zero_copy_only=False)
+            each = self.words(flat.dictionary)[index]
+            at = words.offsets.to_numpy() - words.offsets[0].as_py()
+            out[plain] = np.add.reduceat(each, at[:-1])
+            long = np.flatnonzero(plain & (out > capacity)) if capacity else []
+            if len(long):
+                size = pc.utf8_length(flat.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[index]
+                row = np.cumsum(plain) - 1
+                for i in long.tolist():
+                    a, b = at[row[i]], at[row[i] + 1]
+                    found = _filled(each[a:b], size[a:b], capacity)
+                    if found:
+                        parts[i] = found
         for i in np.flatnonzero(~plain).tolist():
             out[i] = self.count(texts[i].as_py())
-        return out
+        if capacity:
+            for i in np.flatnonzero(out > capacity).tolist():
+                if i not in parts:
+                    parts[i] = self.parts(texts[i].as_py(), capacity)
+        return out, parts
 
     def plain(self, texts: pa.Array) -> np.ndarray:
         """Texts of one chunk whose spaces stand alone, so that each is a cut, the prefix too."""
@@ -366,6 +494,59 @@ class Compiled:
         return out
 
 
+def _filled(tokens: np.ndarray, characters: np.ndarray, capacity: int) -> list[tuple[int, int, int]] | None:
+    """(start, end, tokens) of parts of as many words as fit; None if a word doesn't, or the last is empty."""
+    if not characters[-1] or tokens.max() > capacity:
+        return None
+    total = np.concatenate([[0], np.cumsum(tokens)])
+    place = np.concatenate([[0], np.cumsum(characters + 1)])
+    out, at = [], 0
+    while at < len(tokens):
+        end = int(np.searchsorted(total, total[at] + capacity, side="right")) - 1
+        out.append((int(place[at]), int(place[end]) - 1, int(total[end] - total[at])))
+        at = end
+    return out
+
+
+class MoveTable:
+    """Positive numbers by key, for arrays of keys: open addressing in two arrays."""
+
+    def __init__(self, log_size: int = 12):
+        self.log_size, self.n = log_size, 0
+        self.keys = np.full(1 << log_size, -1)
+        self.values = np.zeros(1 << log_size, np.int32)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key is, or the free place where it would go."""
+        mask = (1 << self.log_size) - 1
+        place = (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.log_size)).astype(np.int64)
+        there = self.keys[place]
+        todo = np.flatnonzero((there != keys) & (there >= 0))
+        while len(todo):
+            place[todo] = (place[todo] + 1) & mask
+            there = self.keys[place[todo]]
+            todo = todo[(there != keys[todo]) & (there >= 0)]
+        return place
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of the keys; 0 for a key that isn't there."""
+        return self.values[self._places(keys)]
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that aren't there."""
+        if (self.n + len(keys)) * 2 > len(self.keys):
+            held = self.keys >= 0
+            old, self.__dict__ = (self.keys[held], self.values[held]), MoveTable((4 * (self.n + len(keys))).bit_length()).__dict__
+            self.add(*old)
+        self.n += len(keys)
+        while len(keys):  # of several that want one free place the last gets it
+            place = self._places(keys)
+            self.keys[place] = keys
+            got = self.keys[place] == keys
+            self.values[place[got]] = values[got]
+            keys, values = keys[~got], values[~got]
+
+
 _CUT = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
 
 
@@ -389,18 +570,17 @@ def scanned(maps: list[ChunkMap]) -> ChunkMap:
     return maps[0]
 
 
-_MACHINES: dict[str, Compiled] = {}
-
-
 def machine(path: str) -> Compiled:
-    """The transducer for a model file, one per worker."""
-    if path not in _MACHINES:
-        _MACHINES[path] = Compiled.from_sentencepiece(path)
-    return _MACHINES[path]
+    """The transducer for a model file, one per worker while tasks of this kind follow each other."""
+    kept = settle("token_counts")
+    if path not in kept:
+        kept[path] = Compiled.from_sentencepiece(path)
+    return kept[path]
 
 
 def counter(path: str) -> Callable[[str | None], int]:
-    return lambda text: machine(path).count(text or "")
+    tokens = machine(path)
+    return lambda text: tokens.count(text or "")
 
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str = "n_tokens", long_bytes: int = LONG_BYTES) -> DataFrame:
@@ -417,14 +597,16 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = machine(model_path)
-        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES):
+        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES, keep=True):
             counts = tokens.counts(texts.column("text"))
             yield pa.RecordBatch.from_arrays([*(texts.column(p) for p in plain), pa.array(counts, pa.int64())], names=[*plain, "n"])
 
     def recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = None
         for batch in batches:
             known = batch.column(batch.num_columns - 1).to_pylist()
-            counts = [machine(model_path).count(t.as_py()) if n is None else n for t, n in zip(batch.column(0), known, strict=True)]
+            tokens = tokens or (machine(model_path) if None in known else None)
+            counts = [tokens.count(t.as_py()) if n is None else n for t, n in zip(batch.column(0), known, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:-1], pa.array(counts, pa.int64())], names=[*plain, "n"])
 
     schema = rows.drop("text").schema.add("n", "long")
@@ -440,14 +622,17 @@ def _long_counts(texts: DataFrame, model_path: str) -> DataFrame:
     where the composed map doesn't know the start state."""
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = None
         for batch in batches:
+            tokens = tokens or machine(model_path)
             for th, text in zip(batch.column(0), batch.column(1), strict=True):
-                for k, (before, whole, part) in enumerate(machine(model_path).chunks(text.as_py())):
+                for k, (before, whole, part) in enumerate(tokens.chunks(text.as_py())):
                     yield pa.RecordBatch.from_pydict({"th": [th], "k": [k], "before": [before], "whole": [whole], "part": [part]})
 
     def map_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = machine(model_path)
+        tokens = None
         for batch in batches:
+            tokens = tokens or machine(model_path)
             maps = []
             for before, whole, part in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)], strict=True):
                 tokens.forget_if_full()

@@ -72,54 +72,126 @@ def test_best_fit_equals_brute_force(per_source):
         assert packing.best_fit(items, 32, per_source) == brute_fit(items, 32, per_source)
 
 
-def test_packing_places_every_token_once(awkward):
-    capacity = 64
-    packed = packing.pack(awkward.withColumn("bin", F.lit(1)), packing.estimated_tokens(F.col("text")), F.sha2(F.coalesce("text", F.lit("")), 256), capacity=capacity)
-    rows = packed.collect()
-    texts = {}
-    for r in awkward.collect():
-        texts.setdefault(r.doc_id, []).append(-(-len((r.text or "").encode()) // 4))
-    for key, lengths in texts.items():
-        assert sum(r.n_tokens for r in rows if r.doc_id == key) == sum(lengths)
-        assert sum(r.piece == 0 for r in rows if r.doc_id == key) == len(lengths)
-    bins = packing.bins(packed, capacity=capacity).collect()
-    cluster = {r.doc_id: r.text for r in awkward.where("doc_id IS NOT NULL").collect()}
-    source = {r.doc_id: r.source for r in awkward.where("doc_id IS NOT NULL").collect()}
+@pytest.fixture(scope="module")
+def library():
+    import sentencepiece
+
+    from tarnflow.llm.queries import tokenizer_path
+
+    return sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+
+
+def brute_pieces(text, library, capacity):
+    """(first, last, tokens): words of a text of single spaces, as many as fit."""
+    if len(library.encode(text)) <= capacity:
+        return [(0, len(text), len(library.encode(text)))]
+    out, at = [], 0
+    words = text.split(" ")
+    while words:
+        k = max(k for k in range(1, len(words) + 1) if len(library.encode(" ".join(words[:k]))) <= capacity)
+        part = " ".join(words[:k])
+        out.append((at, at + len(part), len(library.encode(part))))
+        at += len(part) + 1
+        words = words[k:]
+    return out
+
+
+def brute_packing(docs, library, capacity, per_source, clusters):
+    """(key, piece, first, last, n, bin, start) of docs (key, text, source), in one shard."""
+    items = []
+    for key, text, source in docs:
+        for k, (a, b, n) in enumerate(brute_pieces(text or "", library, capacity)):
+            items.append((-n, key, k, source, clusters[text or ""], a, b))
+    items.sort(key=lambda x: (x[0], x[1] is None, x[1] or 0, x[2], x[3] is None, x[3] or "", x[4]))
+    placed = brute_fit([(-n, source, cluster) for n, _, _, source, cluster, _, _ in items], capacity, per_source)
+    return sorted(((key is None, key or 0), k, a, b, -n, f"0-{bin_}", start) for (n, key, k, _, _, a, b), (bin_, start) in zip(items, placed, strict=True))
+
+
+def test_the_whole_query_equals_brute_force(spark, library):
+    from tarnflow.llm.queries import tokenizer_path
+
+    from .conftest import prose
+
+    rng = random.Random(21)
+    rows = [(k, prose(rng, rng.randint(1, 30)), rng.choice(["a", "b", "c", None])) for k in range(60)]
+    rows += [(70, prose(rng, 300), "a"), (71, prose(rng, 90), "b"), (72, "", "a"), (73, None, None), (74, "?!", "c"), (75, "?!", "b"), (None, "no key here", "a"), (None, "no key either", "b"), (76, rows[5][1], "b"), (76, rows[5][1], "b")]
+    clusters = {t or "": t or "" for _, t, _ in rows}
+    docs = spark.createDataFrame([(k, t, s, 1, "x") for k, t, s in rows], "doc_id long, text string, source string, bin int, th string").repartition(3)
+    found = packing.pieces(docs, tokenizer_path(), capacity=48)
+    names = {r.cluster.hex(): r for r in found.select("cluster").distinct().collect()}
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.piece, r.first, r.last, r.n_tokens, r.bin, r.start) for r in packing.pack(found, 48, 2).collect())
+    ordered = {}  # the brute force needs the operator's names of clusters only to break ties
+    for r in found.collect():
+        for k, t, s in rows:
+            if (k, s) == (r.key, r.source) and (k is not None or len(t) == r.last):
+                ordered[t or ""] = r.cluster.hex()
+    assert len(names) == len(set(clusters.values())) == len(set(ordered.values()))
+    assert got == brute_packing(rows, library, 48, 2, ordered)
+
+
+def test_hot_and_missing_keys_are_spread_over_shards(spark):
+    items = spark.range(4000).selectExpr("id AS row", "CAST(NULL AS BIGINT) AS key", "'s' AS source", "0L AS piece", "0L AS first", "1L AS last", "1L AS n_tokens", "CAST('same' AS BINARY) AS cluster")
+    shards = {}
+    for r in packing.pack(items, shard_rows=100).collect():
+        shards[r.bin.split("-")[0]] = shards.get(r.bin.split("-")[0], 0) + 1
+    assert len(shards) == 40 and max(shards.values()) < 200
+
+
+def test_bins_hold_the_texts(spark, library, awkward):
+    from tarnflow.llm.queries import tokenizer_path
+
+    bins = packing.pack(packing.pieces(awkward.withColumn("row", F.lit(1)), tokenizer_path(), capacity=64, with_text=True), 64, as_bins=True).collect()
+    by_text = {}
     for b in bins:
-        assert b.used <= capacity and b.fill <= 1
         at = 0
         for p in b.pieces:
-            assert p.start == at
+            assert p.start == at and p.n_tokens == len(library.encode(p.text)) and len(p.text) == p.last - p.first
             at += p.n_tokens
-        keys = [p.key for p in b.pieces if p.key is not None]
-        if len(keys) == len(b.pieces) > 1:
-            assert len({cluster[k] for k in keys}) == len(keys)
-            assert max(sum(source[k] == s for k in keys) for s in {source[k] for k in keys}) <= packing.PER_SOURCE
+        assert b.used == at <= 64 and b.fill == at / 64 and b.n_pieces == len(b.pieces)
+        for p in b.pieces:
+            by_text.setdefault(p.key, []).append((p.piece, p.first, p.last, p.text))
+    want = {}
+    for r in awkward.collect():
+        want.setdefault(r.doc_id, []).append(r.text or "")
+    for key, found in by_text.items():
+        if len(want[key]) > 1:  # rows of one key can't be told apart by it: here equal ones, or short ones
+            assert len([x for x in found if x[0] == 0]) == len(want[key])
+            continue
+        at, rebuilt = 0, ""
+        for _, first, last, text in sorted(found):
+            rebuilt += " " * (first - at) + text
+            at = last
+        assert rebuilt == want[key][0]
+    assert set(by_text) == set(want)
 
 
 def test_packing_nothing(no_docs):
-    assert packing.bins(packing.pack(no_docs, F.lit(3), F.lit(None).cast("string"))).count() == 0
+    from tarnflow.llm.queries import tokenizer_path
 
+    for with_text in (False, True):
+        found = packing.pieces(no_docs, tokenizer_path(), with_text=with_text)
+        assert packing.pack(found).count() == 0 and packing.pack(found, as_bins=True).count() == 0
 
-def test_packing_queries_count_real_tokens(spark, tmp_path, awkward):
-    import sentencepiece
 
+def test_packing_queries_count_real_tokens(spark, tmp_path, awkward, library):
     import corpus_pipeline as cp
     from tarnflow.llm import queries
 
-    library = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
     awkward.write.parquet(f"{tmp_path}/documents.parquet")
-    expected = {}
+    texts = {}
     for r in awkward.collect():
-        expected[r.doc_id] = expected.get(r.doc_id, 0) + len(library.encode(r.text or ""))
-    assert any(n > packing.CAPACITY for n in expected.values())
+        texts.setdefault(r.doc_id, []).append(r.text or "")
     got = {}
     for r in queries.op4(spark, str(tmp_path)).collect():
         assert r.start + r.n_tokens <= packing.CAPACITY
-        got[r.doc_id] = got.get(r.doc_id, 0) + r.n_tokens
-    assert got == expected
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(texts) and any(r.piece for rows in got.values() for r in rows)
+    for key, rows in got.items():
+        for r in rows:
+            assert r.n_tokens in {len(library.encode(t[r.first : r.last])) for t in texts[key]}
+    total = sum(r.n_tokens for rows in got.values() for r in rows)
     bins = cp.pack_sequences(spark, awkward, str(tmp_path)).collect()
-    assert sum(b.used for b in bins) == sum(expected.values()) and all(b.used <= packing.CAPACITY for b in bins)
+    assert sum(b.used for b in bins) == total and all(b.used <= packing.CAPACITY for b in bins)
 
 
 def test_near_copies_share_no_bin(spark, tmp_path):

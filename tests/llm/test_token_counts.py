@@ -99,6 +99,14 @@ def test_parts_rebuild_the_text(compiled, library, capacity):
         assert rebuilt == text
 
 
+@pytest.mark.parametrize("capacity", [3, 7, 40])
+def test_parts_of_a_batch_are_those_of_each_text(compiled, capacity):
+    rng = random.Random(capacity)
+    some = [" ".join(rng.choice(["the", "tion", "x", "ab.", "wordless", "", "é"]) for _ in range(rng.randint(1, 60))) for _ in range(400)] + ["", "a" * 300, "a b "]
+    counts, parts = compiled.divided(pa.array(some), capacity)
+    assert parts == {i: compiled.parts(t, capacity) for i, t in enumerate(some) if counts[i] > capacity}
+
+
 def test_the_query_over_documents(spark, sf, library):
     from tarnflow.llm.queries import QUERIES
 
