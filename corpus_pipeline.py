@@ -54,10 +54,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per bin: its pieces, tokens used and fill."""
-    sized = packing.counted(docs, tokenizer_path())
-    packed = packing.pack(sized, F.col("n_tokens"), cluster=F.col("cluster"))
-    return packing.bins(packed)
+    """One row per bin: its pieces with their texts, tokens used and fill.
+
+    A document's text is its pieces by ``piece``, with a space where ``first`` isn't the ``last`` before.
+    """
+    return packing.pack(packing.pieces(docs, tokenizer_path(), with_text=True), as_bins=True)
 
 
 STAGES = [
