@@ -8,7 +8,8 @@ from tarnflow.llm import jaccard_join as jj
 from tarnflow.llm.components import components
 
 from .conftest import DOCS, awkward_rows, prose
-from .test_decontaminate import words
+from .test_decontaminate import LOWER, WORD, words
+from .test_secret_scan import KINDS
 
 
 def shingles(text):
@@ -215,6 +216,83 @@ def test_run_equals_the_stages(spark, folder):
     assert [name for name, _ in cp.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "packing"]
 
 
+def plain_duplicates(docs):
+    """Of each class of texts with words the one of the least key; every text without words."""
+    sets = [shingles(t) for _, t in docs]
+    group = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    best = {}
+    for (key, text), words_, g in zip(docs, sets, group, strict=True):
+        if words_ and (g not in best or (key is None, key or 0) < (best[g][0] is None, best[g][0] or 0)):
+            best[g] = (key, text)
+    return [*best.values(), *(d for d, words_ in zip(docs, sets, strict=True) if not words_)]
+
+
+def plain_decontamination(docs, items):
+    out = []
+    for key, text in docs:
+        places = [m.span() for m in WORD.finditer((text or "").translate(LOWER))]
+        w, hit = words(text), set()
+        for item in items:
+            v = words(item)
+            k = min(10, len(v))
+            grams = {tuple(v[i : i + k]) for i in range(len(v) - k + 1)} if k else set()
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) in grams:
+                    hit |= set(range(i, i + k))
+        if len(hit) > 0.5 * len(w):
+            continue
+        for i in sorted(hit, reverse=True):  # from a hit word to the next, if that is hit as well
+            text = text[: places[i][0]] + text[rest if i + 1 in hit else places[i][1] :]
+            rest = places[i][0]
+        out.append((key, text))
+    return out
+
+
+def plain_redaction(docs):
+    out = []
+    for key, text in docs:
+        spans = [m.span() for _, pattern, group, least in KINDS for m in pattern.finditer(text or "") if len(m[group]) >= least]
+        joined = []
+        for a, b in sorted(spans):
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        for a, b in reversed(joined):
+            text = text[:a] + "[SECRET]" + text[b:]
+        out.append((key, text or ""))
+    return out
+
+
+def test_the_whole_pipeline_equals_a_plain_one(spark, folder):
+    import corpus_pipeline as cp
+
+    base, _, passage = folder
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{base}/documents.parquet").collect()]
+    docs = [d for d in docs if not (d[0] is not None and 200 <= d[0] < 260 and d[0] % 3 == 0)]  # the toxic ones
+    want = plain_redaction(plain_decontamination(plain_duplicates(docs), [passage]))
+    parts = {}
+    for b in cp.run(spark, base).collect():
+        assert sum(p.n_tokens for p in b.pieces) == b.used <= 4096
+        for p in b.pieces:
+            parts.setdefault((p.key, p.last if p.key is None else 0), []).append(p)
+    got = []
+    for (key, _), own in parts.items():
+        at, text = 0, ""
+        for p in sorted(own, key=lambda p: p.piece):
+            text += " " * (p.first - at) + p.text
+            at = p.last
+        got.append((key, text))
+    order = lambda d: (d[0] is None, d[0] or 0, d[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path, no_docs):
     import corpus_pipeline as cp
 
