@@ -5,28 +5,36 @@ A byte is removed if a ``length``-byte string covers it that also starts anywher
 Distribution. Every ``length``-byte window has an anchor: the GRAM bytes inside it with the smallest
 hash, leftmost on ties, so equal windows have equal anchors at equal places. Anchors are counted over
 the corpus; a bit array of those that occur twice (of a size that has a bound) picks the windows that
-can repeat at all. Consecutive windows of one anchor form a fragment. Fragments are counted by hash;
-all windows of one that occurs twice repeat. Where an anchor has others, that occur once, one copy of
-each of its distinct fragments is sent (a second bit array picks it), and they meet in one task.
+can repeat at all. Consecutive windows of one anchor form a fragment. Equal fragments are one from
+then on, with a number of occurrences; one copy of each is sent (a second bit array picks it), and the
+fragments of an anchor meet in one task.
 
 Merging. The fragments of a task are dealt to shards. A shard's Burrows-Wheeler transform is over
 symbols of ``length / ROUNDS`` bytes taken at that stride from every offset, so that ROUNDS symbols
-are one window; symbols that occur once in the task end strings, as no window across them repeats. Shard transforms are merged by interleave refinement (``merge``): starting from the
-shards one after the other, each round reads the interleaved transforms in order and deals their
-entries to the buckets of their symbols, stably. After h rounds the interleave is sorted by the first
-h symbols, and an entry opens a new block where its symbol or its follower's block is new: blocks are
-the common prefixes of h symbols. After ROUNDS rounds blocks of two and more are the repeated
-intervals. Suffixes of different shards are never compared or sorted again.
-
-Anchors with more than ``HOT`` distinct fragments (the surroundings of a passage that very many
-texts share) would be too much for a task; their windows are counted one by one, by hash, with
-partial aggregation. Nothing is left out.
-
-Symbols, fragments and anchors are told apart by 64-bit hashes; the chance that any two unlike
-strings of one task agree is below one in a million for tasks of these sizes.
-
-Null text is empty; texts shorter than ``length`` keep all bytes. Repeated rows repeat each other.
-Documents are told apart by key and text. An empty table gives no rows.
+are one window; symbols that occur once in the task end strings, as no window across them repeats.
+Shard transforms are merged by interleave refinement (``merge``): starting from the shards one after
+the other, each round reads the interleaved transforms in order and deals their entries to the buckets
+of their symbols, stably. After h rounds the interleave is sorted by the first h symbols, and an entry
+opens a new block where its symbol or its follower's block is new: blocks are the common prefixes of h
+symbols. After ROUNDS rounds the blocks whose members occur twice or more, all told, are the repeated
+intervals; every removed byte is read from them. Suffixes of different shards are never compared or
+sorted again.
+
+Anchors with more than ``hot`` distinct fragments (the surroundings of a passage that very many
+texts share) would be too much for a task. Their fragments are shards of their own, spread over all
+tasks, and blocks are named by a hash of (symbols so far) instead of a rank, so that the last round's
+blocks are counted by one shuffle with partial aggregation. Nothing is left out, and the result is the
+same on either side of ``hot``.
+
+Fragments are told apart by 128 bits, and so are the blocks of hot anchors: over n of them two unlike
+ones agree with a chance of n * n / 2**129 (at 10**14, 1 in 68 billion). Symbols of a task are compared
+by 128 bits as well. Anchors are only ever a way to bring fragments
+together; two that agree by chance do no harm.
+
+Null text is empty; texts shorter than ``length`` keep all bytes. Repeated rows repeat each other, and
+what is found for them is collected once. Documents are told apart by key and text, so repeated or null
+keys do no harm. Texts of any length are read whole, by one task each. An empty table gives no rows.
+Extra columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -37,13 +45,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
 from tarnflow.llm.bitfilter import MOST_BITS, made
-from tarnflow.llm.common import Texts, byte_prefix, cut, mix, powers_down, ranges, runs, ship, slices, store
+from tarnflow.llm.common import Texts, byte_prefix, cut, mix, powers_down, ranges, runs, ship, slices, store, text_name
 
 LENGTH, GRAM, ROUNDS = 200, 32, 5
 #: Bytes of fragments merged at a time, bytes in a shard, and distinct fragments of an anchor at most.
-BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 19, 1 << 17, 1 << 14
+BUCKET_BYTES, SHARD_BYTES, HOT = 1 << 17, 1 << 15, 1 << 14
 #: log2 of the cells in which a task counts symbols; fewer cells than symbols only prune less.
 MOST_CELLS = 22
 #: Text bytes of one step over a batch: its arrays stay in the processor's cache.
@@ -132,14 +141,14 @@ def merge(shards: list[ShardBwt], rounds: int) -> tuple[np.ndarray, np.ndarray,
     return source, within, block
 
 
-def _viable(h: np.ndarray, at: np.ndarray, stops: np.ndarray, stride: int, rounds: int) -> np.ndarray:
+def _viable(h: np.ndarray, at: np.ndarray, stops: np.ndarray, times: np.ndarray, stride: int, rounds: int) -> np.ndarray:
     """Flags of the symbols that are part of a window all of whose symbols may occur twice.
 
-    Symbols are counted in a table by part of their hash; one alone in its cell occurs once.
+    Symbols are counted, ``times`` each, in a table by part of their hash; one alone in its cell occurs once.
     """
     bits = min(max(10, int(len(h) * 4).bit_length()), MOST_CELLS)
     cell = (h >> np.uint64(64 - bits)).astype(np.int64)
-    twice = np.bincount(cell, minlength=1 << bits)[cell] > 1
+    twice = np.bincount(cell, times, 1 << bits)[cell] > 1
     n = len(h)
     reach = (rounds - 1) * stride
     if n <= reach:
@@ -154,10 +163,14 @@ def _viable(h: np.ndarray, at: np.ndarray, stops: np.ndarray, stride: int, round
     return out
 
 
-def repeated_starts(fragments: list[bytes], length: int = LENGTH, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """Per fragment a flag for each start of a ``length``-byte string: does it start anywhere else here?"""
+def repeated_starts(fragments: list[bytes], length: int = LENGTH, rounds: int = ROUNDS, shard_bytes: int = SHARD_BYTES, times: list[int] | None = None) -> list[np.ndarray]:
+    """Per fragment a flag for each start of a ``length``-byte string: does it start anywhere else here?
+
+    ``times`` says how often each fragment occurs; once if it isn't given.
+    """
     stride = length // rounds
     sizes = np.array([len(f) for f in fragments])
+    times = np.minimum(np.ones(len(fragments)) if times is None else np.array(times), 2.0)
     at = np.concatenate([[0], np.cumsum(sizes)])
     flags = np.zeros(at[-1] + 1, bool)
     data = np.frombuffer(b"".join(fragments), np.uint8)
@@ -166,15 +179,26 @@ def repeated_starts(fragments: list[bytes], length: int = LENGTH, rounds: int =
         sums = byte_prefix(data)
         h = mix((sums[stride:] - sums[:n]) * powers_down(n))
         stops = np.repeat(at[1:] - stride + 1, sizes)[:n]  # no symbol goes across fragments
-        kept = np.flatnonzero(_viable(h, np.arange(n), stops, stride, rounds))
+        kept = np.flatnonzero(_viable(h, np.arange(n), stops, np.repeat(times, sizes)[:n], stride, rounds))
         if len(kept):
-            _mark(flags, kept, h[kept], at, stride, rounds, shard_bytes)
+            more = byte_prefix(data, other=True)
+            other = mix((more[kept + stride] - more[kept]) * powers_down(n)[kept])
+            _mark(flags, kept, _numbered(h[kept], other), at, times, stride, rounds, shard_bytes)
     return [flags[a : a + max(0, size - length + 1)] for a, size in zip(at.tolist(), sizes.tolist(), strict=False)]
 
 
-def _mark(flags: np.ndarray, kept: np.ndarray, h: np.ndarray, at: np.ndarray, stride: int, rounds: int, shard_bytes: int) -> None:
-    """Sets the flags of the places whose block after all rounds has two members or more."""
-    symbols = _dense(np.argsort(h, kind="stable"), h)
+def _numbered(h: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Numbers from 1 of symbols by their two hashes; the first alone decides unless it takes two for one."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], other[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((other, h))
+        return _dense(order, h, other)
+    return _dense(order, h)
+
+
+def _mark(flags: np.ndarray, kept: np.ndarray, symbols: np.ndarray, at: np.ndarray, times: np.ndarray, stride: int, rounds: int, shard_bytes: int) -> None:
+    """Sets the flags of the places whose block after all rounds has members that occur twice or more."""
     owner = np.searchsorted(at, kept, side="right") - 1
     number = np.full(len(flags) + stride, -1)
     number[kept] = np.arange(len(kept))
@@ -187,7 +211,11 @@ def _mark(flags: np.ndarray, kept: np.ndarray, h: np.ndarray, at: np.ndarray, st
         edges.append(int(np.searchsorted(owner, last)))
     shards = [ShardBwt(symbols[a:b], np.where(after[a:b] >= 0, after[a:b] - a, -1), rounds) for a, b in zip(edges, edges[1:], strict=False)]
     source, within, block = merge(shards, rounds)
-    twice = np.bincount(block)[block] > 1
+    occurs = np.ones(len(block))
+    for k, (shard, base) in enumerate(zip(shards, edges, strict=False)):
+        place = shard.place[within[source == k]]
+        occurs[source == k] = np.where(place >= 0, times[owner[base + np.maximum(place, 0)]], 1)
+    twice = np.bincount(block, occurs)[block] > 1
     for k, (shard, base) in enumerate(zip(shards, edges, strict=False)):
         place = shard.place[within[twice & (source == k)]]
         flags[kept[base + place[place >= 0]]] = True
@@ -251,29 +279,29 @@ def _fragments(docs: DataFrame, sent, length: int, gram: int, wanted=None) -> Da
             a = np.flatnonzero(fresh)
             k = np.diff(np.append(a, len(anchor)))
             key = _keys(sums, anchor[a], gram)
-            live = known.has(key, known.twice)
+            live = known.has(key, "twice")
             a, k, key = a[live], k[live], key[live]
             begin = starts[a]
             stop = begin + k + length - 1
             rows = np.searchsorted(texts.offsets, begin, side="right") - 1
-            pattern = mix(ranges(sums, begin, stop) + (stop - begin).astype(np.uint64))
             first = begin - texts.offsets[rows]
-            th = texts.column("th").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            copy = mix(pattern ^ mix(th[rows] + first.astype(np.uint64)))
+            th = np.frombuffer(b"".join(texts.column("th").to_pylist()), np.uint64)[::2]
+            copy = mix(key ^ mix(th[rows] + first.astype(np.uint64)))
+            raw = texts.bytes.tobytes()
             if wanted is not None:
-                chosen = wanted.value.has(copy, wanted.value.once)
-                raw = texts.bytes.tobytes()
+                chosen = wanted.value.has(copy, "once")
                 data = [raw[x:y] for x, y in zip(begin[chosen].tolist(), stop[chosen].tolist(), strict=True)]
-                arrays = [pa.array(key[chosen].view(np.int64)), pa.array(pattern[chosen].view(np.int64)), pa.array(data, pa.binary())]
+                arrays = [pa.array(key[chosen].view(np.int64)), pa.array([xxh3_128_digest(x) for x in data], pa.binary()), pa.array(data, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "pattern", "bytes"])
                 continue
+            pattern = [xxh3_128_digest(raw[x:y]) for x, y in zip(begin.tolist(), stop.tolist(), strict=True)]
             take = pa.array(rows)
-            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(first, pa.int64()), pa.array(k, pa.int32())]
-            arrays += [pa.array(x.view(np.int64)) for x in (pattern, key, copy)]
+            arrays = [texts.column("doc_id").take(take), texts.column("th").take(take), pa.array(first, pa.int64()), pa.array(k, pa.int32()), pa.array(pattern, pa.binary())]
+            arrays += [pa.array(x.view(np.int64)) for x in (key, copy)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "th", "first", "k", "pattern", "key", "copy"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = "key long, pattern long, bytes binary" if wanted is not None else f"doc_id {kind}, th long, first long, k int, pattern long, key long, copy long"
+    schema = "key long, pattern binary, bytes binary" if wanted is not None else f"doc_id {kind}, th binary, first long, k int, pattern binary, key long, copy long"
     return docs.select("doc_id", "th", "text").mapInArrow(per_batch, schema)
 
 
@@ -283,29 +311,28 @@ def _flag_runs(flags: np.ndarray) -> list[int]:
 
 
 def _merged(cold: DataFrame, length: int, rounds: int) -> DataFrame:
-    """pattern, starts (start, end, ... of repeated windows) of fragments that occur once.
+    """pattern, starts (start, end, ... of repeated windows) of fragments.
 
     ``cold`` has, for each pattern, a row with its number (n) and one or more with its bytes.
     """
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        flags = repeated_starts([r[2] for r in rows], length, rounds)
-        out = [(r[0], _flag_runs(f)) for r, f in zip(rows, flags, strict=True) if r[1] == 1 and f.any()]
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int64()), pa.array([s for _, s in out], pa.list_(pa.int32()))], names=["pattern", "starts"])
+    def solve(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
+        flags = repeated_starts([r[2] for r in rows], length, rounds, times=[r[1] for r in rows])
+        out = [(r[0], _flag_runs(f)) for r, f in zip(rows, flags, strict=True) if f.any()]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([s for _, s in out], pa.list_(pa.int32()))], names=["pattern", "starts"])
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket: list[tuple[int, int, bytes]] = []
+        bucket: list[tuple[bytes, int, bytes]] = []
         size = 0
-        numbers: dict[int, int] = {}
-        group: dict[int, bytes] = {}
+        numbers: dict[bytes, int] = {}
+        group: dict[bytes, bytes] = {}
         last = None
 
         def close() -> None:
             nonlocal size
             rows = [(p, numbers[p], x) for p, x in group.items() if p in numbers]
-            if len(rows) > 1:
-                bucket.extend(rows)
-                size += sum(len(r[2]) for r in rows)
+            bucket.extend(rows)
+            size += sum(len(r[2]) for r in rows)
 
         for batch in batches:
             for low in range(0, batch.num_rows, 4096):
@@ -326,26 +353,32 @@ def _merged(cold: DataFrame, length: int, rounds: int) -> DataFrame:
             yield solve(bucket)
 
     dealt = cold.select("key", "pattern", "n", "bytes").repartition("key").sortWithinPartitions("key", "pattern")
-    return dealt.mapInArrow(per_partition, "pattern long, starts array<int>")
+    return dealt.mapInArrow(per_partition, "pattern binary, starts array<int>")
 
 
-def _counted_windows(hot: DataFrame, length: int) -> DataFrame:
-    """The same for fragments of hot anchors, window by window."""
+def _counted_blocks(hot: DataFrame, length: int, rounds: int) -> DataFrame:
+    """The same for fragments (pattern, n, bytes) of hot anchors: blocks named by hashes, counted over all tasks."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stride = length // rounds
         for texts in slices(batches, "bytes"):
             size = np.maximum(np.diff(texts.offsets) - length + 1, 0)
             offsets = np.concatenate([[0], np.cumsum(size)])
             row = np.repeat(np.arange(texts.n), size)
             start = np.arange(len(row)) - offsets[row] + texts.offsets[row]
-            w = mix(ranges(byte_prefix(texts.bytes), start, start + length))
-            yield pa.RecordBatch.from_arrays([texts.column("pattern"), texts.column("n"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(w.view(np.int64)))], names=["pattern", "n", "windows"])
-
-    windows = hot.select("pattern", "n", "bytes").mapInArrow(per_batch, "pattern long, n long, windows array<long>")
-    counted = windows.select(F.explode("windows").alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-    repeated = cut(counted.where(F.col("n") > 1).select("w"))
-    lone = windows.where(F.col("n") == 1).select("pattern", F.posexplode("windows").alias("i", "w"))
-    found = lone.join(repeated, "w").groupBy("pattern").agg(F.collect_list("i").alias("at"))
+            names = []
+            for sums in (byte_prefix(texts.bytes), byte_prefix(texts.bytes, other=True)):
+                block = np.zeros(len(start), np.uint64)
+                for k in reversed(range(rounds)):  # each round puts one symbol before the block of its follower
+                    block = mix(block * np.uint64(0x9E3779B97F4A7C15) + mix(ranges(sums, start + k * stride, start + (k + 1) * stride)))
+                names.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(block.view(np.int64))))
+            yield pa.RecordBatch.from_arrays([texts.column("pattern"), texts.column("n"), *names], names=["pattern", "n", "v", "w"])
+
+    blocks = hot.select("pattern", "n", "bytes").mapInArrow(per_batch, "pattern binary, n long, v array<long>, w array<long>")
+    entries = blocks.select("pattern", "n", F.posexplode(F.arrays_zip("v", "w")).alias("i", "b")).select("pattern", "n", "i", "b.v", "b.w")
+    counted = entries.groupBy("v", "w").agg(F.sum("n").alias("n"))
+    repeated = cut(counted.where(F.col("n") > 1).select("v", "w"))
+    found = entries.join(repeated, ["v", "w"]).groupBy("pattern").agg(F.collect_list("i").alias("at"))
     return found.select("pattern", F.flatten(F.transform("at", lambda i: F.array(i, i + 1))).alias("starts"))
 
 
@@ -354,33 +387,31 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, roun
     if length % rounds or gram > length // 2 or length // rounds < 2:
         raise ValueError("the length must be a multiple of the rounds and at least twice the gram")
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(made(cut(_counted(docs, length, gram)), most_bits))  # most_bits at most
+    sent = spark.sparkContext.broadcast(made(cut(_counted(docs, length, gram)), most_bits, ("twice",)))  # most_bits at most
     places = _fragments(docs, sent, length, gram)
-    patterns = store(places.groupBy("key", "pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy"), F.min("k").alias("k")))
-    mixed = cut(patterns.groupBy("key").agg(F.count("*").alias("c"), F.min("n").alias("least")).where((F.col("c") > 1) & (F.col("least") == 1)).select("key", "c"))
-    needed = cut(patterns.join(mixed, "key").select("key", "pattern", "n", "copy", "c"))
-    wanted = spark.sparkContext.broadcast(made(cut(needed.select(F.col("copy").alias("h"), F.lit(1).cast("long").alias("n")).distinct()), most_bits))
+    patterns = store(places.groupBy("key", "pattern").agg(F.count("*").alias("n"), F.min("copy").alias("copy")))
+    shared = cut(patterns.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where(F.col("all") > 1).select("key", "c"))
+    needed = cut(patterns.join(shared, "key").select("key", "pattern", "n", "copy", "c"))
+    wanted = spark.sparkContext.broadcast(made(cut(needed.select(F.col("copy").alias("h"), F.lit(1).cast("long").alias("n")).distinct()), most_bits, ("once",)))
     copies = _fragments(docs, sent, length, gram, wanted)
-    crowded = mixed.where(F.col("c") > hot).select("key")
+    crowded = shared.where(F.col("c") > hot).select("key")
     n_hot = crowded.count()
     numbers = needed.where(F.col("c") <= hot).select("key", "pattern", "n", F.lit(None).cast("binary").alias("bytes"))
     if n_hot:
         crowded = F.broadcast(crowded) if n_hot <= MOST_HOT else crowded
         many = copies.join(crowded, "key", "left_semi").dropDuplicates(["pattern"]).join(needed.select("pattern", "n"), "pattern")
         copies = copies.join(crowded, "key", "left_anti")
-    lone = _merged(numbers.unionByName(copies.withColumn("n", F.lit(None).cast("long"))), length, rounds)
+    starts = _merged(numbers.unionByName(copies.withColumn("n", F.lit(None).cast("long"))), length, rounds)
     if n_hot:
-        lone = lone.unionByName(_counted_windows(store(many.select("pattern", "n", "bytes")), length))
-    every = patterns.where(F.col("n") > 1).select("pattern", F.array(F.lit(0), "k").alias("starts"))
-    starts = cut(lone.unionByName(every))
-    at = places.select("doc_id", "th", "first", "pattern").join(starts, "pattern")
-    return at.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "starts")).alias("found"))
+        starts = starts.unionByName(_counted_blocks(store(many.select("pattern", "n", "bytes")), length, rounds))
+    at = places.select("doc_id", "th", "first", "pattern").join(store(starts), "pattern")
+    return at.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "starts")).alias("found"))  # a set: copies of a row find the same
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, rounds: int = ROUNDS, most_bits: int = MOST_BITS, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, spans (start, end, ... of the removed runs, in bytes) and kept (binary)."""
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", text_name("text"))
     found = repeated_spans(rows, length, gram, rounds, most_bits, hot).select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "found")
     joined = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["th"] == found["h"]), "left").select("doc_id", "text", "found")
 

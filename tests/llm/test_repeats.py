@@ -5,7 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarnflow.llm import block_anchors, bwt_merge
+from tarnflow.llm import bitfilter, block_anchors, bwt_merge
+from tarnflow.llm.common import text_name
 
 
 def test_merge_finds_the_repeated_starts():
@@ -20,6 +21,52 @@ def test_merge_finds_the_repeated_starts():
             assert flags.tolist() == [count[f[i : i + length]] > 1 for i in range(len(f) - length + 1)]
 
 
+def test_fragments_that_occur_twice_repeat_through_the_merge():
+    rng = random.Random(5)
+    for _ in range(100):
+        fragments = [bytes(rng.choices(b"ab", k=rng.randint(0, 30))) for _ in range(rng.randint(1, 8))]
+        times = [rng.randint(1, 3) for _ in fragments]
+        count = Counter()
+        for f, n in zip(fragments, times, strict=True):
+            for i in range(len(f) - 9):
+                count[f[i : i + 10]] += n
+        got = bwt_merge.repeated_starts(fragments, 10, 5, 30, times)
+        for f, flags in zip(fragments, got, strict=True):
+            assert flags.tolist() == [count[f[i : i + 10]] > 1 for i in range(len(f) - 9)]
+
+
+def test_symbols_that_agree_by_one_hash_are_told_apart_by_the_other(monkeypatch):
+    rng = random.Random(6)
+    fragments = [bytes(rng.choices(b"abc", k=40)) for _ in range(10)]
+    count = Counter(f[i : i + 10] for f in fragments for i in range(31))
+    number, calls = bwt_merge._numbered, []
+
+    def weak(h, other):
+        calls.append(len(h))
+        return number(h & np.uint64(7), other)
+
+    monkeypatch.setattr(bwt_merge, "_numbered", weak)
+    got = bwt_merge.repeated_starts(fragments, 10, 5)
+    assert calls
+    for f, flags in zip(fragments, got, strict=True):
+        assert flags.tolist() == [count[f[i : i + 10]] > 1 for i in range(31)]
+
+
+def test_a_filter_of_any_index_misses_nothing(spark):
+    index = spark.range(20_000).selectExpr("xxhash64(id) AS h", "1 + id % 2 AS n")
+    h = np.array([r.h for r in index.collect()]).view(np.uint64)
+    twice = np.array([r.n for r in index.collect()]) > 1
+    for bits in (1 << 31, 1 << 17, 1 << 16, 1 << 10):
+        made = bitfilter.made(index, bits)
+        assert made.has(h, "once").all() and made.has(h[twice], "twice").all()
+        assert (made.log_bits == 0) == (bits < 40_000)
+    made = bitfilter.made(index)
+    assert made.has(np.arange(20_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), "once").mean() < 0.02 and made.has(h[~twice], "twice").mean() < 0.02
+    parts = bitfilter.made(spark.range(400_000).selectExpr("xxhash64(id) AS h", "1L AS n"), arrays=("once",))
+    assert parts.log_bits > 22 and parts.has(h, "once").all()
+    assert not bitfilter.made(spark.range(0).selectExpr("id AS h", "id AS n")).has(h, "once").any()
+
+
 def test_merged_order_is_sorted_and_blocks_are_common_prefixes():
     rng = random.Random(4)
     symbols = np.array([rng.randint(1, 3) for _ in range(60)])
@@ -72,8 +119,9 @@ def test_byte_repeats_equal_brute_force(awkward, length, gram, rounds, hot):
     assert sorted((r.doc_id or -1, r.n_bytes, list(r.spans), bytes(r.kept)) for r in got) == want
 
 
-def test_byte_repeats_with_a_full_bit_array(awkward):
-    got = bwt_merge.remove_repeats(awkward, 40, 8, 5, most_bits=1 << 16).collect()
+@pytest.mark.parametrize("bits", [1 << 16, 1 << 3])
+def test_byte_repeats_with_a_full_bit_array(awkward, bits):
+    got = bwt_merge.remove_repeats(awkward, 40, 8, 5, most_bits=bits).collect()
     want = brute_bytes([(r.doc_id, r.text) for r in awkward.collect()], 40)
     assert sorted((r.doc_id or -1, r.n_bytes, list(r.spans), bytes(r.kept)) for r in got) == want
 
@@ -91,13 +139,23 @@ def brute_words(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("window", "bits"), [(35, 1 << 31), (7, 1 << 31), (7, 1 << 16)])
+@pytest.mark.parametrize(("window", "bits"), [(35, 1 << 31), (7, 1 << 31), (7, 1 << 16), (7, 1 << 3)])
 def test_word_repeats_equal_brute_force(awkward, window, bits):
     got = block_anchors.remove_repeats(awkward, window, bits).collect()
     want = brute_words([(r.doc_id, r.text) for r in awkward.collect()], window)
     assert sorted((r.doc_id or -1, r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), r.kept) for r in got) == want
 
 
+def test_copies_of_a_row_without_a_key_are_collected_once(spark):
+    text = "some words that go on and on " * 20
+    docs = spark.createDataFrame([(None, text)] * 300, "doc_id long, text string").repartition(4)
+    rows = docs.withColumn("th", text_name("text"))
+    assert [len(r.found) for r in bwt_merge.repeated_spans(rows).collect()] == [len({(x.first, tuple(x.starts)) for r in bwt_merge.repeated_spans(rows).collect() for x in r.found})]
+    assert {len(r.kept) for r in bwt_merge.remove_repeats(docs).collect()} == {0}
+    [found] = block_anchors.repeated_windows(rows).collect()
+    assert len(found.starts) == len({(x.first, x.bits) for x in found.starts})
+
+
 def test_empty_tables(no_docs):
     assert bwt_merge.remove_repeats(no_docs).count() == 0
     assert block_anchors.remove_repeats(no_docs).count() == 0
