@@ -1,7 +1,7 @@
 """A bit array over hashes, made by tasks part by part, of a size that has a bound.
 
-A build takes an index of any size: tasks read their rows as a stream and hold the parts of the array
-that they make, PARTS_BYTES at most each. Above ``most_bits / LEAST_EACH`` hashes an array would let
+A build takes an index of any size: there is a task for each part of the array, or a few parts, which
+reads its rows as a stream and holds a part as flags (4 MB). Above ``most_bits / LEAST_EACH`` hashes an array would let
 nearly all through, so none is made and every hash passes; what is exact comes after the filter
 either way, and no result changes.
 """
@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import mix
+from tarnflow.llm.common import mix, together
 
 #: Bits for each hash, the fewest that are of use, and the most bits an array may have (256 MB).
 BITS_EACH, LEAST_EACH, MOST_BITS = 16, 2, 1 << 31
 _SLAB = 22  # log2 of the bits in one part
-#: Bytes of the parts that one task makes, about.
-PARTS_BYTES = 1 << 23
+#: Bytes of rows that a task looks at together.
+STEP_BYTES = 1 << 20
 
 
 class BitFilter:
@@ -69,21 +69,20 @@ def made(index: DataFrame, most_bits: int = MOST_BITS, arrays: tuple[str, ...] =
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[tuple[str, int], np.ndarray] = {}
-        for batch in batches:
+        for batch in together(batches, STEP_BYTES):
             h = batch.column(0).to_numpy().view(np.uint64)
             for name in arrays:
                 some = h if name == "once" else h[batch.column(1).to_numpy() > 1]
                 number = some >> np.uint64(64 - (log_bits - slab)) if log_bits > slab else np.zeros(len(some), np.uint64)
                 for part in np.unique(number).tolist():
-                    bits = parts.setdefault((name, part), np.zeros(width, np.uint8))
+                    if (name, part) not in parts:
+                        parts[name, part] = np.zeros(1 << slab, bool)
                     for places in BitFilter.places(some[number == part], log_bits):
-                        places &= (1 << slab) - 1
-                        np.bitwise_or.at(bits, places >> 3, np.uint8(1) << (places & 7).astype(np.uint8))
-        for (name, part), bits in parts.items():
-            yield pa.RecordBatch.from_pydict({"name": [name], "slab": [part], "bits": [bits.tobytes()]})
+                        parts[name, part][places & ((1 << slab) - 1)] = True
+        for (name, part), flags in parts.items():
+            yield pa.RecordBatch.from_pydict({"name": [name], "slab": [part], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    slabs = 1 << log_bits - slab
-    tasks = max(1, slabs * width * len(arrays) // PARTS_BYTES)
+    tasks = 1 << log_bits - slab
     number = F.shiftrightunsigned("h", 64 - (log_bits - slab)) if log_bits > slab else F.lit(0)
     dealt = index.select("h", "n").repartition(tasks, number) if tasks > 1 else index.select("h", "n")
     found = {name: np.zeros((1 << log_bits) // 8, np.uint8) for name in arrays}
