@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnflow.llm.bitfilter import made
-from tarnflow.llm.common import Texts, Words, cut, mix, prefix, ranges, ship, slices, store, text_name
+from tarnflow.llm.common import Texts, Words, cut, mix, prefix, ranges, ship, slices, store, text_name, together
 from tarnflow.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -86,13 +86,13 @@ class Shingles:
                 out[i] = name.tobytes()
         return out
 
-    def signatures(self) -> np.ndarray:
+    def signatures(self, permutations: int = PERMUTATIONS) -> np.ndarray:
         """MinHash values of the rows that have words."""
         x = (self.hash >> np.uint64(32)).astype(np.uint32)
-        out = np.empty((PERMUTATIONS, len(self.full)), np.uint32)
+        out = np.empty((permutations, len(self.full)), np.uint32)
         if len(self.full):
             y, at = np.empty_like(x), self.offsets[:-1][self.full]
-            for k in range(PERMUTATIONS):
+            for k in range(permutations):
                 np.bitwise_xor(x, _FLIP[k], out=y)
                 np.multiply(y, _TIMES[k], out=y)
                 np.minimum.reduceat(y, at, out=out[k])
@@ -214,19 +214,22 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(per_batch, f"doc_id {dict(docs.dtypes)['doc_id']}, th binary, node binary, sig binary, size long")
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
-    """node, bucket: one row per band."""
+def _bands(nodes: DataFrame, sent=None) -> DataFrame:
+    """node, bucket: one row per band, with ``sent`` of those buckets that may be in its filter."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-        for batch in batches:
+        for batch in together(batches, 1 << 20):
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), KEPT).reshape(-1, BANDS, ROWS).astype(np.uint64)
             h = np.broadcast_to(salt, sig.shape[:2])
             for k in range(ROWS):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
-            arrays = [batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS), pa.int32()), pa.array(np.ascontiguousarray(h).view(np.int64).ravel()))]
+            h = np.ascontiguousarray(h).ravel()
+            live = np.ones(len(h), bool) if sent is None else sent.value.has(h, "once")
+            offsets = np.concatenate([[0], np.cumsum(live.reshape(-1, BANDS).sum(1))])
+            arrays = [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[live].view(np.int64)))]
             yield pa.RecordBatch.from_arrays(arrays, names=["node", "buckets"])
 
     return nodes.select("node", "sig").mapInArrow(per_batch, "node binary, buckets array<long>").select("node", F.explode("buckets").alias("bucket"))
@@ -238,7 +241,9 @@ def _buckets(nodes: DataFrame) -> DataFrame:
     print_of = F.xxhash64("node")
     live = bands.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(print_of % (1 << 40)).alias("p"), F.bit_xor(print_of).alias("x")).where(F.col("c") > 1)
     once = cut(live.groupBy("c", "p", "x").agg(F.min("bucket").alias("bucket")).select("bucket", "c"))
-    return bands.join(once, "bucket")
+    index = once.select(F.col("bucket").alias("h"), F.lit(1).cast("long").alias("n"))
+    sent = nodes.sparkSession.sparkContext.broadcast(made(index, arrays=("once",)))  # MOST_BITS at most
+    return _bands(nodes, sent).join(once, "bucket")
 
 
 def _block_pairs(members: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -302,32 +307,41 @@ def _candidate_edges(nodes: DataFrame, threshold: float, tolerance: float) -> Da
     return _by_task(rows, ["bucket", "a", "b"], solve, "u binary, v binary").distinct()
 
 
-def _sets(source: DataFrame, groups: DataFrame) -> DataFrame:
-    """node, shingles (bytes) of the nodes in candidate groups.
+def _sets(source: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, shingles (bytes) of the texts (th) of candidate groups.
 
-    A bit array of the nodes (of a size that has a bound) keeps most other sets at home.
+    A bit array of their names (of a size that has a bound) keeps most other texts unread.
     """
 
     def first_half(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                names = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64)[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(names)], names=["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(_heads(batch.column(0)).view(np.int64))], names=["h"])
 
-    names = groups.select("node").mapInArrow(first_half, "h long").distinct().withColumn("n", F.lit(1).cast("long"))
+    names = texts.select("th").mapInArrow(first_half, "h long").distinct().withColumn("n", F.lit(1).cast("long"))
     sent = source.sparkSession.sparkContext.broadcast(made(cut(names), arrays=("once",)))  # MOST_BITS at most
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for texts in slices(batches):
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                heads = _heads(batch.column(0))
+                some = np.flatnonzero(known.has(heads, "once"))
+                _, once = np.unique(heads[some], return_index=True)  # copies side by side are one
+                yield batch.take(pa.array(some[np.sort(once)]))
+
+        for texts in slices(chosen()):
             found = Shingles(texts)
-            nodes = found.names()
-            some = found.full
-            heads = np.frombuffer(b"".join(nodes[i] for i in some.tolist()), np.uint64)[::2]
-            some = some[known.has(heads, "once")].tolist()
+            nodes, some = found.names(), found.full.tolist()
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([found.set_of(i).tobytes() for i in some], pa.binary())], names=["node", "shingles"])
 
-    return source.select("text").mapInArrow(per_batch, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return source.select("th", "text").mapInArrow(per_batch, "node binary, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def _heads(names: pa.Array) -> np.ndarray:
+    """The first 64 bits of names of 128."""
+    return np.frombuffer(b"".join(names.to_pylist()), np.uint64)[::2]
 
 
 def _links(sets: DataFrame, threshold: float) -> DataFrame:
@@ -373,12 +387,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TO
     ship(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", text_name("text"))
     rows = store(_rows(source.select("doc_id", "th", "text")))
-    nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("size").alias("size")))
+    nodes = store(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("size").alias("size"), F.min("th").alias("th")))
     n = nodes.count()
     groups = cut(components(_candidate_edges(nodes, threshold, tolerance), n), n)
-    sized = groups.join(nodes.select("node", "size"), "node")
+    sized = cut(groups.join(nodes.select("node", "size", "th"), "node"), n)
     counts = cut(sized.groupBy("root").agg(F.greatest(F.count("*") / F.lit(SET_BLOCK), F.sum("size") * 8 / F.lit(SET_BYTES)).alias("blocks")), n)
-    tasks = _block_pairs(groups.join(counts, "root"), "root", F.col("blocks")).join(nodes.select("node", "copies"), "node").join(_sets(source, groups), "node")
+    tasks = _block_pairs(groups.join(counts, "root"), "root", F.col("blocks")).join(nodes.select("node", "copies"), "node").join(_sets(source, sized), "node")
     links = cut(_links(tasks.select("root", "a", "b", "node", "second", "copies", "shingles"), threshold))
     linked = links.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("node").alias("u"), F.col("other").alias("v")), n)

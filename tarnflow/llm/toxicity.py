@@ -2,7 +2,9 @@
 
 Fitting: from labelled training rows the lexicon takes the word stems that toxic texts have more often
 than chance explains (a binomial test at ALPHA over all stems that were tried) and of whose texts PURITY
-are toxic. Neither their number, nor their length, nor their share of the toxic texts has a limit. The trie of the lexicon is intersected with the Levenshtein automata of its terms
+are toxic. Neither their number, nor their length, nor their share of the toxic texts has a limit. Near
+copies say the same thing again, so of texts that share one of SKETCH MinHash values of their five-word
+runs one is counted. The trie of the lexicon is intersected with the Levenshtein automata of its terms
 into one deterministic automaton, which reads a word and says which term it spells or misspells (one
 edit for terms of 5 characters or more, two from 9 on; a change of neighbours is one edit). A stem
 term accepts any word that begins with it.
@@ -29,19 +31,24 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from tarnflow.llm.common import cut, settle, ship
+from tarnflow.llm.common import cut, settle, ship, slices
+from tarnflow.llm.jaccard_join import Shingles
 
 #: Labelled training rows of each label that the fit may use at most.
 SAMPLE = 4000
 #: Chance that any term of the lexicon is one by chance, and how purely toxic a term's texts must be.
 ALPHA, PURITY = 0.01, 0.95
+#: MinHash values by which near copies are left out of the count: one of 0.8 alike is kept in 1 of 125.
+SKETCH = 3
 #: Characters of a stem at least, and of a word whose stems are tried at most.
 LEAST_STEM, STEM_CHARS = 2, 64
 WINDOW = 8
@@ -255,6 +262,22 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, size: int) -> Dat
     return rows.groupBy(F.sha2("text", 256).alias("h")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("h")
 
 
+def _apart(sample: DataFrame) -> DataFrame:
+    """The sample's texts with words, one of those that share a MinHash value: text, toxic."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts in slices(batches):
+            found = Shingles(texts)
+            rows = pa.array(found.full)
+            marks = found.signatures(SKETCH).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([texts.column("text").take(rows), texts.column("toxic").take(rows), *(pa.array(m) for m in marks.T)], names=["text", "toxic", *marked])
+
+    marked = [f"m{k}" for k in range(SKETCH)]
+    rows = sample.select("text", F.col("toxic").cast("int")).mapInArrow(sketch, "text string, toxic int, " + ", ".join(f"{m} int" for m in marked))
+    first = [F.row_number().over(Window.partitionBy(m).orderBy(F.sha2("text", 256))) == 1 for m in marked]
+    return rows.withColumn("first", reduce(lambda a, b: a & b, first)).where("first").select("text", "toxic")
+
+
 def _stems(word: str) -> list[str]:
     """The stems of a word, and the word as a whole with a mark."""
     return [word[:k] for k in range(LEAST_STEM, len(word) + 1 if len(word) <= STEM_CHARS else 0)] + [word + "$"]
@@ -310,7 +333,7 @@ def choose_terms(rows: list[tuple[str, int, int]], n1: int, n0: int, tried: int)
         end = grow(s)
         terms[end.rstrip("$")] = (not end.endswith("$"), pure[end])
     best = sorted(terms.items(), key=lambda x: (-x[1][1], x[0]))
-    return {t: stem for t, (stem, _) in best}, {t: min(2.0, 0.5 + 4.0 * n / n1) for t, (_, n) in best}
+    return {t: stem for t, (stem, _) in best}, {t: min(2.0, 0.5 + 4.0 * n / max(n1, 1)) for t, (_, n) in best}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE) -> Model:
@@ -321,12 +344,15 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, size: int = SAMPLE) -
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1:
         return Model({}, [-30.0] + [0.0] * (FEATURES - 1))
-    counts = cut(_term_counts(sample))
+    apart = cut(_apart(sample), 2 * size)
+    k = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    k1, k0 = k.get(1, 0), k.get(0, 0)
+    counts = cut(_term_counts(apart))
     tried = counts.count()
     # no stem of fewer toxic texts passes the test, even if all of its texts are
-    least = math.ceil(math.log(ALPHA / max(tried, 1)) / math.log((n1 + 0.5) / (n1 + n0 + 1)))
-    some = counts.where((F.col("n1") >= least) & (F.col("n1") >= PURITY * (F.col("n1") + F.col("n0") * (n1 / max(n0, 1))))).collect()
-    terms, values = choose_terms([(r.stem, r.n1, r.n0) for r in some], n1, n0, tried)
+    least = math.ceil(math.log(ALPHA / max(tried, 1)) / math.log((k1 + 0.5) / (k1 + k0 + 1)))
+    some = counts.where((F.col("n1") >= least) & (F.col("n1") >= PURITY * (F.col("n1") + F.col("n0") * (k1 / max(k0, 1))))).collect()
+    terms, values = choose_terms([(r.stem, r.n1, r.n0) for r in some], k1, k0, tried)
     model = Model(terms, [0.0] * FEATURES, values)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -123,6 +123,18 @@ def test_a_long_tail_of_rare_and_short_terms_is_found(spark):
     assert sum(hit for toxic, hit in got if not toxic) <= 0.02 * len(got)
 
 
+def test_near_copies_of_a_toxic_text_teach_no_words(spark):
+    rows, labels = corpus(5, 900)
+    rng = random.Random(8)
+    base = ("you idiot " + " ".join(f"oddword{k}" for k in range(60))).split()
+    for k in range(2000, 2200):
+        rows.append((k, " ".join([*base, f"end{rng.randint(0, 9)}", f"tail{k}"]), "en", "s", 1))
+        labels.append((k, 1, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score long")
+    model = tx.fit(docs.select("doc_id", "text"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    assert any(t.startswith("idi") for t in model.terms) and not [t for t in model.terms if t.startswith("odd")]
+
+
 def test_terms_by_chance_stay_out():
     assert tx.by_chance(3, 0, 0.5) == pytest.approx(0.125) and tx.by_chance(2, 1, 0.5) == pytest.approx(0.5)
     terms, _ = tx.choose_terms([("rare$", 5, 0), ("often$", 60, 1), ("mixed$", 60, 30)], 400, 400, 1000)
