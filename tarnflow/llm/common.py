@@ -125,9 +125,11 @@ KEPT: dict[str, dict] = {}
 def settle(owner: str | None = None) -> dict:
     """At the start of a task: what other operators keep in this worker goes, and memory that is free goes
     back to the machine, as a worker is shared by all stages of an application. The owner's own stays."""
-    for name in [n for n in KEPT if n != owner]:
+    others = [n for n in KEPT if n != owner]
+    for name in others:
         del KEPT[name]
-    gc.collect()
+    if others:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(AttributeError, OSError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
