@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.functions.coerce import eq_coerced
@@ -54,10 +54,40 @@ def join_multi(spark: SparkSession, sf: str) -> DataFrame:
     return joined.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+#: Ranges that an inequality join cuts its values into, and rows of a range that are dealt together.
+_RANGES, _DEALT = 32, 1 << 10
+
+
+def join_less(left: DataFrame, a: Column, right: DataFrame, b: Column) -> DataFrame:
+    """Pairs of rows with ``a < b``; the columns of both sides, whose names differ.
+
+    The values of ``b`` are cut at quantiles. A right row is in the range of its ``b`` and, by a hash, in
+    one of some parts of it; a left row goes to the parts of its own range and of all above, where all
+    match. So it is compared with rows that don't match in one range only, a left row without a match goes
+    nowhere, and the parts are spread over all cores, however many files there are and however large the
+    sides. The parts also bound what one left row gives at a time, which Spark's joins hold in memory.
+    """
+    at = [i / _RANGES for i in range(1, _RANGES)]
+    rows, most, cuts = right.agg(F.count(b), F.max(b), F.percentile_approx(b, at, 1000)).first()
+    cuts = sorted(set(cuts or []))
+    parts = max(1, rows // ((len(cuts) + 1) * _DEALT))
+
+    def range_of(value: Column) -> Column:
+        return sum([(value >= F.lit(c)).cast("int") for c in cuts], F.lit(0))
+
+    tasks = 8 * right.sparkSession.sparkContext.defaultParallelism
+    first, last = range_of(F.col("_a")) * parts, F.lit((len(cuts) + 1) * parts - 1)
+    spread = left.withColumn("_a", a).where(F.col("_a") < F.lit(most)).withColumn("_part", F.explode(F.sequence(first, last)))
+    part = range_of(F.col("_b")) * parts + F.pmod(F.xxhash64(*right.columns), F.lit(parts))
+    dealt = right.withColumn("_b", b).where("_b IS NOT NULL").withColumn("_part", part.cast("int"))
+    joined = spread.repartition(tasks, "_part").join(dealt.repartition(tasks, "_part").hint("merge"), "_part")
+    return joined.where(F.col("_a") < F.col("_b")).select(*left.columns, *right.columns)
+
+
 @query("join_theta", "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_acctbal < p_retailprice - 900")
 def join_theta(spark: SparkSession, sf: str) -> DataFrame:
-    s, p = table(spark, sf, "supplier"), table(spark, sf, "part")
-    return s.join(p, s.s_acctbal < p.p_retailprice - 900).select("s_suppkey", "p_partkey")
+    s, p = table(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), table(spark, sf, "part").select("p_partkey", "p_retailprice")
+    return join_less(s, F.col("s_acctbal"), p, F.col("p_retailprice") - 900).select("s_suppkey", "p_partkey")
 
 
 @query(
