@@ -25,7 +25,7 @@ hits. Columns named as the results are replaced by ``scan``; ``clean`` keeps all
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,6 +176,12 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
 
     ``spans`` holds start, end, start, end ... in words: the maximal runs of hit words.
     """
+    df, schema, last = _but_last(docs, items, text, window, block_words)
+    return df.mapInArrow(last, schema)
+
+
+def _but_last(docs: DataFrame, items: DataFrame, text: str, window: int, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, T.StructType, Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]:
+    """``docs`` after all passes but one, the schema that every pass gives, and the pass that is left."""
     ship(docs.sparkSession)
     added = ["n_words", "n_hit", "item_ids", "n_items", "spans"]
     rest = [c for c in docs.columns if c not in added]
@@ -184,11 +190,11 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WI
     sent = None
     for automaton in automata(items, window=window, block_words=block_words):
         if sent is not None:
-            df = store(df)
+            df = store(df.mapInArrow(last, schema))
             sent.destroy()
         again, sent = sent is not None, df.sparkSession.sparkContext.broadcast(automaton)
-        df = df.mapInArrow(_pass(sent, text, rest, again), schema)
-    return df
+        last = _pass(sent, text, rest, again)
+    return df, schema, last
 
 
 def _pass(sent, text: str, rest: list[str], again: bool):
@@ -274,12 +280,13 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
     names = docs.columns
     plain = [f"c{i}" for i in range(len(names))]  # whatever the columns are called
     place = plain[names.index(text)]
-    marked = scan(docs.toDF(*plain), items, text=place, window=window)
-    kept = marked.where((F.col("n_hit") == 0) | (F.col("n_hit") <= F.col("n_words") * F.lit(max_coverage)))
+    df, _, last = _but_last(docs.toDF(*plain), items, place, window)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts in slices(batches, place):
-            words = Words(texts)
+        for batch in last(batches):  # in one worker: a second Python step would take another, which stays
+            n_words, n_hit = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_words", "n_hit"))
+            texts = Texts(batch.filter(pa.array((n_hit == 0) | (n_hit <= n_words * max_coverage))), place)
+            words = Words(texts) if n_hit.any() else None
             raw, spans = texts.column(place), texts.column("spans")
             out = []
             for row in range(texts.n):
@@ -296,4 +303,4 @@ def clean(docs: DataFrame, items: DataFrame, max_coverage: float = 0.5, window:
                 out.append(b"".join(parts).decode())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == place else texts.column(c) for c in plain], names=names)
 
-    return kept.select(*plain, "spans").mapInArrow(cut_out, docs.schema)
+    return df.mapInArrow(cut_out, docs.schema)
