@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY, key: str
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = machine(model_path)
-        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES, keep=True):
+        for texts in slices(together(batches, STEP_BYTES), limit=2 * STEP_BYTES, keep=True):  # a run is a little more
             values = texts.column("text")
             counts, long = tokens.divided(values, capacity)
             size = pc.utf8_length(values).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -87,6 +87,7 @@ class Compiled:
         self.histories: dict[str, list[tuple[float, str, str]]] = {}
         self.suffixes: dict[str, tuple] = {}
         self.alike: dict[tuple[str, str], str | None] = {}
+        self.open: dict[str, list[tuple[float, float, str]]] = {}
         self.classes: dict[tuple, str] = {}
         self.forget()
 
@@ -95,6 +96,7 @@ class Compiled:
         self.pairs.clear()
         self.histories.clear()
         self.alike.clear()
+        self.open.clear()
         self.classes.clear()
         self.suffixes.clear()
         self.states: list[tuple] = [_START]
@@ -218,9 +220,9 @@ class Compiled:
             found.append(self.number(to) << _BITS | delta + _OFFSET)
         self.table.add(keys, np.array(found, np.int32))
 
-    def _grown(self, grown: str) -> tuple[list[tuple[int, str, bool]], str, list[bool]]:
+    def _grown(self, grown: str) -> tuple[list[tuple[int, str, bool]], str, list[tuple[int, str]]]:
         """What follows from the suffix alone: tokens that may end here (length, token, whether a piece), the
-        suffix that is kept, and what has been read since each of its places, empty if it can't be returned to."""
+        suffix that is kept, and those of its places that can be returned to, with what has been read since."""
         found = self.suffixes.get(grown)
         if found is None:
             tokens = [(d, self.same[grown[-d:]], True) for d in range(len(grown), 0, -1) if grown[-d:] in self.same]
@@ -230,10 +232,23 @@ class Compiled:
             while keep and grown[-keep:] not in self.starts:
                 keep -= 1
             kept = grown[len(grown) - keep :]
-            places = [kept[-d:] if kept[-d:] in self.starts else "" for d in range(1, keep + 1)]
+            places = [(d, kept[-d:]) for d in range(1, keep + 1) if kept[-d:] in self.starts]
             found = self.suffixes[grown] = (tokens, kept, places)
         return found
 
+    def opened(self, token: str) -> list[tuple[float, float, str]]:
+        """(worst merge before, score of the next merge, last part) of a token's history where any piece at all that
+        continues the part is better than the next merge; what follows the token can't matter in the rest."""
+        found = self.open.get(token)
+        if found is None:
+            worst, found = float("inf"), []
+            for following, last, _ in self.history(token):
+                if self.starts.get(last, _NEVER) > following:
+                    found.append((worst, following, last))
+                worst = min(worst, following)
+            self.open[token] = found
+        return found
+
     def like(self, left: str | None, begun: str) -> str | None:
         """One token for all that agree with the same pieces among those that begin with ``begun``.
 
@@ -247,12 +262,16 @@ class Compiled:
         key = (left, begun)
         found = self.alike.get(key, "")
         if found == "":
-            score, worst, seen = self.pieces.get, float("inf"), []
-            for following, last, _ in self.history(left):
-                best = max([self.starts.get(last + begun, _NEVER), *(score(last + begun[:k], _NEVER) for k in range(1, len(begun) + 1))])
+            score, seen = self.pieces.get, []
+            for part in self.opened(left):
+                _, following, last = part
+                best = self.starts.get(last + begun, _NEVER)
+                for k in range(1, len(begun) + 1):
+                    if best > following:
+                        break
+                    best = score(last + begun[:k], _NEVER)
                 if best > following:
-                    seen.append((worst, following, last))
-                worst = min(worst, following)
+                    seen.append(part)
             found = self.alike[key] = self.classes.setdefault((begun, *seen), left) if seen else None
         return found
 
@@ -269,17 +288,17 @@ class Compiled:
             raise AssertionError(f"no token ends {suffix + char!r}")
         delta = counts[d - 1] + (1 if whole else len(token.encode()))
         # places that can't be returned to are all alike, and so are tokens that the rest can't tell apart
-        alike, new_last, new_counts = self.alike, [self.like(token, "") if whole else None], [0]
-        for x, c, begun in zip(last, counts, places, strict=False):
-            if begun:
-                if x:
-                    y = alike.get((x, begun), "")
-                    x = self.like(x, begun) if y == "" else y
-                new_last.append(x)
-                new_counts.append(c - delta)
+        alike, new_last, new_counts = self.alike, [None] * (len(kept) + 1), [0] * (len(kept) + 1)
+        if whole:
+            new_last[0] = self.like(token, "")
+        for at, begun in places:
+            x = last[at - 1]
+            if x:
+                y = alike.get((x, begun), "")
+                new_last[at] = self.like(x, begun) if y == "" else y
             else:
-                new_last.append(None)
-                new_counts.append(0)
+                new_last[at] = x
+            new_counts[at] = counts[at - 1] - delta
         counted = tuple(new_counts)
         return (kept, tuple(new_last), self.counted.setdefault(counted, counted)), delta
 
@@ -371,7 +390,7 @@ class Compiled:
 
     def _matrix(self, words: pa.Array, size: np.ndarray, width: int, start: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of words, longest first, from a state, and flags of those with a character that has no column."""
-        some = np.array(words.to_pylist(), f"U{width}").view(np.uint32).reshape(len(words), width)
+        some = words.to_numpy(zero_copy_only=False).astype(f"U{width}").view(np.uint32).reshape(len(words), width)
         columns = self.columns[some]
         if len(self.characters) < COLUMNS and ((columns != 0).sum(1) < size).any():
             self._meet(some)
@@ -597,7 +616,7 @@ def count_tokens(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = machine(model_path)
-        for texts in slices(together(batches, STEP_BYTES), limit=STEP_BYTES, keep=True):
+        for texts in slices(together(batches, STEP_BYTES), limit=2 * STEP_BYTES, keep=True):  # a run is a little more
             counts = tokens.counts(texts.column("text"))
             yield pa.RecordBatch.from_arrays([*(texts.column(p) for p in plain), pa.array(counts, pa.int64())], names=[*plain, "n"])
 

@@ -126,3 +126,23 @@ def test_operator_on_awkward_rows(awkward, no_docs, library):
 def test_refuses_pieces_across_words():
     with pytest.raises(ValueError):
         tc.Compiled({"a▁b": 0.0})
+
+
+def test_parts_that_no_piece_continues_are_left_out_at_once(compiled):
+    rng, tokens = random.Random(8), sorted(compiled.pieces)
+    score, never = compiled.pieces.get, float("-inf")
+    kept = all_parts = 0
+    for left in rng.sample(tokens, 400):
+        parts = [part for part in compiled.history(left) if compiled.starts.get(part[1], never) > part[0]]
+        assert [(following, last) for _, following, last in compiled.opened(left)] == [(following, last) for following, last, _ in parts]
+        kept, all_parts = kept + len(parts), all_parts + len(compiled.history(left))
+        for begun in ["", *rng.sample(tokens, 5)]:
+            worst, seen = float("inf"), []
+            for following, last, _ in compiled.history(left):
+                best = max([compiled.starts.get(last + begun, never), *(score(last + begun[:k], never) for k in range(1, len(begun) + 1))])
+                if best > following:
+                    seen.append((worst, following, last))
+                worst = min(worst, following)
+            found = compiled.like(left, begun)
+            assert found == (compiled.classes[(begun, *seen)] if seen else None)
+    assert 0 < kept < all_parts
